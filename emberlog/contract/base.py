@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.bind import bind
 from ..workspace import Workspace
 
 # One text, valid in Spark SQL and DuckDB; {events} is the events table.
@@ -43,7 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``events`` table as log lines."""
     query = LINE_SQL.replace("{logs}", LOGS_SQL)
-    return spark.sql(query, events=table(spark, sf_dir, "events"))
+    rows = spark.sql(query, events=table(spark, sf_dir, "events"))
+    return bind(rows.select(F.struct("*").alias("_row")), {n: F.col(f"_row.{n}") for n in rows.columns}).drop("_row")
 
 
 # ---- registration -------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
 """All queries and oracles."""
 
-from . import mining, text  # noqa: F401
+from . import detection, mining, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -26,26 +26,21 @@ _LAYOUTS = (
 )
 
 
-def _layout(line: Column, pattern: str, groups: dict[str, int]) -> tuple[Column, Column]:
-    whole = regex("^" + pattern + r"(?s:.*)$")
-    numbers = sorted(groups.values())
-    parts = capture(line, whole, numbers)
-
-    def field(name):
-        if name not in groups:
-            return F.lit(None).cast("string")
-        value = F.get(parts, F.lit(numbers.index(groups[name])))
-        return F.nullif(value, F.lit("")) if name == "pid" else value
-
-    return F.rlike(line, F.lit(regex("^" + pattern))), F.struct(*[field(f).alias(f) for f in FIELDS])
+def which_layout(line: Column) -> Column:
+    """Number of the first layout that fits the start of the line; null if none does."""
+    chain = None
+    for i, (pattern, _) in enumerate(_LAYOUTS):
+        hit = F.rlike(line, F.lit(regex("^" + pattern)))
+        chain = F.when(hit, i) if chain is None else chain.when(hit, i)
+    return chain
 
 
-def parse_syslog(line: Column) -> Column:
-    """Struct of FIELDS from the first layout that fits the start of the line; null if none does."""
+def syslog_fields(line: Column, layout: Column) -> Column:
+    """Array in the order of FIELDS for a line whose layout is known; ``''`` where the layout lacks one."""
     chain = None
-    for pattern, groups in _LAYOUTS:
-        hit, fields = _layout(line, pattern, groups)
-        chain = F.when(hit, fields) if chain is None else chain.when(hit, fields)
+    for i, (pattern, groups) in enumerate(_LAYOUTS):
+        fields = capture(line, regex("^" + pattern + r"(?s:.*)$"), [groups.get(f) for f in FIELDS])
+        chain = F.when(layout == i, fields) if chain is None else chain.when(layout == i, fields)
     return chain
 
 

@@ -60,15 +60,16 @@ def snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 
 
-def capture(col: Column, pattern: str, numbers: Sequence[int]) -> Column:
+def capture(col: Column, pattern: str, numbers: Sequence[int | None]) -> Column:
     """All wanted groups as one array, with a single run of the pattern per row.
 
     The groups are joined by a control character and split again; a line that itself holds that
-    character takes the slower way of one extraction per group. A group that took no part is ``''``.
+    character takes the slower way of one extraction per group. A group that took no part, or whose
+    number is None, is ``''``.
     """
-    joined = _MARK.join(f"${n}" for n in numbers)
+    joined = _MARK.join(f"${n}" if n else "" for n in numbers)
     fast = F.split(F.regexp_replace(col, pattern, joined), _MARK, -1)
-    slow = F.array(*[F.regexp_extract(col, pattern, n) for n in numbers])
+    slow = F.array(*[F.regexp_extract(col, pattern, n) if n else F.lit("") for n in numbers])
     return F.when(F.contains(col, F.lit(_MARK)), slow).otherwise(fast)
 
 

@@ -6,19 +6,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import syslog
 from ..functions.text import strip
+from .bind import bind
 
 
 def classify_payload(df: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``is_json`` and the ``message`` to parse: of the envelope, or the payload itself."""
-    is_json = syslog.is_json_object(F.col(value))
-    return (df.withColumn("is_json", is_json)
-            .withColumn("body", F.when(F.col("is_json"), syslog.envelope(F.col(value))))
-            .withColumn("message", F.when(F.col("is_json"), F.col("body.message")).otherwise(F.col(value))))
+    """Add ``is_json``, the envelope ``body``, and the ``message`` to parse: the body's or the payload."""
+    df = bind(df, {"is_json": syslog.is_json_object(F.col(value))})
+    df = bind(df, {"body": F.when(F.col("is_json"), syslog.envelope(F.col(value)))})
+    return df.withColumn("message", F.when(F.col("is_json"), F.col("body.message")).otherwise(F.col(value)))
 
 
 def parse_payloads(df: DataFrame, value: str = "value") -> DataFrame:
-    """Add is_json, body, message and the parsed fields (null where no layout fits)."""
-    return classify_payload(df, value).withColumn("parsed", syslog.parse_syslog(F.col("message")))
+    """Add is_json, body, message and the struct of parsed fields (null where no layout fits)."""
+    return with_syslog(classify_payload(df, value), "message")
+
+
+def with_syslog(df: DataFrame, line: str, out: str = "parsed") -> DataFrame:
+    """Add a struct of the fields of a syslog line; each layout is tried once per row."""
+    df = bind(df, {"_layout": syslog.which_layout(F.col(line))})
+    df = bind(df, {"_fields": syslog.syslog_fields(F.col(line), F.col("_layout"))})
+    values = {name: F.get("_fields", F.lit(i)) for i, name in enumerate(syslog.FIELDS)}
+    # Only a message may be empty; any other empty field is one that the line does not have.
+    parsed = F.struct(*[(v if n == "message" else F.nullif(v, F.lit(""))).alias(n) for n, v in values.items()])
+    return df.withColumn(out, F.when(F.col("_layout").isNotNull(), parsed)).drop("_layout", "_fields")
 
 
 def route(df: DataFrame, value: str = "value") -> DataFrame:
