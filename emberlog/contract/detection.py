@@ -298,8 +298,8 @@ def votes(spark, sf, ws):
     return rows.select("line_id", *[F.when(F.col(n) > limits[n], -1).otherwise(1).alias(n) for n in measures])
 
 
-@query("consensus_votes", sql("SELECT *, anomaly_votes FROM (SELECT *, CAST(by_value = -1 AS INT) + CAST(by_distance = -1 AS INT) + CAST(by_length = -1 AS INT) AS anomaly_votes "
-                              "FROM votes) WHERE anomaly_votes >= 2".replace("SELECT *, anomaly_votes FROM", "SELECT * FROM"), VOTES))
+@query("consensus_votes", sql("SELECT * FROM (SELECT *, CAST(by_value = -1 AS INT) + CAST(by_distance = -1 AS INT) + CAST(by_length = -1 AS INT) AS anomaly_votes "
+                              "FROM votes) WHERE anomaly_votes >= 2", VOTES))
 def consensus_votes(spark, sf, ws):
     return dt.consensus(votes(spark, sf, ws), ["by_value", "by_distance", "by_length"])
 
