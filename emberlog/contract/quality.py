@@ -122,8 +122,8 @@ def quality_issues(spark, sf, ws):
                             "round(avg(length(content)), 6) AS avg_length, CAST(max(length(content)) AS BIGINT) AS max_length, (SELECT string_agg(level || '=' || n, ',' ORDER BY level) FROM (SELECT level, CAST(count(*) AS STRING) AS n "
                             "FROM parsed WHERE level IS NOT NULL GROUP BY ALL) l) AS log_levels FROM parsed", PARSED))
 def parsing_stats(spark, sf, ws):
-    stats = ql.parsing_stats(parsed(spark, sf).filter("level is not null").unionByName(parsed(spark, sf).filter("level is null").withColumn("level", F.lit("-"))))
-    shown = F.array_join(F.array_sort(F.transform(F.filter(F.map_entries("log_levels"), lambda e: e["key"] != "-"),
+    stats = ql.parsing_stats(parsed(spark, sf))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("log_levels"),
                                                   lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
     return rounded(stats.withColumn("log_levels", shown), "avg_length")
 

@@ -1,4 +1,4 @@
 """All queries and oracles."""
 
-from . import detection, mining, quality, text  # noqa: F401
+from . import detection, io, mining, quality, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import has, regex, word_count
 from ..plans.rulebook import CONTENT_FLAGS, STOP_WORDS
 from ..workspace import Workspace
+from .bind import bind
 from .indexing import index_rows
 from .lookup import lookup_join
 from .quality import passes_gate
@@ -62,19 +65,24 @@ class Tfidf:
         rows = top.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf")).orderBy("term").collect()
         return cls([r.term for r in rows], [r.idf for r in rows])
 
-    def weights(self, template: Column) -> Column:
-        """Array of unit length in the order of ``terms``; zeros if no term occurs."""
-        grams = template_grams(template)
-        raw = F.array(*[(F.size(grams) - F.size(F.array_remove(grams, t))) * F.lit(w) for t, w in zip(self.terms, self.idf)])
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    def weights(self, grams: Column) -> Column:
+        """Term count times idf, in the order of ``terms``."""
+        terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("idf")) for t, w in zip(self.terms, self.idf)])
+        return F.transform(terms, lambda t: (F.size(grams) - F.size(F.array_remove(grams, t["term"]))) * t["idf"])
 
     def transform(self, df: DataFrame, ws: Workspace, template: str = "event_template", out: str = "tfidf") -> DataFrame:
-        """Weights are worked out once per distinct template and looked up by the rows."""
+        """Add the array of weights, of unit length, or zeros if no term occurs.
+
+        Weights are worked out once per distinct template and looked up by the rows.
+        """
         if not self.terms:
             return df.withColumn(out, F.array().cast("array<double>"))
         docs = df.groupBy(template).agg(F.count(F.lit(1)).alias("_rows"))
-        weighted = ws.stage(docs.withColumn(out, self.weights(F.col(template))), "tfidf")
+        docs = bind(docs, {"_grams": template_grams(F.col(template))})
+        docs = bind(docs, {"_w": self.weights(F.col("_grams"))})
+        docs = bind(docs, {"_norm": F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))})
+        unit = F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))
+        weighted = ws.stage(docs.select(template, "_rows", unit.alias(out)), "tfidf")
         return lookup_join(df, weighted, [template], "left", weight="_rows").drop("_rows")
 
 
@@ -174,12 +182,10 @@ class Preprocessor:
         size = 50 if use_template else 100
         self.categories = {c: fit_categories(df, c, size) for c in columns}
         self.numeric = column_stats(content_features(df), NUMERIC)
-        wide = ws.stage(self._raw(df, ws).select("_raw"), "raw_features")
-        width = F.size("_raw")
-        n_columns = (wide.agg(F.max(width)).first()[0]) or 0
-        stats = wide.agg(*[F.avg(F.get("_raw", F.lit(i))) for i in range(n_columns)],
-                         *[F.stddev_pop(F.get("_raw", F.lit(i))) for i in range(n_columns)]).first()
-        self.scale = [(stats[i], stats[n_columns + i]) for i in range(n_columns)]
+        wide = self._raw(df, ws).select(array_to_vector("_raw").alias("v"))
+        stats = wide.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select("s.*").first()
+        shrink = (stats["count"] - 1) / stats["count"] if stats["count"] else 0.0
+        self.scale = [(float(m), math.sqrt(v * shrink)) for m, v in zip(stats["mean"], stats["variance"])]
         return self
 
     def _raw(self, df: DataFrame, ws: Workspace) -> DataFrame:

@@ -1,9 +1,246 @@
-"""placeholder"""
-from pyspark.sql import Column
+"""Scorers: reconstruction error of windows, isolation forest, kernel novelty, distance in PCA space.
 
-# Share of each path in the blended error.
+Models are fitted by Spark on all rows, or on a sample of fixed size; what a model holds does not
+grow with the data, and rows are scored in Arrow batches where they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..plans.rulebook import WINDOW_LENGTH, WINDOW_STRIDE
+from ..workspace import Workspace
+from .indexing import percentile_values
+from .windows import sequence_windows
+
+# Share of each path in the blended error, and the sizes of the ensemble's models.
 HYBRID_WEIGHTS = {"sequential": 0.6, "single_log": 0.4}
+MODEL_SIZES = (16, 24, 32)
+FOREST_POOL = 8192
+KERNEL_SAMPLE = 512
 
 
 def hybrid_error(sequential: Column, single: Column) -> Column:
     return HYBRID_WEIGHTS["sequential"] * sequential + HYBRID_WEIGHTS["single_log"] * single
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
+
+
+def vector_stats(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and population variance per dimension, and the number of rows."""
+    vector = array_to_vector(F.col(features).cast("array<double>"))
+    row = df.select(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s")).select("s.*").first()
+    n = row["count"]
+    return np.array(row["mean"]), np.array(row["variance"]) * (n - 1) / max(n, 1), n
+
+
+@dataclass
+class Reconstruction:
+    """A linear encoder: the mean and the k directions that keep most of the variance."""
+
+    mean: np.ndarray
+    directions: np.ndarray
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: str, k: int) -> "Reconstruction":
+        mean, _, _ = vector_stats(df, features)
+        k = min(k, len(mean))
+        if k == 0:
+            return cls(mean, np.zeros((len(mean), 0)))
+        vectors = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
+        return cls(mean, PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray())
+
+    def error(self, features: Column) -> Column:
+        """Mean squared error of encoding and decoding a row."""
+        mean, directions = self.mean, self.directions
+
+        @F.pandas_udf("double")
+        def mse(column: pd.Series) -> pd.Series:
+            x = _matrix(column) - mean
+            left = (x ** 2).sum(axis=1) - ((x @ directions) ** 2).sum(axis=1)
+            return pd.Series(np.maximum(left, 0.0) / max(len(mean), 1))
+
+        return mse(features)
+
+    def norm(self, features: Column) -> Column:
+        """Length of the encoded row."""
+        mean, directions = self.mean, self.directions
+
+        @F.pandas_udf("double")
+        def length(column: pd.Series) -> pd.Series:
+            return pd.Series(np.linalg.norm((_matrix(column) - mean) @ directions, axis=1))
+
+        return length(features)
+
+
+def flat_windows(rows: DataFrame, n: int, features: str, seq_len: int = WINDOW_LENGTH,
+                 stride: int = WINDOW_STRIDE) -> DataFrame:
+    """(win_id, window): the features of a window's rows in order, as one array. A group is one window."""
+    windows = sequence_windows(rows.select("idx", F.col(features).cast("array<double>").alias("x")), n, seq_len, stride)
+    return (windows.groupBy("win_id").agg(F.array_sort(F.collect_list(F.struct("offset", "x"))).alias("rows"))
+            .select("win_id", F.flatten("rows.x").alias("window")))
+
+
+def single_errors(rows: DataFrame, n: int, features: str, model: Reconstruction, **window) -> DataFrame:
+    """(win_id, err): mean error of the window's rows, each on its own."""
+    scored = rows.select("idx", model.error(F.col(features)).alias("err"))
+    return sequence_windows(scored, n, **window).groupBy("win_id").agg(F.avg("err").alias("err"))
+
+
+def sequential_errors(windows: DataFrame, model: Reconstruction) -> DataFrame:
+    """(win_id, err): error of each window as one object."""
+    return windows.select("win_id", model.error(F.col("window")).alias("err"))
+
+
+def ensemble_errors(rows: DataFrame, n: int, features: str, ws: Workspace,
+                    sizes: Sequence[int] = MODEL_SIZES) -> DataFrame:
+    """(win_id, model_id, mode, err) for models of several sizes in both modes."""
+    rows = ws.stage(rows.select("idx", F.col(features).cast("array<double>").alias("x")), "vectors")
+    windows = ws.stage(flat_windows(rows, n, "x"), "flat_windows")
+    parts = []
+    for k in sizes:
+        named = lambda errs, mode: errs.select("win_id", F.lit(k).alias("model_id"), F.lit(mode).alias("mode"), "err")
+        parts.append(named(single_errors(rows, n, "x", Reconstruction.fit(rows, "x", k)), "single_log"))
+        parts.append(named(sequential_errors(windows, Reconstruction.fit(windows, "window", k)), "sequential"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def custom_errors(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(win_id, err) from a user's model: a function from a batch of flat windows to errors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"win_id": batch["win_id"], "err": score(_matrix(batch["window"]))})
+
+    return windows.select("win_id", "window").mapInPandas(run, "win_id long, err double")
+
+
+def _sample(df: DataFrame, key: str, features: str, size: int, seed: int) -> np.ndarray:
+    """At most ``size`` rows, chosen by a hash of the key: the same rows however the table is partitioned."""
+    picked = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    return _matrix(pd.Series([r[0] for r in picked.select(F.col(features).cast("array<double>")).collect()]))
+
+
+def _labelled(scored: DataFrame, limit: float | None, below: bool) -> DataFrame:
+    outlier = F.lit(False) if limit is None else (F.col("score") < limit if below else F.col("score") > limit)
+    return scored.withColumn("prediction", F.when(outlier, -1).otherwise(1))
+
+
+# ---- isolation forest ---------------------------------------------------------------------------
+
+def _average_path(n: np.ndarray) -> np.ndarray:
+    """Mean path length of an unsuccessful search among n points."""
+    n = np.asarray(n, dtype=float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, mean))
+
+
+def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, np.ndarray]:
+    """One tree as arrays: feature (-1 for a leaf), split value, children, path length of a leaf."""
+    nodes: list[list[float]] = []
+
+    def add(x: np.ndarray, depth: int) -> int:
+        at = len(nodes)
+        nodes.append([-1, 0.0, 0, 0, depth + float(_average_path(len(x)))])
+        low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(0), np.zeros(0))
+        open_features = np.flatnonzero(high > low)
+        if depth < limit and len(x) > 1 and len(open_features):
+            f = int(rng.choice(open_features))
+            cut = rng.uniform(low[f], high[f])
+            left = x[:, f] <= cut
+            nodes[at][:4] = [f, cut, add(x[left], depth + 1), add(x[~left], depth + 1)]
+        return at
+
+    add(points, 0)
+    table = np.array(nodes)
+    return {"feature": table[:, 0].astype(int), "cut": table[:, 1], "left": table[:, 2].astype(int),
+            "right": table[:, 3].astype(int), "path": table[:, 4]}
+
+
+def isolation_forest(df: DataFrame, key: str, features: str, ws: Workspace, trees: int = 100, sample: int = 256,
+                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """(key, score, prediction): low scores are easy to isolate; the lowest share is -1.
+
+    Trees are grown in parallel, one task row each, from a sample of fixed size.
+    """
+    spark = df.sparkSession
+    pool = spark.sparkContext.broadcast(_sample(df, key, features, FOREST_POOL, seed))
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tree in batch["id"]:
+                rng = np.random.default_rng([seed, int(tree)])
+                size = min(sample, len(pool.value))
+                points = pool.value[rng.choice(len(pool.value), size, replace=False)]
+                grown = _grow(points, rng, int(np.ceil(np.log2(max(size, 2)))))
+                yield pd.DataFrame({"tree": [tree], **{k: [v.tolist()] for k, v in grown.items()}})
+
+    schema = "tree long, feature array<long>, cut array<double>, left array<long>, right array<long>, path array<double>"
+    grown = spark.range(trees).repartition(min(trees, spark.sparkContext.defaultParallelism)).mapInPandas(grow, schema).collect()
+    forest = spark.sparkContext.broadcast([{k: np.array(r[k]) for k in ("feature", "cut", "left", "right", "path")}
+                                           for r in sorted(grown, key=lambda r: r.tree)])
+    norm = float(_average_path(min(sample, len(pool.value)))) or 1.0
+
+    @F.pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        x = _matrix(column)
+        total = np.zeros(len(x))
+        rows = np.arange(len(x))
+        for tree in forest.value:
+            at = np.zeros(len(x), dtype=int)
+            while True:
+                feature = tree["feature"][at]
+                inner = feature >= 0
+                if not inner.any():
+                    break
+                goes_left = x[rows, np.maximum(feature, 0)] <= tree["cut"][at]
+                at = np.where(inner, np.where(goes_left, tree["left"][at], tree["right"][at]), at)
+            total += tree["path"][at]
+        return pd.Series(-np.power(2.0, -(total / len(forest.value)) / norm))
+
+    scored = ws.stage(df.select(key, score(F.col(features)).alias("score")), "forest_scores")
+    limit = percentile_values(scored, "score", [contamination], ws)
+    return _labelled(scored, limit[0] if limit else None, below=True)
+
+
+# ---- kernel novelty and PCA distance ------------------------------------------------------------
+
+def rbf_novelty(df: DataFrame, key: str, features: str, ws: Workspace, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """(key, score, prediction): mean RBF similarity to a sample of fixed size; the least similar share is -1."""
+    mean, variance, _ = vector_stats(df, features)
+    # One over the number of dimensions times the variance of all entries.
+    spread = float(variance.mean() + mean.var()) if len(mean) else 0.0
+    gamma = 1.0 / (max(len(mean), 1) * spread) if spread else 1.0
+    sample = df.sparkSession.sparkContext.broadcast(_sample(df, key, features, KERNEL_SAMPLE, seed))
+
+    @F.pandas_udf("double")
+    def similarity(column: pd.Series) -> pd.Series:
+        x, s = _matrix(column), sample.value
+        squared = (x ** 2).sum(axis=1)[:, None] + (s ** 2).sum(axis=1)[None, :] - 2.0 * x @ s.T
+        return pd.Series(np.exp(-gamma * np.maximum(squared, 0.0)).mean(axis=1))
+
+    scored = ws.stage(df.select(key, similarity(F.col(features)).alias("score")), "kernel_scores")
+    limit = percentile_values(scored, "score", [share], ws)
+    return _labelled(scored, limit[0] if limit else None, below=True)
+
+
+def pca_norm(df: DataFrame, key: str, features: str, ws: Workspace, k: int = 2, percentile: float = 95) -> DataFrame:
+    """(key, score, prediction): distance from the centre in k principal directions; above the percentile is -1."""
+    model = Reconstruction.fit(df, features, k)
+    scored = ws.stage(df.select(key, model.norm(F.col(features)).alias("score")), "pca_scores")
+    limit = percentile_values(scored, "score", [percentile / 100], ws)
+    return _labelled(scored, limit[0] if limit else None, below=False)
