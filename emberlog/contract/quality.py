@@ -123,7 +123,7 @@ def quality_issues(spark, sf, ws):
                             "FROM parsed WHERE level IS NOT NULL GROUP BY ALL) l) AS log_levels FROM parsed", PARSED))
 def parsing_stats(spark, sf, ws):
     stats = ql.parsing_stats(parsed(spark, sf))
-    shown = F.array_join(F.array_sort(F.transform(F.map_entries("log_levels"),
+    shown = F.array_join(F.sort_array(F.transform(F.map_entries("log_levels"),
                                                   lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
     return rounded(stats.withColumn("log_levels", shown), "avg_length")
 

@@ -99,7 +99,7 @@ def sequential_anomalies(windows: DataFrame, flagged: DataFrame, error: str, mod
                    _text("time").alias("timestamp"))
     entry = F.struct("offset", log.alias("log"), F.col("anomaly_type").alias("type"))
     grouped = (rows.groupBy("win_id", "start_idx", "anomaly_score")
-               .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+               .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
                .withColumn("types", F.filter("entries.type", lambda t: t != NORMAL_TYPE))
                .filter(F.size("types") > 0))
     score = F.col("anomaly_score")

@@ -82,7 +82,7 @@ class Tfidf:
         docs = bind(docs, {"_w": self.weights(F.col("_grams"))})
         docs = bind(docs, {"_norm": F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))})
         unit = F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))
-        weighted = ws.stage(docs.select(template, "_rows", unit.alias(out)), "tfidf")
+        weighted = ws.stage(docs.select(template, "_rows", unit.alias(out)), "tfidf", measure=True)
         return lookup_join(df, weighted, [template], "left", weight="_rows").drop("_rows")
 
 
@@ -129,7 +129,7 @@ def label_encode(df: DataFrame, column: str, ws: Workspace, out: str | None = No
     """Alphabetical integer codes. The distinct values are numbered apart from the rows."""
     out = out or f"{column}_code"
     values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
-    codes = ws.stage(index_rows(values.filter(F.col(column).isNotNull()), [column], ws, out), "codes")
+    codes = ws.stage(index_rows(values.filter(F.col(column).isNotNull()), [column], ws, out), "codes", measure=True)
     return lookup_join(df, codes, [column], "left", weight="_rows").drop("_rows")
 
 

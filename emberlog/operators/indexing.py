@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, table_size
 from .lookup import lookup_join
 
 # Up to this many rows the built-in percentile aggregate is used as it is.
 IN_MEMORY_ROWS = 1_000_000
+# Up to this many rows one task may number a table.
+SMALL_ROWS = 100_000
 _POSITION_BITS = (1 << 33) - 1
 
 
@@ -38,15 +40,19 @@ def index_rows(df: DataFrame, order: Sequence[str], ws: Workspace, name: str = "
     One range shuffle sorts the rows and is staged with each row's partition and position; the
     position in the whole table is that position plus the rows of all partitions before. A key
     that holds a third of the rows is spread over many range partitions like any other rows.
-    ``order`` must identify rows.
+    ``order`` must identify rows. A table already measured as small is numbered by one window.
     """
+    size = getattr(df, "_emberlog_size", None)
+    if size is not None and size[0] <= SMALL_ROWS:
+        window = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
     staged = ws.stage(_range_sorted(df, [*by, *order]), "indexed")
     out = (staged.join(F.broadcast(_offsets(staged, F.count(F.lit(1)))), "_pid")
            .withColumn(name, F.col("_offset") + F.col("_pos")).drop("_pid", "_pos", "_offset"))
     if not by:
         return out
     starts = ws.stage(out.groupBy(*by).agg(F.min(name).alias("_start"), F.count(F.lit(1)).alias("_rows")),
-                      "key_starts")
+                      "key_starts", measure=True)
     return (lookup_join(out, starts, list(by), weight="_rows")
             .withColumn(name, F.col(name) - F.col("_start")).drop("_start", "_rows"))
 
@@ -60,14 +66,13 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float], ws: Workspac
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counted = ws.stage(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w")), "value_counts")
+    counted = ws.stage(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w")), "value_counts", measure=True)
     points = [float(p) for p in points]
-    if counted.count() <= in_memory_rows:
+    if table_size(counted)[0] <= in_memory_rows:
         fractions = F.array(*[F.lit(p) for p in points])
         return counted.groupBy(*by).agg(F.percentile("_v", fractions, F.col("_w")).alias("pct"))
 
     staged = ws.stage(_range_sorted(counted, [*by, "_v"]), "sorted_values")
-    from pyspark.sql import Window
     running = Window.partitionBy("_pid").orderBy("_pos")
     ranked = (staged.withColumn("_hi", F.sum("_w").over(running))
               .join(F.broadcast(_offsets(staged, F.sum("_w"))), "_pid")
@@ -78,7 +83,7 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float], ws: Workspac
     wanted = F.array(*[F.lit(p) for p in points])
     spans = (ranked.groupBy(*keys).agg(F.min("_lo").alias("_start"), F.max("_hi").alias("_end"))
              .withColumn("_at", F.transform(wanted, lambda p: p * (F.col("_end") - F.col("_start") - 1))))
-    spans = ws.stage(spans, "spans")
+    spans = ws.stage(spans, "spans", measure=True)
     ranks = F.array_distinct(F.concat(F.transform("_at", lambda a: F.floor(a)),
                                       F.transform("_at", lambda a: F.ceil(a))))
     hit = F.filter(ranks, lambda r: (r >= F.col("_lo") - F.col("_start")) & (r < F.col("_hi") - F.col("_start")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from ..workspace import row_chars, table_size
 
 # Limits of what is broadcast: rows, and characters held by all string columns together.
 BROADCAST_ROWS = 500_000
@@ -12,20 +14,10 @@ HOT_ROWS = 20_000
 HOT_CHARS = 1_000
 
 
-def _chars(df: DataFrame) -> Column:
-    width = F.lit(0)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            width = width + 8 * F.greatest(F.size(field.name), F.lit(0))
-    return width
-
-
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measure a staged table and say whether every executor may hold a copy of it."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_chars(df).cast("long")).alias("chars")).first()
-    return size.n <= BROADCAST_ROWS and (size.chars or 0) <= BROADCAST_CHARS
+    """Whether every executor may hold a copy of the table."""
+    rows, chars = table_size(df)
+    return rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
@@ -41,7 +33,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     if weight is None:
         return left.join(right, on, how)
     total = right.agg(F.sum(weight)).first()[0] or 0
-    is_hot = (F.col(weight) * HOT_ROWS >= total) & (_chars(right) <= HOT_CHARS)
+    is_hot = (F.col(weight) * HOT_ROWS >= total) & (row_chars(right) <= HOT_CHARS)
     hot = right.filter(is_hot)
     cold = right.filter(~is_hot)
     keys = hot.select(*on)

@@ -36,7 +36,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
 def parsing_stats(df: DataFrame) -> DataFrame:
     """One row: totals, distinct templates and components, rows per level, date range, content lengths."""
     levels = df.filter(F.col("level").isNotNull()).groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.array_sort(F.collect_list(F.struct("level", "n"))).alias("levels"))
+        F.sort_array(F.collect_list(F.struct("level", "n"))).alias("levels"))
     stats = df.agg(F.count(F.lit(1)).alias("total_logs"), F.count_distinct("event_template").alias("unique_templates"),
                    F.count_distinct("component").alias("unique_components"), F.min("date").alias("first_date"),
                    F.max("date").alias("last_date"), F.avg(F.length("content")).alias("avg_length"),

@@ -87,7 +87,7 @@ def flat_windows(rows: DataFrame, n: int, features: str, seq_len: int = WINDOW_L
                  stride: int = WINDOW_STRIDE) -> DataFrame:
     """(win_id, window): the features of a window's rows in order, as one array. A group is one window."""
     windows = sequence_windows(rows.select("idx", F.col(features).cast("array<double>").alias("x")), n, seq_len, stride)
-    return (windows.groupBy("win_id").agg(F.array_sort(F.collect_list(F.struct("offset", "x"))).alias("rows"))
+    return (windows.groupBy("win_id").agg(F.sort_array(F.collect_list(F.struct("offset", "x"))).alias("rows"))
             .select("win_id", F.flatten("rows.x").alias("window")))
 
 

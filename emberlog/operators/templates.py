@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_parameter, normalized, words
 from ..plans.presets import PRESETS, Preset
-from ..workspace import Workspace
+from ..workspace import Workspace, sized_like
 from .indexing import index_rows
 from .lookup import lookup_join
 
@@ -54,7 +54,7 @@ def join_token_freq(shapes: DataFrame, ws: Workspace) -> DataFrame:
 
     Words seen once are left out of the look-up table: they are most of a vocabulary.
     """
-    repeated = ws.stage(positional_token_freq(shapes).filter("freq > 1"), "token_freq")
+    repeated = ws.stage(positional_token_freq(shapes).filter("freq > 1"), "token_freq", measure=True)
     tokens = shapes.select("sid", "n", F.posexplode(words(F.col("norm"))).alias("pos", "word"))
     return (lookup_join(tokens, repeated, ["pos", "word"], "left", weight="rows")
             .select("sid", "n", "pos", "word", F.coalesce("freq", F.lit(1)).alias("freq")))
@@ -75,7 +75,7 @@ def annotated_shapes(shapes: DataFrame, ws: Workspace) -> DataFrame:
     """
     tokens = join_token_freq(shapes, ws).withColumn("param", is_parameter(F.col("word")))
     rows = (tokens.groupBy("sid", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "word", "freq", "param"))).alias("t"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "word", "freq", "param"))).alias("t"))
             .select("sid", "n", F.size("t").alias("n_tokens"), F.col("t.word").alias("words"),
                     F.col("t.freq").alias("freqs"), F.col("t.param").alias("params")))
     root = F.array_max(_combinations(F.col("freqs")))
@@ -105,36 +105,41 @@ def _candidates(annotated: DataFrame, ws: Workspace) -> DataFrame:
     positions = F.sequence(F.lit(0), F.col("n_tokens") - 1)
     differs = F.filter(positions, lambda i: F.get("freqs", i) != F.col("root_freq"))
     return ws.stage(root_groups(annotated).join(first_lines, "first_line")
-                    .select(*GROUP, "first_line", "n_lines", "rows", differs.alias("candidates")), "groups")
+                    .select(*GROUP, "first_line", "n_lines", "rows", differs.alias("candidates")), "groups", measure=True)
 
 
 def child_variables(annotated: DataFrame, groups: DataFrame, threshold: int, ws: Workspace) -> DataFrame:
-    """(group, pos): candidate positions that hold at least ``threshold`` distinct words."""
-    at = F.transform("candidates", lambda i: F.struct(i.alias("pos"), F.get("words", i).alias("word")))
-    tokens = (lookup_join(annotated.select(*GROUP, "words"), groups.select(*GROUP, "rows", "candidates"), GROUP,
-                          weight="rows")
-              .select(*GROUP, F.explode(at).alias("t")).select(*GROUP, "t.pos", "t.word"))
+    """(group, pos, literal): candidate positions that hold at least ``threshold`` distinct words.
+
+    ``literal`` tells whether some of these words are no parameters by themselves.
+    """
+    at = F.transform("candidates", lambda i: F.struct(
+        i.alias("pos"), F.get("words", i).alias("word"), F.get("params", i).alias("param")))
+    tokens = (lookup_join(annotated.select(*GROUP, "words", "params"),
+                          sized_like(groups.select(*GROUP, "rows", "candidates"), groups), GROUP, weight="rows")
+              .select(*GROUP, F.explode(at).alias("t")).select(*GROUP, "t.*"))
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(word), 64) as int))")
-    seen = ws.stage(tokens.groupBy(*GROUP, "pos").agg(F.bit_count(F.bit_or(bit)).alias("at_least"),
-                                                      F.count(F.lit(1)).alias("rows")), "seen")
-    proven = seen.filter(F.col("at_least") >= threshold).select(*GROUP, "pos")
-    undecided = seen.filter((F.col("at_least") < threshold) & (F.col("rows") >= threshold)).select(*GROUP, "pos", "rows")
-    undecided = ws.stage(undecided, "undecided")
-    if undecided.isEmpty():
-        return proven
-    counted = (lookup_join(tokens, undecided, [*GROUP, "pos"], weight="rows").select(*GROUP, "pos", "word").distinct()
-               .groupBy(*GROUP, "pos").agg(F.count(F.lit(1)).alias("n_words"))
-               .filter(F.col("n_words") >= threshold).select(*GROUP, "pos"))
+    seen = ws.stage(tokens.groupBy(*GROUP, "pos").agg(
+        F.bit_count(F.bit_or(bit)).alias("at_least"), F.count(F.lit(1)).alias("rows"),
+        F.max(~F.col("param")).alias("literal")), "seen", measure=True)
+    proven = seen.filter(F.col("at_least") >= threshold).select(*GROUP, "pos", "literal")
+    undecided = seen.filter((F.col("at_least") < threshold) & (F.col("rows") >= threshold))
+    counted = (lookup_join(tokens.drop("param"), sized_like(undecided.select(*GROUP, "pos", "rows", "literal"), seen),
+                           [*GROUP, "pos"], weight="rows")
+               .select(*GROUP, "pos", "word", "literal").distinct()
+               .groupBy(*GROUP, "pos", "literal").agg(F.count(F.lit(1)).alias("n_words"))
+               .filter(F.col("n_words") >= threshold).select(*GROUP, "pos", "literal"))
     return proven.unionByName(counted)
 
 
 def variable_groups(annotated: DataFrame, threshold: int, ws: Workspace) -> DataFrame:
-    """Groups with their variable positions as an array."""
+    """Groups with their variable positions as an array; ``literal`` if these hold words that are no parameters."""
     groups = _candidates(annotated, ws)
     positions = (child_variables(annotated, groups, threshold, ws)
-                 .groupBy(*GROUP).agg(F.sort_array(F.collect_list("pos")).alias("variable")))
+                 .groupBy(*GROUP).agg(F.sort_array(F.collect_list("pos")).alias("variable"), F.max("literal").alias("literal")))
     return ws.stage(groups.join(positions, GROUP, "left")
-                    .withColumn("variable", F.coalesce("variable", F.array().cast("array<int>"))), "variable_groups")
+                    .withColumn("variable", F.coalesce("variable", F.array().cast("array<int>")))
+                    .withColumn("literal", F.coalesce("literal", F.lit(False))), "variable_groups", measure=True)
 
 
 def _grouped_tokens(annotated: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
@@ -142,7 +147,7 @@ def _grouped_tokens(annotated: DataFrame, groups: DataFrame, *columns: str) -> D
     token = F.transform("words", lambda w, i: F.struct(
         i.alias("pos"), w.alias("word"), F.get("params", i).alias("param"),
         F.array_contains("variable", i).alias("at_variable")))
-    return (lookup_join(annotated, groups.select(*GROUP, "rows", "variable"), GROUP, weight="rows")
+    return (lookup_join(annotated, sized_like(groups.select(*GROUP, "rows", "variable"), groups), GROUP, weight="rows")
             .select(*columns, *GROUP, F.explode(token).alias("t")).select(*columns, *GROUP, "t.*"))
 
 
@@ -153,7 +158,7 @@ def variable_words(annotated: DataFrame, groups: DataFrame, ws: Workspace) -> Da
     (group, word) pairs that occur on both sides; these are found by one pre-aggregated shuffle.
     """
     tokens = _grouped_tokens(annotated, groups, "sid", "n")
-    crossing = ws.stage(_crossing(tokens), "crossing_words")
+    crossing = ws.stage(_crossing(tokens), "crossing_words", measure=True)
     inside = tokens.filter("at_variable").select("sid", "n", "pos", "word")
     elsewhere = lookup_join(tokens.filter("not at_variable"), crossing, [*GROUP, "word"], weight="rows")
     return inside.unionByName(elsewhere.select("sid", "n", "pos", "word"))
@@ -170,7 +175,7 @@ def _crossing(tokens: DataFrame) -> DataFrame:
 
 @dataclass
 class Mined:
-    """Staged results of mining: events per shape, and the catalogue of events."""
+    """Results of mining: the event of each shape, and the staged catalogue of events."""
 
     shapes: DataFrame
     catalogue: DataFrame
@@ -179,37 +184,43 @@ class Mined:
     def events(self, df: DataFrame, content: str = "content") -> DataFrame:
         """Add event_id and event_template to the lines that were mined."""
         keyed = df.withColumn("norm", normalized(F.col(content), self.preset))
-        return lookup_join(keyed, self.shapes, ["norm"], weight="n").drop("norm", "n", "first_line")
+        return lookup_join(keyed, self.shapes, ["norm"], weight="n").drop("norm", "n")
 
 
 def shape_templates(df: DataFrame, preset: Preset, ws: Workspace, content: str = "content",
                     key: str = "line_id") -> tuple[DataFrame, DataFrame]:
-    """Shapes with their template, and the staged catalogue of templates per group."""
+    """Shapes with their draft template, and the catalogue of final templates per group and draft.
+
+    A draft masks parameters and variable positions. Words that are variable elsewhere in their group
+    are masked in the catalogue, which is far smaller than the shapes.
+    """
     annotated = annotated_shapes(line_shapes(df, preset, ws, content, key), ws)
     groups = variable_groups(annotated, preset.threshold, ws)
     masked = F.transform("words", lambda w, i: F.when(
         F.get("params", i) | F.array_contains("variable", i), MASK).otherwise(w))
-    drafts = ws.stage(lookup_join(annotated, groups.select(*GROUP, "rows", "variable"), GROUP, weight="rows")
+    positions = sized_like(groups.select(*GROUP, "rows", "variable"), groups)
+    drafts = ws.stage(lookup_join(annotated, positions, GROUP, weight="rows")
                       .select("sid", "n", *GROUP, F.array_join("words", " ").alias("norm"),
-                              F.array_join(masked, " ").alias("draft")), "drafts")
+                              F.array_join(masked, " ").alias("draft")), "drafts", measure=True)
     catalogue = (drafts.groupBy(*GROUP, "draft")
                  .agg(F.min("sid").alias("first_line"), F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("rows")))
-    literal = _grouped_tokens(annotated, groups).filter("not param")
-    crossing = ws.stage(_crossing(literal), "crossing_words")
-    if crossing.isEmpty():
+    literal = groups.filter("literal")
+    if literal.isEmpty():
         catalogue = catalogue.withColumn("template", F.col("draft"))
     else:
+        words_there = _grouped_tokens(annotated, sized_like(literal, groups)).filter("not param")
+        crossing = ws.stage(_crossing(words_there), "crossing_words", measure=True)
         catalogue = ws.stage(catalogue, "draft_catalogue")
-        word = (catalogue.select(*GROUP, "first_line", F.posexplode(words(F.col("draft"))).alias("pos", "word")))
+        word = catalogue.select(*GROUP, "first_line", F.posexplode(words(F.col("draft"))).alias("pos", "word"))
         final = (lookup_join(word, crossing, [*GROUP, "word"], "left", weight="rows")
-                 .groupBy("first_line").agg(F.array_sort(F.collect_list(F.struct(
+                 .groupBy("first_line").agg(F.sort_array(F.collect_list(F.struct(
                      "pos", F.when(F.col("rows").isNull(), F.col("word")).otherwise(MASK).alias("word")))).alias("t"))
                  .select("first_line", F.array_join("t.word", " ").alias("template")))
         catalogue = catalogue.join(final, "first_line")
     # Order of first appearance: by length, then by group, then by line.
     lengths = groups.groupBy("n_tokens").agg(F.min("first_line").alias("length_first"))
     firsts = groups.select(*GROUP, F.col("first_line").alias("group_first"))
-    return drafts, ws.stage(catalogue.join(lengths, "n_tokens").join(firsts, GROUP), "catalogue")
+    return drafts, ws.stage(catalogue.join(lengths, "n_tokens").join(firsts, GROUP), "catalogue", measure=True)
 
 
 def assign_event_ids(catalogue: DataFrame, ws: Workspace) -> DataFrame:
@@ -218,7 +229,7 @@ def assign_event_ids(catalogue: DataFrame, ws: Workspace) -> DataFrame:
     events = (catalogue.groupBy("template")
               .agg(F.min(F.struct(*order)).alias("at"), F.sum("n_lines").alias("occurrences"))
               .select("template", "occurrences", "at.*"))
-    return (index_rows(events, order, ws, "number")
+    return (index_rows(sized_like(events, catalogue), order, ws, "number")
             .select(F.concat(F.lit("E"), F.col("number").cast("string")).alias("event_id"),
                     F.col("template").alias("event_template"), "occurrences"))
 
@@ -235,12 +246,12 @@ def mine(df: DataFrame, preset: Preset | str, ws: Workspace, content: str = "con
     """Mine the templates of ``df``; ``.events(df)`` then labels its lines."""
     preset = PRESETS[preset] if isinstance(preset, str) else preset
     drafts, catalogue = shape_templates(df, preset, ws, content, key)
-    events = ws.stage(hashed_event_ids(catalogue) if hashed_ids else assign_event_ids(catalogue, ws), "events")
-    named = ws.stage(catalogue.select(*GROUP, "draft", "rows", F.col("template").alias("event_template"))
-                     .join(events.select("event_id", "event_template"), "event_template"), "named")
-    shapes = ws.stage(lookup_join(drafts.select("norm", "n", *GROUP, "draft"), named, [*GROUP, "draft"], weight="rows")
-                      .select("norm", "n", "event_id", "event_template"), "shape_events")
-    return Mined(shapes, events, preset)
+    events = ws.stage(hashed_event_ids(catalogue) if hashed_ids else assign_event_ids(catalogue, ws), "events", measure=True)
+    named = lookup_join(catalogue.select(*GROUP, "draft", "rows", F.col("template").alias("event_template")),
+                        sized_like(events.select("event_id", "event_template"), events), ["event_template"])
+    shapes = lookup_join(drafts.select("norm", "n", *GROUP, "draft"), sized_like(named, catalogue), [*GROUP, "draft"],
+                         weight="rows").select("norm", "n", "event_id", "event_template")
+    return Mined(sized_like(shapes, drafts), events, preset)
 
 
 def parse_accuracy(truth: DataFrame, parsed: DataFrame, key: str = "line_id") -> DataFrame:

@@ -44,7 +44,7 @@ def number_lines(rows: DataFrame, ws: Workspace, name: str = "line_id") -> DataF
     staged = ws.stage(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     splits = staged.groupBy(*SPLIT).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1))
-    splits = ws.stage(splits.withColumn("_before", F.coalesce(before, F.lit(0))), "splits")
+    splits = ws.stage(splits.withColumn("_before", F.coalesce(before, F.lit(0))), "splits", measure=True)
     return (lookup_join(staged, splits, SPLIT, weight="_n")
             .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
             .drop("_at", "_first", "_n", "_before"))

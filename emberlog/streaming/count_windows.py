@@ -39,7 +39,7 @@ def window_batch(df: DataFrame, number: int, key: str, order: Sequence[str], pat
     done = left.groupBy(key).agg(F.max("_done").alias("_done"))
     numbered = index_rows(records, order, ws, "_idx", by=[key])
     totals = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(done, key, "full_outer")
-    totals = ws.stage(totals.select(key, F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_done", F.lit(0)).alias("_done")), "totals")
+    totals = ws.stage(totals.select(key, F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_done", F.lit(0)).alias("_done")), "totals", measure=True)
     placed = lookup_join(numbered, totals, [key], weight="_n")
     whole = F.floor(F.col("_n") / size) * size
     (placed.filter(F.col("_idx") < whole)

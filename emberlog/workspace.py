@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +28,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def row_chars(df: DataFrame) -> Column:
+    """Characters of a row's strings, and eight per array element."""
+    width = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + 8 * F.greatest(F.size(field.name), F.lit(0))
+    return width
+
+
+def _with_size(df: DataFrame, size: tuple[int, int] | None) -> DataFrame:
+    df._emberlog_size = size
+    return df
+
+
+def sized_like(df: DataFrame, measured: DataFrame) -> DataFrame:
+    """Mark ``df``, which has no more or wider rows than ``measured``, as measured too."""
+    return _with_size(df, measured._emberlog_size)
+
+
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, characters): as measured when staged, else by one pass."""
+    size = getattr(df, "_emberlog_size", None)
+    if size is None:
+        row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_chars(df)).alias("chars")).first()
+        size = (row.rows, row.chars or 0)
+    return size
+
+
 class Workspace:
     """One run's folder of staged tables. ``drop()`` once the run's results were written."""
 
@@ -38,11 +68,18 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return a scan of what was written."""
-        path = self.path(name)
+    def stage(self, df: DataFrame, name: str, measure: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and return a scan of what was written.
+
+        ``measure`` counts rows and characters while writing, for tables that will be looked up.
+        """
+        path, schema, size = self.path(name), df.schema, None
+        if measure:
+            size = Observation()
+            df = df.observe(size, F.count(F.lit(1)).alias("rows"), F.sum(row_chars(df)).alias("chars"))
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        return out if size is None else _with_size(out, (size.get["rows"], size.get["chars"] or 0))
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
