@@ -175,7 +175,7 @@ def _crossing(tokens: DataFrame) -> DataFrame:
 
 @dataclass
 class Mined:
-    """Results of mining: the event of each shape, and the staged catalogue of events."""
+    """Results of mining: the event of each shape, and the catalogue of events."""
 
     shapes: DataFrame
     catalogue: DataFrame
@@ -208,13 +208,11 @@ def shape_templates(df: DataFrame, preset: Preset, ws: Workspace, content: str =
     if literal.isEmpty():
         catalogue = catalogue.withColumn("template", F.col("draft"))
     else:
-        words_there = _grouped_tokens(annotated, sized_like(literal, groups)).filter("not param")
-        crossing = ws.stage(_crossing(words_there), "crossing_words", measure=True)
-        catalogue = ws.stage(catalogue, "draft_catalogue")
+        crossing = _crossing(_grouped_tokens(annotated, sized_like(literal, groups)).filter("not param"))
         word = catalogue.select(*GROUP, "first_line", F.posexplode(words(F.col("draft"))).alias("pos", "word"))
-        final = (lookup_join(word, crossing, [*GROUP, "word"], "left", weight="rows")
+        final = (word.join(crossing.select(*GROUP, "word", F.lit(MASK).alias("mask")), [*GROUP, "word"], "left")
                  .groupBy("first_line").agg(F.sort_array(F.collect_list(F.struct(
-                     "pos", F.when(F.col("rows").isNull(), F.col("word")).otherwise(MASK).alias("word")))).alias("t"))
+                     "pos", F.coalesce("mask", "word").alias("word")))).alias("t"))
                  .select("first_line", F.array_join("t.word", " ").alias("template")))
         catalogue = catalogue.join(final, "first_line")
     # Order of first appearance: by length, then by group, then by line.
@@ -246,7 +244,7 @@ def mine(df: DataFrame, preset: Preset | str, ws: Workspace, content: str = "con
     """Mine the templates of ``df``; ``.events(df)`` then labels its lines."""
     preset = PRESETS[preset] if isinstance(preset, str) else preset
     drafts, catalogue = shape_templates(df, preset, ws, content, key)
-    events = ws.stage(hashed_event_ids(catalogue) if hashed_ids else assign_event_ids(catalogue, ws), "events", measure=True)
+    events = sized_like(hashed_event_ids(catalogue) if hashed_ids else assign_event_ids(catalogue, ws), catalogue)
     named = lookup_join(catalogue.select(*GROUP, "draft", "rows", F.col("template").alias("event_template")),
                         sized_like(events.select("event_id", "event_template"), events), ["event_template"])
     shapes = lookup_join(drafts.select("norm", "n", *GROUP, "draft"), sized_like(named, catalogue), [*GROUP, "draft"],

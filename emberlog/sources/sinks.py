@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators import cleaning, detect
 from ..workspace import Workspace
 
-QUOTED = {"header": True, "quoteAll": True, "escape": "\\"}
+# Every value quoted, quotes doubled.
+QUOTED = {"header": True, "quoteAll": True, "escape": '"'}
 
 
 def write_structured(df: DataFrame, path: str, fmt: str = "parquet") -> None:

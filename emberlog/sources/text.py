@@ -51,11 +51,11 @@ def number_lines(rows: DataFrame, ws: Workspace, name: str = "line_id") -> DataF
 
 
 def read_structured(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """A structured CSV with header; names in snake case, empty values as null.
+    """A structured CSV with header and doubled quotes; names in snake case, empty values as null.
 
     ``multi_line`` reads quoted line breaks, at the price of one task per file.
     """
-    rows = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, quote='"', escape="\\",
+    rows = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, quote='"', escape='"',
                           multiLine=multi_line)
     return rows.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(snake(c)) for c in rows.columns])
 
