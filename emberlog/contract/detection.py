@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import severity, severity_confidence
 from ..operators import analytics as an, dashboard as db, detect as dt
+from ..operators.classify import with_log_type
 from ..operators.indexing import index_rows, percentiles
 from ..operators.windows import sequence_windows, window_error
 from ..plans.rulebook import RULES, SEVERITY_LABELS, THREAT_TYPES, WEIGHTS
@@ -376,8 +377,7 @@ def pattern_effectiveness(spark, sf, ws):
 @query("join_rules_dim", sql("SELECT category, count(log_type) AS n FROM dim LEFT JOIN verdict ON log_type = category GROUP BY ALL", *FULL[:2], RULES_DIM))
 def join_rules_dim(spark, sf, ws):
     """Every rule category with the logs it decides, zero when none."""
-    from ..functions.rules import log_type
-    hits = templated(spark, sf).groupBy(log_type(F.col("event_template"), F.col("content")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    hits = with_log_type(templated(spark, sf), "category").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     dim = spark.createDataFrame([(c,) for c in RULES], "category string")
     return F.broadcast(dim).join(hits, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -410,8 +410,7 @@ TRUTH = ("CASE branch WHEN 'B0' THEN 'authentication_error' WHEN 'B1' THEN 'auth
 
 @query("classification_metrics_rules", sql(METRICS, LABELED_CTE, VERDICT_CTE, f"pairs AS (SELECT {TRUTH} AS t, log_type AS p FROM verdict)"))
 def classification_metrics_rules(spark, sf, ws):
-    from ..functions.rules import log_type
-    rows = templated(spark, sf).select(F.expr(TRUTH).alias("truth"), log_type(F.col("event_template"), F.col("content")).alias("predicted"))
+    rows = with_log_type(templated(spark, sf), "predicted").select(F.expr(TRUTH).alias("truth"), "predicted")
     return rounded(an.classification_metrics(rows, "truth", "predicted"), "precision", "recall", "f1")
 
 
@@ -477,8 +476,7 @@ def recent_threats(spark, sf, ws):
 
 # All logs with their rule type are the widest table of threats and non-threats.
 def typed_logs(spark, sf):
-    from ..functions.rules import log_type
-    return templated(spark, sf).select("line_id", log_type(F.col("event_template"), F.col("content")).alias("anomaly_type"))
+    return with_log_type(templated(spark, sf), "anomaly_type").select("line_id", "anomaly_type")
 
 
 @query("threat_share", sql("SELECT count(CASE WHEN log_type <> 'normal' THEN 1 END) AS threats, count(CASE WHEN log_type = 'normal' THEN 1 END) AS non_threats, "

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import scoring as sc, templates as tm
+from ..operators import detect as dt, scoring as sc, templates as tm
+from ..operators.classify import with_log_type
 from ..operators.indexing import index_rows, percentiles
 from ..operators.parsing import parse_preset
 from ..plans.presets import PRESETS
@@ -16,9 +17,6 @@ from .detection import FULL, LOG, RECORD, anomalies, rounded, run, stored
 from .mining import CHAIN, EVENTS, LINUX
 from .text import COLLECT, LABELED_CTE, OUTPUT, PAYLOAD, VERDICT_CTE, payloads
 
-from ..operators import detect as dt
-from ..functions.rules import log_type
-
 
 # ---- sources ------------------------------------------------------------------------------------
 
@@ -203,9 +201,8 @@ def finish(writer):
 
 
 def typed_stream(spark, sf):
-    rows = event_stream(spark, sf)
-    template = F.regexp_replace("content", "[0-9]+", "<*>")
-    return rows.select("line_id", "ts", "host", "component", "value", log_type(template, F.col("content")).alias("anomaly_type"))
+    rows = event_stream(spark, sf).withColumn("event_template", F.regexp_replace("content", "[0-9]+", "<*>"))
+    return with_log_type(rows, "anomaly_type").select("line_id", "ts", "host", "component", "value", "anomaly_type")
 
 
 @query("kafka_source", sql("SELECT value, count(*) AS n FROM payloads GROUP BY ALL", COLLECT[0]))
@@ -279,3 +276,13 @@ def stream_windowed_counts(spark, sf, ws):
     finish(jobs.stream_windowed_counts(stream, out, ws.path("checkpoint")))
     counts = jobs.latest_counts(spark.read.parquet(out), ["start", "anomaly_type"])
     return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("batch_run")
+def batch_run(spark, sf, ws):
+    """The whole run over all lines as text: parse, mine, features, scores, labels."""
+    from ..plans.batch import analyze_logs
+    lines = src.read_logs(spark, text_folder(spark, sf, ws))
+    return rounded(analyze_logs(lines, "Linux", ws).detection.anomalies().select(
+        "processing_mode", "anomaly_type", "severity", "confidence", "anomaly_score", "timestamp", "win_id", "position"),
+        "confidence", "anomaly_score")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules, syslog, text
+from ..functions import syslog, text
 from ..operators import collect, parsing
+from ..operators.classify import classify, with_log_type
 from ..operators.indexing import index_rows
 from ..plans.presets import PRESETS
 from ..plans.rulebook import (AUTH_LINE, CONTENT_FLAGS, CRITICAL_TYPES, KERNEL_LINE, RULES, SYSLOG_LINE,
@@ -13,7 +14,7 @@ from ..plans.rulebook import (AUTH_LINE, CONTENT_FLAGS, CRITICAL_TYPES, KERNEL_L
 from .base import logs, query, quoted, sql
 from .mining import LINUX
 
-LINUX_RE = quoted(text.compile_format(LINUX.log_format)[0])
+LINUX_RE = quoted(text.compile_format(LINUX.log_format, atomic=False)[0])
 PARSED_CTE = (f"parsed AS (SELECT line_id, regexp_extract(line, {LINUX_RE}, 1) AS month, regexp_extract(line, {LINUX_RE}, 2) AS date, "
               f"regexp_extract(line, {LINUX_RE}, 3) AS time, regexp_extract(line, {LINUX_RE}, 4) AS level, "
               f"regexp_extract(line, {LINUX_RE}, 5) AS component, nullif(regexp_extract(line, {LINUX_RE}, 7), '') AS pid, "
@@ -58,7 +59,7 @@ LAYOUTS = {
 
 def _preset_sql(name):
     from .mining import norm_sql
-    pattern, headers = text.compile_format(PRESETS[name].log_format)
+    pattern, headers = text.compile_format(PRESETS[name].log_format, atomic=False)
     content = f"regexp_extract({LAYOUTS[name]}, {quoted(pattern)}, {headers['Content'][0]})"
     return (f"SELECT {quoted(name)} AS preset, line_id, content, {norm_sql(PRESETS[name])} AS normalized FROM "
             f"(SELECT line_id, {content} AS content FROM logs WHERE regexp_matches({LAYOUTS[name]}, {quoted(pattern)})) t")
@@ -233,7 +234,7 @@ VERDICT_CTE = f"verdict AS (SELECT *, {TYPE_SQL} AS log_type, {PATTERN_SQL} AS m
 
 
 def judged(spark, sf):
-    return templated(spark, sf).withColumn("v", rules.verdict(F.col("event_template"), F.col("content")))
+    return classify(templated(spark, sf), "v")
 
 
 @query("classify_rules", sql("SELECT line_id, log_type, matched_pattern FROM verdict", LABELED_CTE, VERDICT_CTE))
@@ -262,8 +263,7 @@ def rule_is_critical(spark, sf, ws):
                           LABELED_CTE, VERDICT_CTE))
 def threat_flag(spark, sf, ws):
     from ..operators.dashboard import with_threat_flag
-    types = templated(spark, sf).select("line_id", rules.log_type(F.col("event_template"), F.col("content")).alias("log_type"))
-    return with_threat_flag(types, "log_type")
+    return with_threat_flag(with_log_type(templated(spark, sf)).select("line_id", "log_type"), "log_type")
 
 
 # ---- content features ---------------------------------------------------------------------------

@@ -28,10 +28,9 @@ def confidence(text: Column, pattern: str, weight: float) -> Column:
     return F.round(F.least(F.lit(base) + F.least(found * 0.05, F.lit(0.2)), F.lit(0.98)), 3)
 
 
-def verdict(template: Column, content: Column, rules: Mapping[str, Sequence[str]] = RULES,
-            weights: Mapping[str, float] = WEIGHTS, critical: Sequence[str] = CRITICAL_TYPES) -> Column:
-    """Struct of log_type, confidence, matched_pattern and is_critical: the first rule that hits."""
-    text = rule_text(template, content)
+def verdict_of(text: Column, rules: Mapping[str, Sequence[str]] = RULES, weights: Mapping[str, float] = WEIGHTS,
+               critical: Sequence[str] = CRITICAL_TYPES) -> Column:
+    """Struct of log_type, confidence, matched_pattern and is_critical: the first rule that hits the text."""
 
     def outcome(category, pattern):
         return F.struct(F.lit(category).alias("log_type"),
@@ -46,7 +45,14 @@ def verdict(template: Column, content: Column, rules: Mapping[str, Sequence[str]
     return _first_hit(text, rules, outcome, normal)
 
 
-def log_type(template: Column, content: Column, rules: Mapping[str, Sequence[str]] = RULES) -> Column:
+def log_type_of(text: Column, rules: Mapping[str, Sequence[str]] = RULES) -> Column:
     """Only the category: what the detector needs of the verdict."""
-    text = rule_text(template, content)
     return _first_hit(text, rules, lambda category, _: F.lit(category), F.lit(NORMAL_TYPE))
+
+
+def verdict(template: Column, content: Column, **options) -> Column:
+    return verdict_of(rule_text(template, content), **options)
+
+
+def log_type(template: Column, content: Column, **options) -> Column:
+    return log_type_of(rule_text(template, content), **options)

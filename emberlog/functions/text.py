@@ -28,19 +28,26 @@ def _parentheses(part: str):
     return [(m.group(), bare[m.end():m.end() + 1]) for m in re.finditer(r"[()]", bare)]
 
 
-def compile_format(log_format: str) -> tuple[str, dict[str, tuple[int, int | None]]]:
+def compile_format(log_format: str, atomic: bool = True) -> tuple[str, dict[str, tuple[int, int | None]]]:
     """Turn ``<Month> <Date> <Content>`` into an anchored pattern.
 
     Also gives each header's group number and the number of the optional group around it, if any.
     Parentheses written by the user take group numbers too.
+
+    A header between spaces ends at the first space if the line fits at all: the header after the
+    spaces can take up whatever it would have held. ``atomic`` says so in the pattern, or lines that
+    do not fit would be tried in a number of ways that grows with a power of their words. It holds for
+    text without line breaks.
     """
     pattern, headers, open_groups, optional, count = "^", {}, [], set(), 0
-    for part in re.findall(r"<[^<>]+>|[^<]+|<", log_format):
+    parts = re.findall(r"<[^<>]+>|[^<]+|<", log_format)
+    for i, part in enumerate(parts):
         header = re.fullmatch(r"<([^<>]+)>", part)
         if header:
             count += 1
             headers[header.group(1)] = (count, open_groups[-1] if open_groups else None)
-            pattern += "(.*?)"
+            spaced = i + 2 < len(parts) and not parts[i + 1].strip(" ") and parts[i + 2].startswith("<")
+            pattern += r"(?>(.*?)(?=\s))" if atomic and spaced and not open_groups else "(.*?)"
             continue
         for mark, following in _parentheses(part):
             if mark == "(":

@@ -6,16 +6,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rules import log_type
 from ..functions.severity import severity, severity_confidence
 from ..plans.rulebook import (ALERT_LIMITS, FLAG_PERCENTILE, NORMAL_TYPE, SEVERITY_PERCENTILES, WINDOW_LENGTH,
                               WINDOW_STRIDE)
 from ..workspace import Workspace
-from .bind import bind
+from .classify import with_log_type
 from .indexing import percentile_values
 from .windows import sequence_windows, window_error
 
-MODES = {"sequential": "sequential", "single_log": "single"}
+MODES = ("sequential", "single_log")
 
 
 def flag_threshold(errors: DataFrame, error: str, ws: Workspace, percentile: float = FLAG_PERCENTILE) -> float | None:
@@ -71,7 +70,7 @@ def _text(name: str) -> Column:
 
 def _typed(rows: DataFrame) -> DataFrame:
     """Rules run only on the logs of flagged windows, once per log."""
-    return bind(rows, {"anomaly_type": log_type(F.col("event_template"), F.col("content"))})
+    return with_log_type(rows, "anomaly_type")
 
 
 def single_log_anomalies(windows: DataFrame, flagged: DataFrame, error: str, model: SeverityModel) -> DataFrame:
@@ -137,29 +136,48 @@ class Detection:
         return counts.select("*", *limits)
 
 
+LOG_COLUMNS = ("line_id", "time", "level", "component", "content", "event_template")
+
+
+def with_log_columns(rows: DataFrame) -> DataFrame:
+    """Columns that a layout lacks are added as null."""
+    have = {c.lower() for c in rows.columns}
+    return rows.withColumns({c: F.lit(None).cast("string") for c in LOG_COLUMNS if c not in have})
+
+
 def detect(rows: DataFrame, n: int, ws: Workspace, mode: str = "both", sequential_error: str = "sequential_error",
            single_error: str = "single_error", model: SeverityModel | None = None,
            seq_len: int = WINDOW_LENGTH, stride: int = WINDOW_STRIDE) -> Detection:
-    """Score windows, flag the top errors of the batch, and label what they hold.
+    """Detect from one error per row and mode: a window's error is the mean of its rows."""
+    windows = sequence_windows(rows, n, seq_len, stride)
+    errors = ws.stage(window_error(windows, sequential_error, single_error)
+                      .select("win_id", F.col(sequential_error).alias("sequential_error"),
+                              F.col(single_error).alias("single_error")), "window_errors")
+    return detect_windows(rows, n, errors, ws, mode, model, seq_len, stride)
+
 
-    ``rows`` have idx, line_id, time, level, component, content, event_template and one error per
-    row and mode. Without a ``model`` the severity thresholds are learned from this batch.
+def detect_windows(rows: DataFrame, n: int, errors: DataFrame, ws: Workspace, mode: str = "both",
+                   model: SeverityModel | None = None, seq_len: int = WINDOW_LENGTH,
+                   stride: int = WINDOW_STRIDE) -> Detection:
+    """Flag the top errors of the batch, and label what their windows hold.
+
+    ``rows`` have idx and the log columns; ``errors`` (staged) has win_id, sequential_error and
+    single_error. Without a ``model`` the severity thresholds are learned from this batch.
     """
     if mode not in ("both", "sequential", "single"):
         raise ValueError(f"unknown mode {mode!r}")
-    windows = sequence_windows(rows, n, seq_len, stride)
-    errors = ws.stage(window_error(windows, sequential_error, single_error), "window_errors")
+    windows = sequence_windows(with_log_columns(rows), n, seq_len, stride)
     if model is None:
-        both = errors.select(F.explode(F.array(sequential_error, single_error)).alias("error"))
+        both = errors.select(F.explode(F.array("sequential_error", "single_error")).alias("error"))
         model = SeverityModel.fit(both, "error", ws)
     found = Detection(n, mode, {}, model, errors)
     if mode in ("both", "single"):
-        limit = found.thresholds["single_log"] = flag_threshold(errors, single_error, ws)
-        found.single = single_log_anomalies(windows, flag_windows(errors, single_error, limit), single_error, model)
+        limit = found.thresholds["single_log"] = flag_threshold(errors, "single_error", ws)
+        found.single = single_log_anomalies(windows, flag_windows(errors, "single_error", limit), "single_error", model)
     if mode in ("both", "sequential"):
-        limit = found.thresholds["sequential"] = flag_threshold(errors, sequential_error, ws)
-        found.sequential = sequential_anomalies(windows, flag_windows(errors, sequential_error, limit),
-                                                sequential_error, model)
+        limit = found.thresholds["sequential"] = flag_threshold(errors, "sequential_error", ws)
+        found.sequential = sequential_anomalies(windows, flag_windows(errors, "sequential_error", limit),
+                                                "sequential_error", model)
     return found
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import capture, compile_format, regex, snake, strip
 from ..plans.presets import PRESETS, Preset
+from .bind import bind
 
 
 def parse_logs(df: DataFrame, log_format: str, line: str = "value", keep: Sequence[str] = (),
@@ -18,14 +19,18 @@ def parse_logs(df: DataFrame, log_format: str, line: str = "value", keep: Sequen
     part is absent.
     """
     pattern, headers = compile_format(log_format)
-    pattern = regex(pattern)
-    text = strip(F.col(line))
-    fits = F.coalesce(F.rlike(text, F.lit(pattern)), F.lit(False))
+    pattern, plain = regex(pattern), regex(compile_format(log_format, atomic=False)[0])
+    broken = lambda text: F.contains(text, F.lit("\n"))
+    hit = lambda text: F.when(broken(text), F.rlike(text, F.lit(plain))).otherwise(F.rlike(text, F.lit(pattern)))
+    fits = lambda text: F.coalesce(hit(text), F.lit(False))
     if rejects:
-        return df.filter(~fits)
+        return df.filter(~fits(strip(F.col(line))))
     numbers = sorted({n for pair in headers.values() for n in pair if n})
     slot = {n: i for i, n in enumerate(numbers)}
-    parts = df.filter(fits).select(*keep, capture(text, pattern, numbers).alias("_parts"))
+    text = F.col("_line")
+    lines = bind(df.select(*keep, F.col(line).alias("_raw")), {"_line": strip(F.col("_raw"))})
+    captured = F.when(broken(text), capture(text, plain, numbers)).otherwise(capture(text, pattern, numbers))
+    parts = lines.filter(fits(text)).select(*keep, captured.alias("_parts"))
     columns = []
     for header, (number, around) in headers.items():
         value = F.get("_parts", F.lit(slot[number]))

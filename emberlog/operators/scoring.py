@@ -60,6 +60,10 @@ class Reconstruction:
         vectors = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
         return cls(mean, PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray())
 
+    def truncated(self, k: int) -> "Reconstruction":
+        """The smaller model: directions are ordered by the variance they keep."""
+        return Reconstruction(self.mean, self.directions[:, :k])
+
     def error(self, features: Column) -> Column:
         """Mean squared error of encoding and decoding a row."""
         mean, directions = self.mean, self.directions
@@ -107,11 +111,13 @@ def ensemble_errors(rows: DataFrame, n: int, features: str, ws: Workspace,
     """(win_id, model_id, mode, err) for models of several sizes in both modes."""
     rows = ws.stage(rows.select("idx", F.col(features).cast("array<double>").alias("x")), "vectors")
     windows = ws.stage(flat_windows(rows, n, "x"), "flat_windows")
+    # One fit per mode: a model with fewer directions is a part of the largest.
+    single, sequential = Reconstruction.fit(rows, "x", max(sizes)), Reconstruction.fit(windows, "window", max(sizes))
     parts = []
     for k in sizes:
         named = lambda errs, mode: errs.select("win_id", F.lit(k).alias("model_id"), F.lit(mode).alias("mode"), "err")
-        parts.append(named(single_errors(rows, n, "x", Reconstruction.fit(rows, "x", k)), "single_log"))
-        parts.append(named(sequential_errors(windows, Reconstruction.fit(windows, "window", k)), "sequential"))
+        parts.append(named(single_errors(rows, n, "x", single.truncated(k)), "single_log"))
+        parts.append(named(sequential_errors(windows, sequential.truncated(k)), "sequential"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

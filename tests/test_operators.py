@@ -58,7 +58,7 @@ def test_percentiles_match_numpy(spark, ws):
 # ---- parsing ------------------------------------------------------------------------------------
 
 def test_format_groups_and_optional_part():
-    pattern, headers = text.compile_format(PRESETS["Mac"].log_format)
+    pattern, headers = text.compile_format(PRESETS["Mac"].log_format, atomic=False)
     assert headers["PID"] == (6, None) and headers["Address"] == (8, 7) and headers["Content"] == (9, None)
     assert pattern.startswith(r"^(.*?)\s+(.*?)")
 
@@ -73,6 +73,24 @@ def test_parse_without_pid_and_rejects(spark):
     assert {r.line_id for r in rejects.collect()} == {2, 3}
 
 
+def test_atomic_formats_fit_the_same_lines(spark):
+    """Against the plain pattern in the scripting engine, on random lines of few characters."""
+    import re
+    rng = np.random.default_rng(5)
+    lines = ["".join(rng.choice(list("ab  :[]-/,|=1()"), size=int(rng.integers(5, 30)))) for _ in range(1500)]
+    lines += ["x y\nz w v u: c", "Jun 2  3 h k: c", "a b c d no colon " * 40, "a b c d e[5]: f\ng"]
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "line_id long, value string")
+    for name in ("Linux", "Spark", "Mac", "HPC", "OpenStack", "Zookeeper"):
+        pattern, headers = text.compile_format(PRESETS[name].log_format, atomic=False)
+        want = {}
+        for i, l in enumerate(lines):
+            m = None if len(l) > 200 else re.search(pattern, l.strip())
+            if m:
+                want[i] = tuple(m.group(headers[h][0]) for h in headers)
+        got = {r[0]: tuple(r[1:]) for r in parsing.parse_preset(df, name, keep=["line_id"]).collect()}
+        assert {k: v for k, v in got.items() if len(lines[k]) <= 200} == want
+
+
 def test_words(spark):
     df = spark.createDataFrame([(" a=1,b  c:",), ("",), ("x9",), ("abcdefg123",), ("ab12345<*>",)], "c string")
     norm = text.normalized(F.col("c"), PRESETS["Linux"])
