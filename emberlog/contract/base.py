@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.bind import bind
 from ..workspace import Workspace
 
 # One text, valid in Spark SQL and DuckDB; {events} is the events table.
@@ -41,11 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_logs: dict[tuple[str, str], DataFrame] = {}
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ``events`` table as log lines."""
-    query = LINE_SQL.replace("{logs}", LOGS_SQL)
-    rows = spark.sql(query, events=table(spark, sf_dir, "events"))
-    return bind(rows.select(F.struct("*").alias("_row")), {n: F.col(f"_row.{n}") for n in rows.columns}).drop("_row")
+    """The whole ``events`` table as log lines, written once per session like any collected log."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _logs:
+        query = LINE_SQL.replace("{logs}", LOGS_SQL)
+        _logs[key] = Workspace(spark).stage(spark.sql(query, events=table(spark, sf_dir, "events")), "logs")
+    return _logs[key]
 
 
 # ---- registration -------------------------------------------------------------------------------

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import regex, word_count
+from ..functions.rules import any_hits, hits, listed
+from ..functions.text import word_count
 from ..plans.rulebook import CLEANING_PATTERNS, ERROR_LEVELS, PROBLEM_COMPONENTS
 from ..workspace import Workspace
 from .bind import bind
@@ -24,11 +25,7 @@ def cleaning_text(content: Column, template: Column) -> Column:
 
 def is_anomalous(text: Column) -> Column:
     """Whether any cleaning pattern hits the lower-cased text."""
-    hit = F.lit(False)
-    for patterns in CLEANING_PATTERNS.values():
-        for pattern in patterns:
-            hit = hit | F.rlike(text, F.lit(regex(pattern, ignore_case=True)))
-    return hit
+    return any_hits(text, [p for _, p in listed(CLEANING_PATTERNS)])
 
 
 def is_problem_component(component: Column) -> Column:
@@ -113,9 +110,9 @@ def cleaning_funnel(staged: DataFrame) -> DataFrame:
 def pattern_hits(df: DataFrame) -> DataFrame:
     """Rows hit by each cleaning pattern, counted independently after the level filter."""
     text = bind(filter_error_levels(df), {"_text": cleaning_text(F.col("content"), F.col("event_template"))})
-    names = [(c, p) for c, patterns in CLEANING_PATTERNS.items() for p in patterns]
-    counts = text.agg(*[F.count_if(F.rlike("_text", F.lit(regex(p, ignore_case=True)))).alias(f"p{i}")
-                        for i, (_, p) in enumerate(names)])
+    names = listed(CLEANING_PATTERNS)
+    counts = text.filter(is_anomalous(F.col("_text"))).agg(
+        *[F.count_if(hits(F.col("_text"), p)).alias(f"p{i}") for i, (_, p) in enumerate(names)])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern"),
                                                      F.col(f"p{i}").alias("hits")) for i, (c, p) in enumerate(names)])))
 

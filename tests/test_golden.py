@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import GOLDEN
-from emberlog.functions import rules, syslog
+from emberlog.functions import syslog
 from emberlog.operators import collect, detect as dt, parsing, templates as tm
+from emberlog.operators.classify import classify, with_log_type
 from emberlog.operators.indexing import index_rows
 from emberlog.operators.windows import sequence_windows
 from emberlog.plans.presets import PRESETS
@@ -46,10 +47,11 @@ def test_templates_on_the_ways_for_large_tables(logs, ws, small_limits):
 
 
 def test_rule_verdicts(logs):
-    counts = logs.groupBy(rules.log_type(F.col("event_template"), F.col("content")).alias("t")).count().collect()
-    assert {r.t: r["count"] for r in counts} == {"authentication_error": 16, "normal": 53}
-    alone = logs.filter(rules.log_type(F.lit(None), F.col("content")) != "normal").count()
-    assert alone == 6
+    counts = with_log_type(logs).groupBy("log_type").count().collect()
+    assert {r.log_type: r["count"] for r in counts} == {"authentication_error": 16, "normal": 53}
+    assert classify(logs).filter("verdict.log_type = 'authentication_error' and verdict.confidence = 0.98").count() == 16
+    alone = with_log_type(logs.withColumn("event_template", F.lit(None).cast("string")))
+    assert alone.filter("log_type <> 'normal'").count() == 6
 
 
 def test_flagged_windows(logs, ws):

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.functions import rules, severity, text
+from emberlog.functions import severity, text
 from emberlog.operators import analytics, cleaning, collect, dashboard, detect as dt, features as ft, parsing, quality
 from emberlog.operators import scoring as sc, templates as tm
+from emberlog.operators.classify import classify
 from emberlog.operators.indexing import index_rows, percentile_values, percentiles
 from emberlog.operators.lookup import lookup_join
 from emberlog.operators.windows import sequence_windows, window_error
@@ -235,7 +236,7 @@ def test_detect_in_one_mode_and_summary(spark, ws):
 
 def test_rule_order_and_confidence(spark):
     df = spark.createDataFrame([("permission denied",), ("kernel panic",), ("Fatal",), ("fine",), (None,)], "c string")
-    v = [r[0] for r in df.select(rules.verdict(F.lit(None).cast("string"), F.col("c"))).collect()]
+    v = [r.v for r in classify(df.withColumn("t", F.lit(None).cast("string")), "v", "t", "c").collect()]
     assert [x.log_type for x in v] == ["filesystem_error", "memory_error", "system_critical", "normal", "normal"]
     assert [x.confidence for x in v] == [0.98, 0.98, 0.98, 0.7, 0.7] and [x.is_critical for x in v] == [False, False, True, False, False]
 
