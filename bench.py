@@ -30,7 +30,7 @@ def main() -> None:
         return time.time() - start
 
     lines = table(spark, sf_dir, "events").count()
-    for _ in range(int(os.environ.get("BENCH_WARMUPS", "2"))):
+    for _ in range(int(os.environ.get("BENCH_WARMUPS", "1"))):
         for key in HEADLINE:
             once(key)
     seconds = {key: round(once(key), 3) for key in HEADLINE}
