@@ -16,7 +16,7 @@ from ..operators.windows import sequence_windows, window_error
 from ..plans.rulebook import RULES, SEVERITY_LABELS, THREAT_TYPES, WEIGHTS
 from ..workspace import Workspace
 from .base import logs, query, quoted, sql, table
-from .text import LABELED_CTE, TYPE_SQL, VERDICT_CTE, payloads, templated
+from .text import LABELED_CTE, VERDICT_CTE, templated
 
 ERRORS = {"sequential": "sequential_error", "single_log": "single_error"}
 

@@ -8,13 +8,12 @@ from ..operators import detect as dt, scoring as sc, templates as tm
 from ..operators.classify import with_log_type
 from ..operators.indexing import index_rows, percentiles
 from ..operators.parsing import parse_preset
-from ..plans.presets import PRESETS
 from ..sources import payloads as pl, sinks, streams, text as src
 from ..streaming import jobs
 from ..streaming.count_windows import stream_count_windows
 from .base import LOGS_SQL, LINE_SQL, logs, query, sql, table
 from .detection import FULL, LOG, RECORD, anomalies, rounded, run, stored
-from .mining import CHAIN, EVENTS, LINUX
+from .mining import CHAIN, LINUX
 from .text import COLLECT, LABELED_CTE, OUTPUT, PAYLOAD, VERDICT_CTE, payloads
 
 
