@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.lookup import fits_broadcast
-
 # The white space that separates words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -41,11 +39,6 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its measured size is below the limit; else as it is."""
-    return F.broadcast(df) if fits_broadcast(df) else df
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken = {c.lower() for c in df.columns}

@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality
+from ..workspace import Workspace
+from . import chat, fingerprint, lines, quality
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.query(read(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query(read(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read(spark, sf_dir, "documents"))
 
@@ -20,5 +29,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op8_chat_formatting)}
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op8_chat_formatting)}
+ORACLES: dict[str, str] = {
+    "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
+    "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
