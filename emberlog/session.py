@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # AQE re-plans joins from the sizes it measures and splits skewed partitions.
@@ -28,3 +32,26 @@ def local_session(cores: int | str = "*", app: str = "emberlog", **extra) -> Spa
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+# Applications that have the package, with the folder the driver serves it from until it ends.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers refer to the package by name; a worker that starts in another
+    folder or on another machine finds it in the shipped archive.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.TemporaryDirectory(prefix="emberlog-code-")
+    archive = Path(folder.name, "emberlog_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped[app] = folder

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from .session import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -62,6 +64,7 @@ class Workspace:
     """One run's folder of staged tables. ``drop()`` once the run's results were written."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
+        ship(spark)
         self.spark = spark
         self.folder = f"{root or shared_folder(spark)}/run-{uuid.uuid4().hex[:12]}"
 
