@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import Workspace
-from . import chat, fingerprint, lines, quality
+from . import chat, fingerprint, lines, quality, wavelet
 from .common import read
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,12 +31,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read(spark, sf_dir, "documents"))
 
 
+def op5_token_id_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return wavelet.query(read(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"), Workspace(spark))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op8_chat_formatting)}
+    op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op5_token_id_output,
+    op8_chat_formatting)}
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
     "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
