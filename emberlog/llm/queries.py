@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import Workspace
-from . import chat, fingerprint, lines, quality, wavelet
+from . import chat, fingerprint, lines, packing, quality, wavelet
 from .common import read
 
 def vocabulary(name: str) -> str:
@@ -35,13 +35,17 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return wavelet.query(read(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"), Workspace(spark))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.query(read(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), Workspace(spark))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op5_token_id_output,
-    op8_chat_formatting)}
+    op6_best_fit_packing,    op8_chat_formatting)}
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
     "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
