@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from ..workspace import Workspace
-from . import chat, fingerprint, lines, packing, quality, wavelet
+from . import chat, fingerprint, lines, packing, quality, toxicity, wavelet
 from .common import read
 
 def vocabulary(name: str) -> str:
@@ -39,13 +40,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return packing.query(read(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), Workspace(spark))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op5_token_id_output,
-    op6_best_fit_packing,    op8_chat_formatting)}
+    op6_best_fit_packing, op7_toxicity, op8_chat_formatting)}
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
     "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
