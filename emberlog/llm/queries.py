@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from ..workspace import Workspace
-from . import chat, fingerprint, lines, packing, quality, substrings, toxicity, wavelet
+from . import chat, fingerprint, jaccard, lines, packing, quality, substrings, toxicity, wavelet
 from .common import read
 
 def vocabulary(name: str) -> str:
@@ -53,10 +53,15 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.query(read(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.query(read(spark, sf_dir, "documents"), Workspace(spark))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op5_token_id_output,
     op6_best_fit_packing, op7_toxicity, op8_chat_formatting,
-    op9_suffix_array_dedup)}
+    op9_suffix_array_dedup, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
-    "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
+    "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL,
+    "op10_ngram_jaccard_join": jaccard.SQL}
