@@ -25,15 +25,27 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-class Encoder:
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        # A control token parts the chunks of one call; its string cannot be in them.
-        self.mark, token = max(added.items())
-        self.mark_text = token.content
+class ChunkTable:
+    """Ids of chunks of text, looked up by hash; subclasses cut texts and encode new chunks."""
+
+    def __init__(self) -> None:
         self._clear()
 
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Where chunks begin, as a mask over the bytes; rows' starts come on top."""
+        raise NotImplementedError
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mask of the rows that must be encoded whole."""
+        return np.zeros(len(offsets) - 1, bool)
+
+    def encode_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, and how many each has."""
+        raise NotImplementedError
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        raise NotImplementedError
+
     def _clear(self) -> None:
         self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
         self.starts = np.zeros(1 << SLOT_BITS, np.int64)
@@ -50,32 +62,6 @@ class Encoder:
         self.used += len(ids)
         return at
 
-    def encode_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has. No text holds the mark."""
-        found = [self.tokenizer.encode_batch_fast([self.mark_text.join(texts[i:i + 2000])], add_special_tokens=False)[0].ids
-                 for i in range(0, len(texts), 2000)]
-        ids, counts = [], []
-        for part in found:
-            part = np.array(part, np.uint32)
-            cut = np.flatnonzero(part == self.mark)
-            edge = np.concatenate([[-1], cut, [len(part)]])
-            counts.append(np.diff(edge) - 1)
-            ids.append(np.delete(part, cut))
-        return np.concatenate(ids), np.concatenate(counts)
-
-    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows that the library must see whole."""
-        n = len(data)
-        odd = ((data >= 0x1C) & (data <= 0x1F)) | ((data >= 0xE1) & (data <= 0xE3))
-        if n > 1:
-            after = data[1:]
-            odd[:-1] |= (data[:-1] == 0xC2) & ((after == 0x85) | (after == 0xA0))
-            odd[:-1] |= (data[:-1] == ord("<")) & (after == ord("|"))
-        places = np.flatnonzero(odd)
-        rows = np.zeros(len(offsets) - 1, bool)
-        rows[np.searchsorted(offsets, places, "right") - 1] = True
-        return rows
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 rows ``data[offsets[i]:offsets[i + 1]]``, and how many each row has."""
         ids, counts = [], []
@@ -90,15 +76,13 @@ class Encoder:
         if self.used > POOL_IDS:
             self._clear()
         rows = len(offsets) - 1
-        space = hashing.is_space(data)
-        first = space.copy()
-        first[1:] &= ~space[:-1]
+        first = self.cuts(data)
         filled = np.flatnonzero(np.diff(offsets))
         first[offsets[filled]] = True
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(data))
         row = np.searchsorted(offsets, start, "right") - 1
-        whole = self._whole(data, offsets)
+        whole = self.whole(data, offsets)
         if whole.any():
             keep = ~whole[row]
             lone = np.flatnonzero(whole)
@@ -123,7 +107,7 @@ class Encoder:
                 got, made[some] = self.encode_chunks([texts[i] for i in some])
                 at[some] = self._keep(got) + np.cumsum(made[some]) - made[some]
             for i in np.flatnonzero(~plain):
-                got = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                got = self.encode_whole(texts[i])
                 made[i], at[i] = len(got), self._keep(got)
             where[miss], count[miss] = at[back], made[back]
             place = (new >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -131,3 +115,48 @@ class Encoder:
         total = np.cumsum(count)
         ids = self.pool[np.repeat(where - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
         return ids, np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+
+
+class Encoder(ChunkTable):
+    """Ids of the tokenizers library."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark, token = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark_text = token.content
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        space = hashing.is_space(data)
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        return first
+
+    def encode_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, parted in one call by a control token whose string is in none of them."""
+        found = [self.tokenizer.encode_batch_fast([self.mark_text.join(texts[i:i + 2000])], add_special_tokens=False)[0].ids
+                 for i in range(0, len(texts), 2000)]
+        ids, counts = [], []
+        for part in found:
+            part = np.array(part, np.uint32)
+            cut = np.flatnonzero(part == self.mark)
+            edge = np.concatenate([[-1], cut, [len(part)]])
+            counts.append(np.diff(edge) - 1)
+            ids.append(np.delete(part, cut))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that the library must see whole."""
+        n = len(data)
+        odd = ((data >= 0x1C) & (data <= 0x1F)) | ((data >= 0xE1) & (data <= 0xE3))
+        if n > 1:
+            after = data[1:]
+            odd[:-1] |= (data[:-1] == 0xC2) & ((after == 0x85) | (after == 0xA0))
+            odd[:-1] |= (data[:-1] == ord("<")) & (after == ord("|"))
+        places = np.flatnonzero(odd)
+        rows = np.zeros(len(offsets) - 1, bool)
+        rows[np.searchsorted(offsets, places, "right") - 1] = True
+        return rows
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from ..workspace import Workspace
-from . import chat, fingerprint, jaccard, lines, packing, quality, substrings, toxicity, wavelet
+from . import chat, fingerprint, jaccard, lines, packing, pieces, quality, substrings, toxicity, wavelet
 from .common import read
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    ship(spark)
+    return pieces.query(read(spark, sf_dir, "documents"), model or vocabulary("piece_bpe_32k.model"))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return wavelet.query(read(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"), Workspace(spark))
 
@@ -58,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op5_token_id_output,
+    op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_token_id_output,
     op6_best_fit_packing, op7_toxicity, op8_chat_formatting,
     op9_suffix_array_dedup, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {
