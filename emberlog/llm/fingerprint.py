@@ -108,7 +108,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     block = above([b[-1] for b in blocks])
     within = F.size(F.filter(F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), F.col("_block")), lambda c: c >= low)) if blocks else F.lit(-1)
     placed = (docs.withColumn("_block", block)
-              .withColumn("_range", F.col("_block") * step + F.greatest(within, F.lit(0))))
+              .withColumn("_range", F.least(F.col("_block") * step + F.greatest(within, F.lit(0)), F.lit(len(cuts)))))
     own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("again"))
     head = F.get(F.array(*map(F.lit, cuts)), F.col("_range") - 1) if cuts else F.lit(None).cast("long")
     before = F.struct((F.col("_range") - 1).alias("range"), F.lit(True).alias("again"))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.lookup import fits_broadcast, lookup_join
 from ..workspace import Workspace
@@ -412,12 +412,17 @@ def query(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def stage(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names it, once."""
-    keep = free_name(docs, "_keep")
-    named = ws.stage(near_duplicates(docs, ws).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-                     .select(F.col("doc_id").alias(keep)).distinct(), "kept", measure=True)
-    side = F.broadcast(named) if fits_broadcast(named) else named
-    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    """``docs`` with one row of each group: the document whose id names it, of repeated ids the least text."""
+    keep, place = free_name(docs, "_keep"), free_name(docs, "_place")
+    kept = near_duplicates(docs, ws).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    named = ws.stage(kept.groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias("rows")), "kept", measure=True)
+    side = named.select(keep)
+    side = F.broadcast(side) if fits_broadcast(named) else side
+    left = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    if named.filter(F.col("rows") > 1).isEmpty():
+        return left
+    first = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.coalesce(F.col("text"), F.lit("")))
+    return left.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
 
 
 SQL = rf"""

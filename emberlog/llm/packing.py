@@ -8,8 +8,9 @@ per possible length, whatever the corpus) reaches the driver:
    the lengths by their weights, and an unbounded knapsack by dynamic programming over the capacity
    finds for every length the best configuration that holds it. Those near the best price are
    raised, those of one round together.
-2. Rounding: the raised configurations are taken whole, the most raised first, as long as the
-   demand allows. What is left goes best-fit decreasing, first into gaps of the sequences there are.
+2. Rounding: a share of each raised configuration is taken whole, the most raised first, as long as
+   the demand allows. What is left goes best-fit decreasing. The share that needs the fewest
+   sequences counts (on lengths for which best-fit alone is near the bound, that may be a small one).
 
 Each piece then finds its sequence by its rank among the pieces of its length. Ranks come from
 counts per task and length, so no task sees more than its own pieces.
@@ -36,6 +37,8 @@ from .encoder import encoder
 LENGTH, END = 2048, 0
 # Rounds of the multiplicative weights, how fast weights fall, and how close to the best price counts.
 ROUNDS, RATE, NEAR = 40, 2.0, 0.02
+# Shares of the solution that rounding tries to keep; the one that needs the fewest sequences counts.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
 _NO_ID = -(1 << 63)
 
 
@@ -113,19 +116,26 @@ def configurations(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple
     if demand[length]:
         taken.append(((length,), int(demand[length])))
         demand[length] = 0
-    left = demand.copy()
-    for config, times in _raised(demand, rounds):
-        need = np.bincount(config, minlength=length + 1)
+    raised = _raised(demand, rounds)
+    tried = [_rounded(demand, raised, share) for share in SHARES]
+    return taken + min(tried, key=lambda made: sum(n for _, n in made))
+
+
+def _rounded(demand: np.ndarray, raised: list[tuple[tuple[int, ...], float]], share: float) -> list[tuple[tuple[int, ...], int]]:
+    """A share of the program's solution taken whole as far as demand allows, the rest best-fit."""
+    left, taken = demand.copy(), []
+    for config, times in raised:
+        need = np.bincount(config, minlength=len(demand))
         held = np.flatnonzero(need)
-        times = min(times, int((left[held] // need[held]).min()))
-        if times > 0:
-            left -= need * times
-            taken.append((config, times))
+        whole = min(int(np.ceil(times * share)), int((left[held] // need[held]).min()))
+        if whole > 0:
+            left -= need * whole
+            taken.append((config, whole))
     return taken + _best_fit(left)
 
 
-def _raised(demand: np.ndarray, rounds: int) -> list[tuple[tuple[int, ...], int]]:
-    """The rounded solution of the covering program, the most raised configurations first."""
+def _raised(demand: np.ndarray, rounds: int) -> list[tuple[tuple[int, ...], float]]:
+    """The solution of the covering program in fractions, the most raised configurations first."""
     length = len(demand) - 1
     wanted = np.flatnonzero(demand)
     if not len(wanted):
@@ -153,7 +163,7 @@ def _raised(demand: np.ndarray, rounds: int) -> list[tuple[tuple[int, ...], int]
                 continue
             covered[held] += need[held] * step
             raised[config] = raised.get(config, 0.0) + step
-    return [(c, int(np.ceil(x))) for c, x in sorted(raised.items(), key=lambda kv: (-kv[1], kv[0]))]
+    return [(c, x) for c, x in sorted(raised.items(), key=lambda kv: (-kv[1], kv[0]))]
 
 
 def _best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:

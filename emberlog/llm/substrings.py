@@ -107,26 +107,27 @@ def _split(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
             yield np.array([first]), some, np.array([0, len(some)]), np.array([a])
 
 
-def _fold(columns: list[np.ndarray]) -> np.ndarray:
-    """Which rows are the first of their (key, hash) in the order of (doc, body, start)."""
-    key, hash_, doc, body, start = columns
-    order = np.lexsort((start, body, doc, hash_, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (hash_[order][1:] != hash_[order][:-1])
-    out = np.zeros(len(order), bool)
-    out[order[new]] = True
-    return out
+def _first(key, hash_, doc, body, start) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by all five columns: first of their (key, hash), and the same place once more.
+
+    Rows of one id and text are one document, so its second row is the same place and no repeat.
+    """
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])
+    of = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    return first, ~first & (doc == doc[of]) & (body == body[of]) & (start == start[of])
 
 
 def _dealt(key, hash_, doc, body, start, windows, kind) -> pa.RecordBatch:
     """A batch of rows; those that repeat inside it are marked and dealt at random."""
-    repeats = ~_fold([key, hash_, doc, body, start])
-    kind = np.where(repeats, REPEATS, kind)
+    order = np.lexsort((start, body, doc, hash_, key))
+    key, hash_, doc, body, start, windows, kind = (x[order] for x in (key, hash_, doc, body, start, windows, kind))
+    first, again = _first(key, hash_, doc, body, start)
     mixed = hashing.mixed((doc ^ start).view(np.uint64)).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(repeats, mixed, key)), pa.array(hash_), pa.array(doc), pa.array(body), pa.array(start),
-         pa.array(windows.astype(np.int32)), pa.array(kind.astype(np.int32))],
-        names=["key", "hash", "doc", "body", "start", "windows", "kind"])
+    columns = (np.where(first, key, mixed), hash_, doc, body, start, windows.astype(np.int32),
+               np.where(first, kind, REPEATS).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c[~again]) for c in columns],
+                                      names=["key", "hash", "doc", "body", "start", "windows", "kind"])
 
 
 def _phrases(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -180,14 +181,13 @@ def _resolve_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Repeated phrases, and first occurrences whose trigger other phrases share."""
     for key, hash_, doc, body, start, windows, kind in _groups(batches):
         known = kind == REPEATS
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])
+        first, again = _first(key, hash_, doc, body, start)
         first &= ~known
         # Different phrases per trigger.
         name = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.zeros(0, np.int64)
         shared = np.bincount(name, weights=first)[name] > 1 if len(key) else first
         check = first & (shared | (kind == BY_WINDOW))
-        keep = check | ~first
+        keep = check | (~first & (known | ~again))
         yield _found(doc[keep], body[keep], start[keep], windows[keep], key[keep],
                      np.where(check, kind, REPEATS)[keep])
 
@@ -223,10 +223,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that are not the first of their content."""
     for key, hash_, doc, body, start, windows, kind in _groups(batches):
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])
-        keep = ~first | (kind == REPEATS)
-        # The first of a run may be a row that is known to repeat only if it was dealt at random.
+        first, again = _first(key, hash_, doc, body, start)
+        keep = (~first & ~again) | (kind == REPEATS)
         yield _found(doc[keep], body[keep], start[keep], windows[keep], key[keep], kind[keep])
 
 
