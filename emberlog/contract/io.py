@@ -49,6 +49,24 @@ def combine_rotated_logs(spark, sf, ws):
     return src.read_rotated(spark, folder).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("combine_hosts", sql("SELECT h, row_number() OVER (ORDER BY h, line_id) AS number, line AS value FROM (SELECT 'h' || CAST(1 + k % 2 AS STRING) AS h, line_id, line FROM logs) l"))
+def combine_hosts(spark, sf, ws):
+    """Two hosts' files have equal base names; all lines are numbered, one host after the other."""
+    folder, rows = ws.path("hosts"), logs(spark, sf).select("k", "line_id", "line")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for host in (1, 2):
+        home = f"{folder}/h{host}"
+        part = rows.filter(F.col("k") % 2 == host - 1).repartitionByRange(3, "line_id").sortWithinPartitions("line_id")
+        part.select("line").write.text(home)
+        fs = path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(path(f"{home}/part-*")):
+            number = found.getPath().getName().split("-")[1]
+            fs.rename(found.getPath(), path(f"{home}/messages.{number}"))
+    lines = src.read_logs(spark, [f"{folder}/h1", f"{folder}/h2"])
+    return (src.number_lines(lines, ws, "number")
+            .select(F.regexp_extract("path", "/(h[12])/", 1).alias("h"), "number", "value"))
+
+
 @query("combine_csv", "SELECT CAST(event_id AS STRING) AS event_id, event_type, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) END AS user_id FROM events")
 def combine_csv(spark, sf, ws):
     """Events in two kinds of file, one without user_id."""

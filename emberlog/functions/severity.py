@@ -18,8 +18,9 @@ def severity(error: Column, thresholds: Sequence[float], labels: Sequence[str] =
 
 
 def severity_confidence(error: Column, thresholds: Sequence[float]) -> Column:
-    """Distance from the threshold, between 0.1 and 1."""
-    value = F.greatest(F.lit(0.1), 1.0 - error / thresholds[0])
+    """Distance from the threshold, between 0.1 and 1. Beyond a threshold of zero it is 1."""
+    value = F.greatest(F.lit(0.1), 1.0 - error / thresholds[0]) if thresholds[0] else F.lit(0.1)
     for limit in thresholds:
-        value = F.when(error > limit, F.least(F.lit(1.0), (error - limit) / limit + 0.5)).otherwise(value)
+        beyond = F.least(F.lit(1.0), (error - limit) / limit + 0.5) if limit else F.lit(1.0)
+        value = F.when(error > limit, beyond).otherwise(value)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.1), value))

@@ -161,12 +161,14 @@ def hourly_profile(anomalies: DataFrame, ts: str = "ts") -> DataFrame:
 def mode_overlap(anomalies: DataFrame) -> DataFrame:
     """Logs found by both modes or one, and whether severity rises, falls or stays between them."""
     rank = lambda c: F.array_position(F.array(*[F.lit(s) for s in SEVERITY_LABELS]), c)
-    single = (anomalies.filter(F.col("processing_mode") == "single_log")
-              .select(F.col("log.line_id").alias("line_id"), F.col("severity").alias("single")))
-    seq = (anomalies.filter(F.col("processing_mode") == "sequential")
-           .select(F.explode("logs.line_id").alias("line_id"), F.col("severity").alias("sequential")))
+    # A log may lie in several flagged windows: it counts once per mode, at its highest severity.
+    once = lambda df, name: df.groupBy("line_id").agg(F.max(rank(F.col("severity"))).alias(name))
+    single = once(anomalies.filter(F.col("processing_mode") == "single_log")
+                  .select(F.col("log.line_id").alias("line_id"), "severity"), "single")
+    seq = once(anomalies.filter(F.col("processing_mode") == "sequential")
+               .select(F.explode("logs.line_id").alias("line_id"), "severity"), "sequential")
     both = single.join(seq, "line_id", "full_outer")
-    s, q = rank(F.col("single")), rank(F.col("sequential"))
+    s, q = F.col("single"), F.col("sequential")
     return both.agg(F.count_if(s.isNotNull() & q.isNotNull()).alias("both"),
                     F.count_if(q.isNull()).alias("single_only"), F.count_if(s.isNull()).alias("sequential_only"),
                     F.count_if(q > s).alias("escalated"), F.count_if(q < s).alias("reduced"),

@@ -204,7 +204,13 @@ def ensemble(errors: DataFrame, weights: DataFrame, key: str = "win_id") -> Data
 
 
 def ensemble_weights(losses: DataFrame) -> DataFrame:
-    """Weights in proportion to 1/loss that add up to one; one row per model."""
+    """Weights in proportion to 1/loss that add up to one; one row per model.
+
+    Models without any loss share the whole weight.
+    """
+    perfect = losses.filter("loss = 0").count()
+    if perfect:
+        return losses.select("model_id", F.when(F.col("loss") == 0, F.lit(1.0 / perfect)).otherwise(0.0).alias("w"))
     total = losses.agg(F.sum(1 / F.col("loss"))).first()[0]
     return losses.select("model_id", (1 / F.col("loss") / F.lit(total)).alias("w"))
 

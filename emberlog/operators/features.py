@@ -83,7 +83,9 @@ class Tfidf:
         docs = bind(docs, {"_norm": F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))})
         unit = F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))
         weighted = ws.stage(docs.select(template, "_rows", unit.alias(out)), "tfidf", measure=True)
-        return lookup_join(df, weighted, [template], "left", weight="_rows").drop("_rows")
+        joined = lookup_join(df, weighted, [template], "left", weight="_rows").drop("_rows")
+        # A row without a template has no term.
+        return joined.withColumn(out, F.coalesce(out, F.array_repeat(F.lit(0.0), len(self.terms))))
 
 
 def term_stats(docs: DataFrame) -> DataFrame:

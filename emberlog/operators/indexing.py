@@ -53,7 +53,7 @@ def index_rows(df: DataFrame, order: Sequence[str], ws: Workspace, name: str = "
         return out
     starts = ws.stage(out.groupBy(*by).agg(F.min(name).alias("_start"), F.count(F.lit(1)).alias("_rows")),
                       "key_starts", measure=True)
-    return (lookup_join(out, starts, list(by), weight="_rows")
+    return (lookup_join(out, starts, list(by), weight="_rows", nulls=True)
             .withColumn(name, F.col(name) - F.col("_start")).drop("_start", "_rows"))
 
 
@@ -87,14 +87,15 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float], ws: Workspac
     ranks = F.array_distinct(F.concat(F.transform("_at", lambda a: F.floor(a)),
                                       F.transform("_at", lambda a: F.ceil(a))))
     hit = F.filter(ranks, lambda r: (r >= F.col("_lo") - F.col("_start")) & (r < F.col("_hi") - F.col("_start")))
-    picked = (lookup_join(ranked, spans, keys)
+    picked = (lookup_join(ranked, spans, keys, nulls=True)
               .withColumn("_rank", F.explode(hit))
               .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at_rank"),
                                   F.first("_at").alias("_at")))
     low = lambda a: F.element_at("_at_rank", F.floor(a))
     high = lambda a: F.element_at("_at_rank", F.ceil(a))
-    share = lambda a: a - F.floor(a)
-    pct = F.transform("_at", lambda a: low(a) + (high(a) - low(a)) * share(a))
+    # The built-in aggregate's own formula, so that both ways give the same bits.
+    pct = F.transform("_at", lambda a: F.when(low(a) == high(a), low(a)).otherwise(
+        (F.ceil(a) - a) * low(a) + (a - F.floor(a)) * high(a)))
     return picked.select(*by, pct.alias("pct"))
 
 

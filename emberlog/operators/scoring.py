@@ -1,7 +1,7 @@
 """Scorers: reconstruction error of windows, isolation forest, kernel novelty, distance in PCA space.
 
-Models are fitted by Spark on all rows, or on a sample of fixed size; what a model holds does not
-grow with the data, and rows are scored in Arrow batches where they are.
+Models are fitted by Spark on all rows; what a model holds does not grow with the data, and rows are
+scored in Arrow batches where they are.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .windows import sequence_windows
 # Share of each path in the blended error, and the sizes of the ensemble's models.
 HYBRID_WEIGHTS = {"sequential": 0.6, "single_log": 0.4}
 MODEL_SIZES = (16, 24, 32)
-FOREST_POOL = 8192
-KERNEL_SAMPLE = 512
+# Share of the variance that a reconstruction may keep, and what counts as none at all.
+KEPT_VARIANCE, NO_VARIANCE = 0.999, 1e-9
+# Random Fourier features that stand for the kernel.
+KERNEL_FEATURES = 256
 
 
 def hybrid_error(sequential: Column, single: Column) -> Column:
@@ -50,29 +52,46 @@ class Reconstruction:
 
     mean: np.ndarray
     directions: np.ndarray
+    floor: float = 0.0
 
     @classmethod
-    def fit(cls, df: DataFrame, features: str, k: int) -> "Reconstruction":
-        mean, _, _ = vector_stats(df, features)
+    def fit(cls, df: DataFrame, features: str, k: int, kept: float | None = None) -> "Reconstruction":
+        """At most ``k`` directions; given ``kept``, fewer than hold that share of the variance.
+
+        With as many directions as the rows span, every error would be rounding noise. Errors below
+        ``floor``, a billionth of the variance, count as none.
+        """
+        mean, variance, _ = vector_stats(df, features)
+        total = float(np.nansum(variance))
+        floor = NO_VARIANCE * total / max(len(mean), 1)
         k = min(k, len(mean))
-        if k == 0:
-            return cls(mean, np.zeros((len(mean), 0)))
+        if k == 0 or total <= 0:
+            return cls(mean, np.zeros((len(mean), 0)), floor)
         vectors = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
-        return cls(mean, PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray())
+        found = PCA(k=min(k + 1, len(mean)), inputCol="v", outputCol="p").fit(vectors)
+        if kept is not None:
+            k = min(k, int((np.cumsum(np.array(found.explainedVariance)) < kept).sum()))
+        return cls(mean, found.pc.toArray()[:, :k], floor)
 
-    def truncated(self, k: int) -> "Reconstruction":
-        """The smaller model: directions are ordered by the variance they keep."""
-        return Reconstruction(self.mean, self.directions[:, :k])
+    def truncated(self, k: int, largest: int | None = None) -> "Reconstruction":
+        """The smaller model: directions are ordered by the variance they keep.
+
+        If fewer directions than ``largest`` were kept, ``k`` is the same share of those.
+        """
+        have = self.directions.shape[1]
+        if largest is not None and have < largest:
+            k = -(-k * have // largest)
+        return Reconstruction(self.mean, self.directions[:, :k], self.floor)
 
     def error(self, features: Column) -> Column:
         """Mean squared error of encoding and decoding a row."""
-        mean, directions = self.mean, self.directions
+        mean, directions, floor = self.mean, self.directions, self.floor
 
         @F.pandas_udf("double")
         def mse(column: pd.Series) -> pd.Series:
             x = _matrix(column) - mean
-            left = (x ** 2).sum(axis=1) - ((x @ directions) ** 2).sum(axis=1)
-            return pd.Series(np.maximum(left, 0.0) / max(len(mean), 1))
+            left = ((x ** 2).sum(axis=1) - ((x @ directions) ** 2).sum(axis=1)) / max(len(mean), 1)
+            return pd.Series(np.where(left <= floor, 0.0, left))
 
         return mse(features)
 
@@ -112,12 +131,13 @@ def ensemble_errors(rows: DataFrame, n: int, features: str, ws: Workspace,
     rows = ws.stage(rows.select("idx", F.col(features).cast("array<double>").alias("x")), "vectors")
     windows = ws.stage(flat_windows(rows, n, "x"), "flat_windows")
     # One fit per mode: a model with fewer directions is a part of the largest.
-    single, sequential = Reconstruction.fit(rows, "x", max(sizes)), Reconstruction.fit(windows, "window", max(sizes))
+    single, sequential = (
+        Reconstruction.fit(df, name, max(sizes), KEPT_VARIANCE) for df, name in ((rows, "x"), (windows, "window")))
     parts = []
     for k in sizes:
         named = lambda errs, mode: errs.select("win_id", F.lit(k).alias("model_id"), F.lit(mode).alias("mode"), "err")
-        parts.append(named(single_errors(rows, n, "x", single.truncated(k)), "single_log"))
-        parts.append(named(sequential_errors(windows, sequential.truncated(k)), "sequential"))
+        parts.append(named(single_errors(rows, n, "x", single.truncated(k, max(sizes))), "single_log"))
+        parts.append(named(sequential_errors(windows, sequential.truncated(k, max(sizes))), "sequential"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -134,12 +154,6 @@ def custom_errors(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray])
     return windows.select("win_id", "window").mapInPandas(run, "win_id long, err double")
 
 
-def _sample(df: DataFrame, key: str, features: str, size: int, seed: int) -> np.ndarray:
-    """At most ``size`` rows, chosen by a hash of the key: the same rows however the table is partitioned."""
-    picked = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
-    return _matrix(pd.Series([r[0] for r in picked.select(F.col(features).cast("array<double>")).collect()]))
-
-
 def _labelled(scored: DataFrame, limit: float | None, below: bool) -> DataFrame:
     outlier = F.lit(False) if limit is None else (F.col("score") < limit if below else F.col("score") > limit)
     return scored.withColumn("prediction", F.when(outlier, -1).otherwise(1))
@@ -181,25 +195,29 @@ def isolation_forest(df: DataFrame, key: str, features: str, ws: Workspace, tree
                      contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """(key, score, prediction): low scores are easy to isolate; the lowest share is -1.
 
-    Trees are grown in parallel, one task row each, from a sample of fixed size.
+    Every tree draws its points from all rows: a hash of key and tree keeps some four times as many
+    as it needs, and the lowest hashes among those are grown in one bounded group per tree.
     """
     spark = df.sparkSession
-    pool = spark.sparkContext.broadcast(_sample(df, key, features, FOREST_POOL, seed))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                size = min(sample, len(pool.value))
-                points = pool.value[rng.choice(len(pool.value), size, replace=False)]
-                grown = _grow(points, rng, int(np.ceil(np.log2(max(size, 2)))))
-                yield pd.DataFrame({"tree": [tree], **{k: [v.tolist()] for k, v in grown.items()}})
+    rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"))
+    n = rows.count()
+    span = 1 << 40
+    limit = span if n <= 4 * sample else int(span * (4.0 * sample / n))
+    draw = lambda t: F.pmod(F.xxhash64("key", t, F.lit(seed)), F.lit(span))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("at"))),
+                     lambda d: d["at"] < limit)
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        tree = int(group["tree"].iloc[0])
+        points = _matrix(group.sort_values(["at", "key"])["x"].head(sample))
+        grown = _grow(points, np.random.default_rng([seed, tree]), int(np.ceil(np.log2(max(len(points), 2)))))
+        return pd.DataFrame({"tree": [tree], **{k: [v.tolist()] for k, v in grown.items()}})
 
     schema = "tree long, feature array<long>, cut array<double>, left array<long>, right array<long>, path array<double>"
-    grown = spark.range(trees).repartition(min(trees, spark.sparkContext.defaultParallelism)).mapInPandas(grow, schema).collect()
+    grown = (rows.select("key", "x", F.inline(drawn)).groupBy("tree").applyInPandas(grow, schema).collect())
     forest = spark.sparkContext.broadcast([{k: np.array(r[k]) for k in ("feature", "cut", "left", "right", "path")}
                                            for r in sorted(grown, key=lambda r: r.tree)])
-    norm = float(_average_path(min(sample, len(pool.value)))) or 1.0
+    norm = float(_average_path(min(sample, n))) or 1.0
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
@@ -226,18 +244,31 @@ def isolation_forest(df: DataFrame, key: str, features: str, ws: Workspace, tree
 # ---- kernel novelty and PCA distance ------------------------------------------------------------
 
 def rbf_novelty(df: DataFrame, key: str, features: str, ws: Workspace, share: float = 0.05, seed: int = 42) -> DataFrame:
-    """(key, score, prediction): mean RBF similarity to a sample of fixed size; the least similar share is -1."""
+    """(key, score, prediction): mean RBF similarity to all rows; the least similar share is -1.
+
+    The kernel is a product of random Fourier features (KERNEL_FEATURES cosines with a fixed seed), so
+    the mean similarity to all rows is the product with the rows' mean feature vector, one pass.
+    """
     mean, variance, _ = vector_stats(df, features)
     # One over the number of dimensions times the variance of all entries.
     spread = float(variance.mean() + mean.var()) if len(mean) else 0.0
     gamma = 1.0 / (max(len(mean), 1) * spread) if spread else 1.0
-    sample = df.sparkSession.sparkContext.broadcast(_sample(df, key, features, KERNEL_SAMPLE, seed))
+    rng = np.random.default_rng(seed)
+    frequencies = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(mean), KERNEL_FEATURES))
+    phases = rng.uniform(0.0, 2.0 * np.pi, KERNEL_FEATURES)
+
+    def cosines(column: pd.Series) -> np.ndarray:
+        return np.sqrt(2.0 / KERNEL_FEATURES) * np.cos(_matrix(column) @ frequencies + phases)
+
+    @F.pandas_udf("array<double>")
+    def mapped(column: pd.Series) -> pd.Series:
+        return pd.Series(list(cosines(column)))
+
+    centre, _, _ = vector_stats(df.select(mapped(F.col(features)).alias("z")), "z")
 
     @F.pandas_udf("double")
     def similarity(column: pd.Series) -> pd.Series:
-        x, s = _matrix(column), sample.value
-        squared = (x ** 2).sum(axis=1)[:, None] + (s ** 2).sum(axis=1)[None, :] - 2.0 * x @ s.T
-        return pd.Series(np.exp(-gamma * np.maximum(squared, 0.0)).mean(axis=1))
+        return pd.Series(cosines(column) @ centre)
 
     scored = ws.stage(df.select(key, similarity(F.col(features)).alias("score")), "kernel_scores")
     limit = percentile_values(scored, "score", [share], ws)

@@ -184,7 +184,8 @@ class Mined:
     def events(self, df: DataFrame, content: str = "content") -> DataFrame:
         """Add event_id and event_template to the lines that were mined."""
         keyed = df.withColumn("norm", normalized(F.col(content), self.preset))
-        return lookup_join(keyed, self.shapes, ["norm"], weight="n").drop("norm", "n")
+        # A line without content has no event, and stays.
+        return lookup_join(keyed, self.shapes, ["norm"], "left", weight="n").drop("norm", "n")
 
 
 def shape_templates(df: DataFrame, preset: Preset, ws: Workspace, content: str = "content",

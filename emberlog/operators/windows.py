@@ -8,11 +8,12 @@ from ..plans.rulebook import WINDOW_LENGTH, WINDOW_STRIDE
 
 
 def sequence_windows(df: DataFrame, n: int | Column, seq_len: int = WINDOW_LENGTH, stride: int = WINDOW_STRIDE,
-                     idx: str = "idx") -> DataFrame:
+                     idx: str = "idx", tail: bool = False) -> DataFrame:
     """Each row once per window it belongs to: win_id, start_idx, offset.
 
-    A window starts at every multiple of ``stride`` that is less than n - seq_len. ``idx`` is the
-    row's 0-based position; ``n`` the number of rows (a column if positions are per key).
+    A window starts at every multiple of ``stride`` that is less than n - seq_len; with ``tail`` also
+    the last one that just fits. ``idx`` is the row's 0-based position; ``n`` the number of rows (a
+    column if positions are per key).
     """
     at = F.col(idx)
     if stride >= seq_len:
@@ -22,7 +23,8 @@ def sequence_windows(df: DataFrame, n: int | Column, seq_len: int = WINDOW_LENGT
         out = df.withColumn("win_id", F.explode(F.sequence(first, F.floor(at / stride))))
     out = (out.withColumn("start_idx", F.col("win_id") * stride)
            .withColumn("offset", F.col(idx) - F.col("start_idx")))
-    return out.filter((F.col("offset") < seq_len) & (F.col("start_idx") < n - seq_len))
+    fits = F.col("start_idx") <= n - seq_len if tail else F.col("start_idx") < n - seq_len
+    return out.filter((F.col("offset") < seq_len) & fits)
 
 
 def window_error(windows: DataFrame, *errors: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import detect as dt, scoring as sc
 from ..operators.features import Preprocessor, chrono_split
 from ..operators.parsing import parse_preset
 from ..operators.templates import Mined, mine
-from ..sources.text import number_lines
+from ..sources.text import SPLIT, number_lines
 from ..workspace import Workspace
 from .presets import PRESETS, Preset
 
@@ -27,7 +27,7 @@ class Run:
 
 def structure(lines: DataFrame, preset: Preset, ws: Workspace) -> tuple[DataFrame, Mined]:
     """Raw lines (of ``read_logs``) to numbered rows with their event; staged, since all else reads it."""
-    parsed = number_lines(parse_preset(lines, preset, keep=["file", "block"]), ws).drop("file", "block")
+    parsed = number_lines(parse_preset(lines, preset, keep=SPLIT), ws).drop(*SPLIT)
     events = mine(parsed, preset, ws)
     return ws.stage(events.events(parsed), "structured"), events
 
@@ -40,7 +40,7 @@ def weighted_errors(errors: DataFrame, n: int, ws: Workspace) -> DataFrame:
     for mode, name in (("sequential", "sequential_error"), ("single_log", "single_error")):
         of_mode = errors.filter(F.col("mode") == mode)
         losses = (starts.filter((F.col("mode") == mode) & (F.col("split") == "validation"))
-                  .groupBy("model_id").agg(F.avg("err").alias("loss")).filter("loss > 0"))
+                  .groupBy("model_id").agg(F.avg("err").alias("loss")))
         weights = dt.ensemble_weights(losses) if not losses.isEmpty() else of_mode.select("model_id").distinct().withColumn("w", F.lit(1.0))
         part = dt.ensemble(of_mode, weights).withColumnRenamed("err", name)
         out = part if out is None else out.join(part, "win_id")

@@ -8,13 +8,15 @@ TOPIC, GROUP = "server-logs", "log-consumer-group"
 
 
 def kafka_options(servers: str, topic: str = TOPIC, group: str = GROUP, start: str = "latest") -> dict[str, str]:
-    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "kafka.group.id": group, "startingOffsets": start,
-            "failOnDataLoss": "false"}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "kafka.group.id": group, "startingOffsets": start}
 
 
-def stream_kafka(spark: SparkSession, servers: str, **options) -> DataFrame:
-    """(value, timestamp) of a topic; needs the Kafka connector on the class path."""
-    rows = spark.readStream.format("kafka").options(**kafka_options(servers, **options)).load()
+def stream_kafka(spark: SparkSession, servers: str, extra: dict[str, str] | None = None, **options) -> DataFrame:
+    """(value, timestamp) of a topic; needs the Kafka connector on the class path.
+
+    Lost offsets stop the stream, as Spark's default has it; ``extra`` options may say otherwise.
+    """
+    rows = spark.readStream.format("kafka").options(**kafka_options(servers, **options)).options(**(extra or {})).load()
     return rows.select(F.col("value").cast("string").alias("value"), "timestamp")
 
 

@@ -30,25 +30,32 @@ def window_batch(df: DataFrame, number: int, key: str, order: Sequence[str], pat
     spark = df.sparkSession
     columns = df.columns
     earlier = batch_folder(carry, number - 1)
-    if number > 0 and _exists(spark, earlier):
+    if number == 0:
+        left = (spark.createDataFrame([], df.schema).withColumn("_done", F.lit(0).cast("long"))
+                .withColumn("_record", F.lit(True)))
+    elif _exists(spark, earlier):
         left = spark.read.parquet(earlier)
     else:
-        left = spark.createDataFrame([], df.schema).withColumn("_done", F.lit(0).cast("long"))
+        raise FileNotFoundError(f"batch {number} needs what batch {number - 1} left in {earlier}")
     # Keys that were seen before keep a row with their number of windows, even without left-over records.
-    records = left.filter(F.col(order[0]).isNotNull()).select(*columns).unionByName(df)
+    records = left.filter("_record").select(*columns).unionByName(df)
     done = left.groupBy(key).agg(F.max("_done").alias("_done"))
     numbered = index_rows(records, order, ws, "_idx", by=[key])
-    totals = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(done, key, "full_outer")
-    totals = ws.stage(totals.select(key, F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_done", F.lit(0)).alias("_done")), "totals", measure=True)
-    placed = lookup_join(numbered, totals, [key], weight="_n")
+    # A null key is a key like any other.
+    totals = (numbered.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("long").alias("_done"))
+              .unionByName(done.withColumn("_n", F.lit(0).cast("long")))
+              .groupBy(key).agg(F.sum("_n").alias("_n"), F.max("_done").alias("_done")))
+    totals = ws.stage(totals, "totals", measure=True)
+    placed = lookup_join(numbered, totals, [key], weight="_n", nulls=True)
     whole = F.floor(F.col("_n") / size) * size
     (placed.filter(F.col("_idx") < whole)
      .select(*columns, (F.col("_done") + F.floor(F.col("_idx") / size)).alias("win_id"), (F.col("_idx") % size).alias("offset"))
      .write.mode("overwrite").parquet(batch_folder(path, number)))
     after = (F.col("_done") + F.floor(F.col("_n") / size)).alias("_done")
-    rest = placed.filter(F.col("_idx") >= whole).select(*columns, after)
+    rest = placed.filter(F.col("_idx") >= whole).select(*columns, after, F.lit(True).alias("_record"))
     types = dict(df.dtypes)
-    seen = totals.select(*[F.col(c) if c == key else F.lit(None).cast(types[c]).alias(c) for c in columns], after)
+    seen = totals.select(*[F.col(c) if c == key else F.lit(None).cast(types[c]).alias(c) for c in columns], after,
+                         F.lit(False).alias("_record"))
     rest.unionByName(seen).write.mode("overwrite").parquet(batch_folder(carry, number))
 
 

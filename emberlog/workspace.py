@@ -30,25 +30,43 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Characters or bytes that a value holds beside its fixed part, whatever it is nested in."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        total = F.lit(0).cast("long")
+        for field in kind.fields:
+            total = total + _width(value.getField(field.name), field.dataType)
+        return total + 8 * len(kind.fields)
+    if isinstance(kind, T.ArrayType):
+        slots = 8 * F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("long")
+        if not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return slots
+        held = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType))
+        return slots + F.coalesce(held, F.lit(0).cast("long"))
+    if isinstance(kind, T.MapType):
+        return (_width(F.map_keys(value), T.ArrayType(kind.keyType)) + _width(F.map_values(value), T.ArrayType(kind.valueType)))
+    return F.lit(0).cast("long")
+
+
 def row_chars(df: DataFrame) -> Column:
-    """Characters of a row's strings, and eight per array element."""
+    """Characters of a row's strings, and eight per array element or nested field, at any depth."""
     width = F.lit(0).cast("long")
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            width = width + 8 * F.greatest(F.size(field.name), F.lit(0))
+        width = width + _width(F.col(f"`{field.name}`"), field.dataType)
     return width
 
 
 def _with_size(df: DataFrame, size: tuple[int, int] | None) -> DataFrame:
-    df._emberlog_size = size
+    if size is not None:
+        df._emberlog_size = size
     return df
 
 
 def sized_like(df: DataFrame, measured: DataFrame) -> DataFrame:
     """Mark ``df``, which has no more or wider rows than ``measured``, as measured too."""
-    return _with_size(df, measured._emberlog_size)
+    return _with_size(df, getattr(measured, "_emberlog_size", None))
 
 
 def table_size(df: DataFrame) -> tuple[int, int]:
