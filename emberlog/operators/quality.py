@@ -35,12 +35,18 @@ def quality_issues(df: DataFrame) -> DataFrame:
 
 def parsing_stats(df: DataFrame) -> DataFrame:
     """One row: totals, distinct templates and components, rows per level, date range, content lengths."""
-    levels = df.filter(F.col("level").isNotNull()).groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg(
+    # Rows are counted per combination first; totals, distinct values and levels come from those.
+    length = F.length("content").cast("long")
+    kinds = df.groupBy("event_template", "component", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.sum(length).alias("chars"), F.count("content").alias("filled"), F.max(length).alias("longest"))
+    levels = kinds.filter(F.col("level").isNotNull()).groupBy("level").agg(F.sum("n").alias("n")).agg(
         F.sort_array(F.collect_list(F.struct("level", "n"))).alias("levels"))
-    stats = df.agg(F.count(F.lit(1)).alias("total_logs"), F.count_distinct("event_template").alias("unique_templates"),
-                   F.count_distinct("component").alias("unique_components"), F.min("date").alias("first_date"),
-                   F.max("date").alias("last_date"), F.avg(F.length("content")).alias("avg_length"),
-                   F.max(F.length("content")).cast("long").alias("max_length"))
+    stats = kinds.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total_logs"),
+                      F.count_distinct("event_template").alias("unique_templates"),
+                      F.count_distinct("component").alias("unique_components"), F.min("first").alias("first_date"),
+                      F.max("last").alias("last_date"), F.try_divide(F.sum("chars"), F.sum("filled")).alias("avg_length"),
+                      F.max("longest").alias("max_length"))
     key = F.lit(1).alias("_k")
     return stats.select(key, "*").join(levels.select(key, F.map_from_entries("levels").alias("log_levels")), "_k").drop("_k")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import is_parameter, normalized, words
 from ..plans.presets import PRESETS, Preset
 from ..workspace import Workspace, sized_like
+from .bind import once
 from .indexing import index_rows
 from .lookup import lookup_join
 
@@ -55,17 +56,28 @@ def join_token_freq(shapes: DataFrame, ws: Workspace) -> DataFrame:
     Words seen once are left out of the look-up table: they are most of a vocabulary.
     """
     repeated = ws.stage(positional_token_freq(shapes).filter("freq > 1"), "token_freq", measure=True)
-    tokens = shapes.select("sid", "n", F.posexplode(words(F.col("norm"))).alias("pos", "word"))
+    # Whole lines are dealt by their key before they are taken apart: their words then meet again
+    # without another shuffle, unless the look-up itself needs one.
+    tokens = shapes.repartition("sid").select("sid", "n", F.posexplode(words(F.col("norm"))).alias("pos", "word"))
     return (lookup_join(tokens, repeated, ["pos", "word"], "left", weight="rows")
             .select("sid", "n", "pos", "word", F.coalesce("freq", F.lit(1)).alias("freq")))
 
 
 def _combinations(freqs: Column) -> Column:
-    """For each distinct frequency of a line: how many words share it, and where it first occurs."""
-    return F.transform(F.array_distinct(freqs), lambda f: F.struct(
-        (F.size(freqs) - F.size(F.array_remove(freqs, f))).alias("n"),
-        (-F.array_position(freqs, f)).alias("earliest"),
-        f.alias("freq")))
+    """For each distinct frequency of a line: how many words share it, and where it first occurs.
+
+    Frequencies are sorted with their positions, so each is a run: linear but for the sort.
+    """
+
+    def runs(placed: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), lambda i: (i == 0) | (
+            F.get(placed, i)["freq"] != F.get(placed, F.greatest(i - 1, F.lit(0)))["freq"]))
+        return once(begins, lambda at: F.transform(at, lambda i, j: F.struct(
+            (F.coalesce(F.get(at, j + 1), F.size(placed)) - i).alias("n"),
+            (-(F.get(placed, i)["pos"] + 1)).alias("earliest"), F.get(placed, i)["freq"].alias("freq"))))
+
+    placed = F.array_sort(F.transform(freqs, lambda f, i: F.struct(f.alias("freq"), i.alias("pos"))))
+    return F.when(F.size(freqs) > 0, once(placed, runs))
 
 
 def annotated_shapes(shapes: DataFrame, ws: Workspace) -> DataFrame:
@@ -93,18 +105,17 @@ def frequency_combinations(annotated: DataFrame) -> DataFrame:
 
 # ---- groups and their variable words ----------------------------------------------------------
 
-def root_groups(annotated: DataFrame) -> DataFrame:
+def root_groups(annotated: DataFrame, *more: Column) -> DataFrame:
     """Groups of equal length and root, with their first line, lines and shapes."""
     return annotated.groupBy(*GROUP).agg(F.min("sid").alias("first_line"), F.sum("n").alias("n_lines"),
-                                         F.count(F.lit(1)).alias("rows"))
+                                         F.count(F.lit(1)).alias("rows"), *more)
 
 
 def _candidates(annotated: DataFrame, ws: Workspace) -> DataFrame:
     """Groups with the positions at which their first line's frequency differs from the root's."""
-    first_lines = annotated.select(F.col("sid").alias("first_line"), "freqs")
     positions = F.sequence(F.lit(0), F.col("n_tokens") - 1)
     differs = F.filter(positions, lambda i: F.get("freqs", i) != F.col("root_freq"))
-    return ws.stage(root_groups(annotated).join(first_lines, "first_line")
+    return ws.stage(root_groups(annotated, F.min_by("freqs", "sid").alias("freqs"))
                     .select(*GROUP, "first_line", "n_lines", "rows", differs.alias("candidates")), "groups", measure=True)
 
 
@@ -250,7 +261,7 @@ def mine(df: DataFrame, preset: Preset | str, ws: Workspace, content: str = "con
                         sized_like(events.select("event_id", "event_template"), events), ["event_template"])
     shapes = lookup_join(drafts.select("norm", "n", *GROUP, "draft"), sized_like(named, catalogue), [*GROUP, "draft"],
                          weight="rows").select("norm", "n", "event_id", "event_template")
-    return Mined(sized_like(shapes, drafts), events, preset)
+    return Mined(ws.stage(shapes, "mined_shapes", measure=True), events, preset)
 
 
 def parse_accuracy(truth: DataFrame, parsed: DataFrame, key: str = "line_id") -> DataFrame:
