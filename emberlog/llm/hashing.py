@@ -73,11 +73,13 @@ def is_space(data: np.ndarray) -> np.ndarray:
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
-    """An Arrow string column as its bytes and the offsets of its rows; a null is the empty text."""
+    """An Arrow string or binary column as its bytes and the offsets of its rows; a null is the empty text."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     held = column.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
@@ -93,3 +95,20 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20):
         at = offsets[first:end + 1]
         yield first, end, data[at[0]:at[-1]], at - at[0]
         first = end
+
+
+def whole_keys(batches):
+    """A partition sorted by its first column, as Arrow tables that hold whole keys."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        key = np.asarray(table.column(0))
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

@@ -167,28 +167,13 @@ def _sig(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """A partition sorted by its first column, in tables of whole keys."""
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        key = np.asarray(table.column(0))
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()
-
-
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, id, set, side, sig) sorted by key to a spanning forest of the pairs that stay.
 
     ``side``: 0 for a bucket compared within itself, 1 and 2 for two blocks compared across.
     """
     rule = least_matches(THRESHOLD)
-    for table in _runs(batches):
+    for table in hashing.whole_keys(batches):
         key, id_, set_, side = (np.asarray(table.column(i)) for i in range(4))
         sig = _sig(table.column(4))
         left, right = [], []
@@ -316,7 +301,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     All pairs of a task are counted exactly: sets as 0/1 rows, whose products are the sizes of
     intersections, a few thousand grams at a time.
     """
-    for table in _runs(batches):
+    for table in hashing.whole_keys(batches):
         task, id_, set_, copies, side = (np.asarray(table.column(i)) for i in range(5))
         texts = table.column(5).combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts

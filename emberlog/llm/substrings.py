@@ -40,6 +40,8 @@ LENGTH, GRAM = 100, 32
 # One document in SAMPLE names hot triggers: those with over HOT_SEEN different phrases in the sample.
 SAMPLE, HOT_SEEN, HOT_MOST = 64, 30, 20_000
 NO_ID = -(1 << 63)
+# Rows that a task folds at a time.
+FOLD_ROWS = 1 << 18
 # Kinds of rows: resolve by trigger; dealt by window; known to repeat.
 BY_TRIGGER, BY_WINDOW, REPEATS = 0, 1, 2
 _PHRASE = "key long, hash long, doc long, body long, start long, windows int, kind int"
@@ -134,39 +136,29 @@ def _phrases(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """``docs`` (doc, body, text) parsed. Hot triggers' phrases are dealt by their own hash."""
     held = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
+    def fold(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, hash_, *rest = (np.concatenate(x) for x in zip(*found))
+        is_hot = np.isin(key, held.value) if len(held.value) else np.zeros(len(key), bool)
+        return _dealt(np.where(is_hot, hash_, key), hash_, *rest, np.where(is_hot, BY_WINDOW, BY_TRIGGER))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, body = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, offsets = hashing.buffers(batch.column(2))
-            found = []
+            found, many = [], 0
             for rows, part, at, shift in _split(data, offsets):
                 row, start, windows, key, hash_ = parse(part, at)
                 found.append((key, hash_, doc[rows[row]], body[rows[row]], start + shift[row], windows))
-            if not found:
-                continue
-            key, hash_, *rest = (np.concatenate(x) for x in zip(*found))
-            is_hot = np.isin(key, held.value) if len(held.value) else np.zeros(len(key), bool)
-            yield _dealt(np.where(is_hot, hash_, key), hash_, *rest, np.where(is_hot, BY_WINDOW, BY_TRIGGER))
+                many += len(key)
+                if many >= FOLD_ROWS:
+                    yield fold(found)
+                    found, many = [], 0
+            if found:
+                yield fold(found)
 
     return docs.mapInArrow(run, _PHRASE)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of a sorted partition in runs of whole keys."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [np.asarray(c) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate([a, b]) for a, b in zip(held, columns)]
-        key = columns[0]
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
-
-
 _FOUND = "doc long, body long, start long, windows int, key long, kind int"
 _ORDER = ("key", "hash", "doc", "body", "start")
 
@@ -179,7 +171,8 @@ def _found(doc, body, start, windows, key, kind) -> pa.RecordBatch:
 
 def _resolve_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated phrases, and first occurrences whose trigger other phrases share."""
-    for key, hash_, doc, body, start, windows, kind in _groups(batches):
+    for table in hashing.whole_keys(batches):
+        key, hash_, doc, body, start, windows, kind = (np.asarray(c) for c in table.columns)
         known = kind == REPEATS
         first, again = _first(key, hash_, doc, body, start)
         first &= ~known
@@ -192,8 +185,12 @@ def _resolve_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                      np.where(check, kind, REPEATS)[keep])
 
 
+_ASKED = f"{_PHRASE}, phrase binary"
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, body, text, phrases to compare) to one row per window."""
+    """Rows (doc, body, text, phrases to compare) to one row per phrase, with its bytes, to be compared
+    with the phrases of its trigger; phrases of hot triggers to one row per window."""
     for batch in batches:
         doc, body = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         data, offsets = hashing.buffers(batch.column(2))
@@ -202,30 +199,91 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(batch.num_rows), np.diff(at))
         flat = asked.values.slice(at[0], at[-1] - at[0])
         start, count, key, kind = (np.asarray(flat.field(i)) for i in range(4))
-        # A few thousand phrases at a time keep the windows' arrays small.
-        for i in range(0, len(row), 1 << 14):
-            some = slice(i, i + (1 << 14))
-            low = offsets[row[some]] + start[some]
-            n = count[some].astype(np.int64)
-            size = n + LENGTH - 1
-            ends = np.cumsum(size)
-            bytes_ = data[np.repeat(low - (ends - size), size) + np.arange(ends[-1])]
-            hashes = hashing.windows(hashing.prefixes(bytes_), LENGTH).view(np.int64)
-            total = np.cumsum(n)
-            inner = np.arange(total[-1]) - np.repeat(total - n, n)
-            hash_ = hashes[np.repeat(ends - size, n) + inner]
-            of = np.repeat(np.arange(len(n)), n)
-            kinds = kind[some][of]
-            yield _dealt(np.where(kinds == BY_WINDOW, hash_, key[some][of]), hash_, doc[row[some]][of], body[row[some]][of],
-                         start[some][of] + inner, np.ones(len(of), np.int32), kinds)
+        # A few thousand phrases at a time keep the arrays small.
+        for i in range(0, len(row), 1 << 13):
+            some = slice(i, i + (1 << 13))
+            low, n = offsets[row[some]] + start[some], count[some].astype(np.int64)
+            bytes_, edges = _slices(data, low, n + LENGTH - 1)
+            where = (doc[row[some]], body[row[some]], start[some])
+            lone = kind[some] == BY_WINDOW
+            phrases = np.flatnonzero(~lone)
+            if len(phrases):
+                held, cuts = _slices(bytes_, edges[:-1][phrases], np.diff(edges)[phrases])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[some][phrases]), pa.array(np.zeros(len(phrases), np.int64)), *(pa.array(w[phrases]) for w in where),
+                     pa.array(n[phrases].astype(np.int32)), pa.array(kind[some][phrases]),
+                     pa.Array.from_buffers(pa.binary(), len(phrases), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(held)])],
+                    names=_NAMES)
+            if lone.any():
+                of, inner, hash_ = _hashed_windows(bytes_, edges, np.where(lone, n, 0))
+                made = _dealt(hash_, hash_, where[0][of], where[1][of], where[2][of] + inner, np.ones(len(of), np.int32),
+                              np.full(len(of), BY_WINDOW))
+                yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.binary())], names=_NAMES)
+
+
+_NAMES = ["key", "hash", "doc", "body", "start", "windows", "kind", "phrase"]
+
+
+def _slices(data: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of a buffer copied behind one another, and where each begins."""
+    edges = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(low - edges[:-1], size) + np.arange(edges[-1])], edges
+
+
+def _hashed_windows(data: np.ndarray, edges: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``n`` windows of each slice: (slice, place in it, hash)."""
+    total = np.cumsum(n)
+    of = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(int(total[-1]) if len(total) else 0) - (total - n)[of]
+    return of, inner, hashing.windows(hashing.prefixes(data), LENGTH).view(np.int64)[edges[:-1][of] + inner]
 
 
 def _resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that are not the first of their content."""
-    for key, hash_, doc, body, start, windows, kind in _groups(batches):
+    """Windows that are not the first of their content, as runs of neighbouring windows."""
+    for table in hashing.whole_keys(batches):
+        key, hash_, doc, body, start, windows, kind = (np.asarray(c) for c in table.columns[:7])
+        phrases = np.flatnonzero(kind == BY_TRIGGER)
+        lone = np.flatnonzero(kind != BY_TRIGGER)
+        data, edges = hashing.buffers(table.column(7).combine_chunks().take(pa.array(phrases)).cast(pa.large_binary()))
+        of, inner, found = _hashed_windows(data, edges, windows[phrases].astype(np.int64))
+        of = phrases[of]
+        both = lambda a, b: np.concatenate([a, b])
+        key, hash_, kind = both(key[lone], key[of]), both(hash_[lone], found), both(kind[lone], kind[of])
+        doc, body, start = both(doc[lone], doc[of]), both(body[lone], body[of]), both(start[lone], start[of] + inner)
+        order = np.lexsort((start, body, doc, hash_, key))
+        key, hash_, doc, body, start, kind = (x[order] for x in (key, hash_, doc, body, start, kind))
         first, again = _first(key, hash_, doc, body, start)
         keep = (~first & ~again) | (kind == REPEATS)
-        yield _found(doc[keep], body[keep], start[keep], windows[keep], key[keep], kind[keep])
+        doc, body, start = doc[keep], body[keep], start[keep]
+        order = np.lexsort((start, body, doc))
+        doc, body, start = doc[order], body[order], start[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (body[1:] != body[:-1]) | (start[1:] > start[:-1] + 1)
+        at = np.flatnonzero(new)
+        last = start[np.append(at[1:], len(doc)) - 1] if len(at) else at
+        yield _found(doc[at], body[at], start[at], last - start[at] + 1, np.zeros(len(at), np.int64), np.full(len(at), REPEATS))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, body, list of [from, to)) with their spans sorted, and joined where they touch."""
+    for batch in batches:
+        lists = batch.column(2)
+        at = np.asarray(lists.offsets)
+        flat = lists.values.slice(at[0], at[-1] - at[0])
+        a, b = (np.asarray(flat.field(i)) for i in range(2))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        order = np.lexsort((a, row))
+        a, b, row = a[order], b[order], row[order]
+        # The furthest end so far in the same row: rows are set apart by more than any text is long.
+        far = np.maximum.accumulate(b + (row << 40)) - (row << 40) if len(b) else b
+        new = np.ones(len(a), bool)
+        new[1:] = (row[1:] != row[:-1]) | (a[1:] > far[:-1])
+        first = np.flatnonzero(new)
+        end = far[np.append(first[1:], len(a)) - 1] if len(first) else first
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=batch.num_rows))]).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(a[first]), pa.array(end)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts), spans)],
+                                         names=["doc", "body", "spans"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -250,11 +308,12 @@ def repeated(docs: DataFrame, ws: Workspace) -> DataFrame:
     asked = ws.stage(found.filter(F.col("kind") != REPEATS).groupBy("doc", "body").agg(
         F.sort_array(F.collect_list(F.struct("start", "windows", "key", "kind"))).alias("asked")), "asked", measure=True)
     texts_ = keyed.join(F.broadcast(asked) if fits_broadcast(asked) else asked, ["doc", "body"])
-    windows = (texts_.select("doc", "body", "text", "asked").mapInArrow(_windows, _PHRASE)
+    windows = (texts_.select("doc", "body", "text", "asked").mapInArrow(_windows, _ASKED)
                .repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(_resolve_windows, _FOUND))
     spans = (found.filter(F.col("kind") == REPEATS).unionByName(windows)
              .select("doc", "body", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("b")).alias("s")))
-    return ws.stage(spans.groupBy("doc", "body").agg(F.collect_set("s").alias("spans")), "spans", measure=True)
+    lists = spans.groupBy("doc", "body").agg(F.collect_list("s").alias("spans"))
+    return ws.stage(lists.mapInArrow(_merged, "doc long, body long, spans array<struct<a:long,b:long>>"), "spans", measure=True)
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
