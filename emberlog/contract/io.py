@@ -303,3 +303,15 @@ def batch_run(spark, sf, ws):
     return rounded(analyze_logs(lines, "Linux", ws).detection.anomalies().select(
         "processing_mode", "anomaly_type", "severity", "confidence", "anomaly_score", "timestamp", "win_id", "position"),
         "confidence", "anomaly_score")
+
+
+@query("score_saved")
+def score_saved(spark, sf, ws):
+    """Learn from all lines, save, load, and score the same parsed table with what was loaded."""
+    from ..plans.trained import Trained
+    table_ = ws.stage(mined_lines(spark, sf, ws)[1], "parsed")
+    folder = ws.path("trained")
+    Trained.fit(table_, ws).save(spark, folder)
+    found = Trained.load(spark, folder).score(table_, ws)
+    return rounded(found.anomalies().select("processing_mode", "anomaly_type", "severity", "confidence", "anomaly_score", "win_id", "position"),
+                   "confidence", "anomaly_score")

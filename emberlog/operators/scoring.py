@@ -125,19 +125,28 @@ def sequential_errors(windows: DataFrame, model: Reconstruction) -> DataFrame:
     return windows.select("win_id", model.error(F.col("window")).alias("err"))
 
 
-def ensemble_errors(rows: DataFrame, n: int, features: str, ws: Workspace,
-                    sizes: Sequence[int] = MODEL_SIZES) -> DataFrame:
-    """(win_id, model_id, mode, err) for models of several sizes in both modes."""
+def staged_windows(rows: DataFrame, n: int, features: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Rows (idx, x) and their flat windows, both staged, since every scorer reads them."""
     rows = ws.stage(rows.select("idx", F.col(features).cast("array<double>").alias("x")), "vectors")
-    windows = ws.stage(flat_windows(rows, n, "x"), "flat_windows")
-    # One fit per mode: a model with fewer directions is a part of the largest.
-    single, sequential = (
-        Reconstruction.fit(df, name, max(sizes), KEPT_VARIANCE) for df, name in ((rows, "x"), (windows, "window")))
+    return rows, ws.stage(flat_windows(rows, n, "x"), "flat_windows")
+
+
+def fit_models(rows: DataFrame, windows: DataFrame, sizes: Sequence[int] = MODEL_SIZES) -> dict[str, Reconstruction]:
+    """One fit per mode: a model with fewer directions is a part of the largest."""
+    return {"single_log": Reconstruction.fit(rows, "x", max(sizes), KEPT_VARIANCE),
+            "sequential": Reconstruction.fit(windows, "window", max(sizes), KEPT_VARIANCE)}
+
+
+def ensemble_errors(rows: DataFrame, n: int, features: str, ws: Workspace, sizes: Sequence[int] = MODEL_SIZES,
+                    models: dict[str, Reconstruction] | None = None) -> DataFrame:
+    """(win_id, model_id, mode, err) for models of several sizes in both modes, fitted here unless given."""
+    rows, windows = staged_windows(rows, n, features, ws)
+    models = models or fit_models(rows, windows, sizes)
     parts = []
     for k in sizes:
         named = lambda errs, mode: errs.select("win_id", F.lit(k).alias("model_id"), F.lit(mode).alias("mode"), "err")
-        parts.append(named(single_errors(rows, n, "x", single.truncated(k, max(sizes))), "single_log"))
-        parts.append(named(sequential_errors(windows, sequential.truncated(k, max(sizes))), "sequential"))
+        parts.append(named(single_errors(rows, n, "x", models["single_log"].truncated(k, max(sizes))), "single_log"))
+        parts.append(named(sequential_errors(windows, models["sequential"].truncated(k, max(sizes))), "sequential"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

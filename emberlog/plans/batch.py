@@ -32,19 +32,28 @@ def structure(lines: DataFrame, preset: Preset, ws: Workspace) -> tuple[DataFram
     return ws.stage(events.events(parsed), "structured"), events
 
 
-def weighted_errors(errors: DataFrame, n: int, ws: Workspace) -> DataFrame:
-    """(win_id, sequential_error, single_error): the models' mean, weighted by 1/loss on the validation windows."""
-    errors = ws.stage(errors, "model_errors")
-    starts = chrono_split(errors.withColumn("idx", F.col("win_id") * sc.WINDOW_STRIDE), n)
-    out = None
-    for mode, name in (("sequential", "sequential_error"), ("single_log", "single_error")):
-        of_mode = errors.filter(F.col("mode") == mode)
-        losses = (starts.filter((F.col("mode") == mode) & (F.col("split") == "validation"))
-                  .groupBy("model_id").agg(F.avg("err").alias("loss")))
-        weights = dt.ensemble_weights(losses) if not losses.isEmpty() else of_mode.select("model_id").distinct().withColumn("w", F.lit(1.0))
-        part = dt.ensemble(of_mode, weights).withColumnRenamed("err", name)
-        out = part if out is None else out.join(part, "win_id")
-    return ws.stage(out, "window_errors")
+def model_weights(errors: DataFrame, n: int) -> dict[str, dict[int, float]]:
+    """Per mode the models' weights by 1/loss on the validation windows; equal ones if there are none."""
+    split = chrono_split(errors.withColumn("idx", F.col("win_id") * sc.WINDOW_STRIDE), n)
+    out = {}
+    for mode in dt.MODES:
+        mine = split.filter(F.col("mode") == mode)
+        losses = mine.filter(F.col("split") == "validation").groupBy("model_id").agg(F.avg("err").alias("loss"))
+        found = {r.model_id: r.w for r in dt.ensemble_weights(losses).collect()}
+        out[mode] = found or {r.model_id: 1.0 for r in mine.select("model_id").distinct().collect()}
+    return out
+
+
+def weighted_errors(errors: DataFrame, weights: dict[str, dict[int, float]], ws: Workspace) -> DataFrame:
+    """(win_id, sequential_error, single_error): the weighted mean of the models, one aggregate for both modes."""
+    table = errors.sparkSession.createDataFrame(
+        [(mode, int(k), float(w)) for mode, of in weights.items() for k, w in of.items()] or [("", 0, 0.0)],
+        "mode string, model_id int, w double")
+    joined = errors.join(F.broadcast(table), ["mode", "model_id"])
+    mean = lambda mode: (F.sum(F.when(F.col("mode") == mode, F.col("w") * F.col("err")))
+                         / F.sum(F.when(F.col("mode") == mode, F.col("w"))))
+    return ws.stage(joined.groupBy("win_id").agg(mean("sequential").alias("sequential_error"),
+                                                 mean("single_log").alias("single_error")), "window_errors")
 
 
 def analyze_logs(lines: DataFrame, preset: Preset | str, ws: Workspace, mode: str = "both",
@@ -59,6 +68,7 @@ def analyze_logs(lines: DataFrame, preset: Preset | str, ws: Workspace, mode: st
     n = rows.count()
     preprocessor = preprocessor or Preprocessor.fit(rows, ws)
     vectors = preprocessor.transform(rows, ws).select((F.col("line_id") - 1).alias("idx"), vector_to_array("features").alias("x"))
-    errors = weighted_errors(sc.ensemble_errors(vectors, n, "x", ws, sizes), n, ws)
+    errors = ws.stage(sc.ensemble_errors(vectors, n, "x", ws, sizes), "model_errors")
+    errors = weighted_errors(errors, model_weights(errors, n), ws)
     found = dt.detect_windows(rows.withColumn("idx", F.col("line_id") - 1), n, errors, ws, mode, model)
     return Run(rows, events, preprocessor, found)
