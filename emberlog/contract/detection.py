@@ -126,7 +126,7 @@ def join_window_logs(spark, sf, ws):
 
 @query("score_hybrid", sql("SELECT win_id, round(0.6::DOUBLE * sequential_error + 0.4::DOUBLE * single_error, 6) AS hybrid_error FROM wins", *W))
 def score_hybrid(spark, sf, ws):
-    from ..operators.scoring import hybrid_error
+    from ..operators.detect import hybrid_error
     rows, n = scored(spark, sf, ws)
     errors = window_error(sequence_windows(rows, n), *ERRORS.values())
     return rounded(errors.select("win_id", hybrid_error(F.col("sequential_error"), F.col("single_error")).alias("hybrid_error")), "hybrid_error")
@@ -236,6 +236,19 @@ def detect_modes(spark, sf, ws):
                    "confidence", "anomaly_score")
 
 
+HYBRID = [SEQ.replace("seqrows", "hybrows").replace("w.sequential_error AS e", "0.6::DOUBLE * w.sequential_error + 0.4::DOUBLE * w.single_error AS e")
+          .replace("w.sequential_error > t_seq", "0.6::DOUBLE * w.sequential_error + 0.4::DOUBLE * w.single_error > t_hyb")]
+HYBRID_THR = "thr AS (SELECT quantile_cont(0.6::DOUBLE * sequential_error + 0.4::DOUBLE * single_error, 0.95) AS t_hyb FROM wins)"
+
+
+@query("hybrid_anomalies", sql(f"SELECT win_id, contents, dominant AS anomaly_type, {LABEL} AS severity, round({CONF}, 6) AS confidence, "
+                               "round(e, 6) AS anomaly_score, 'hybrid' AS processing_mode, non_normal AS non_normal_count FROM seq", *W, HYBRID_THR, SEV, *HYBRID))
+def hybrid_anomalies(spark, sf, ws):
+    found = run(spark, sf, ws, "hybrid").anomalies()
+    return rounded(found.select("win_id", F.array_join("logs.content", "|").alias("contents"), "anomaly_type", "severity", "confidence",
+                                "anomaly_score", "processing_mode", "non_normal_count"), "confidence", "anomaly_score")
+
+
 @query("union_modes", sql("SELECT processing_mode, anomaly_type, position, CASE WHEN processing_mode = 'sequential' THEN 8 END AS sequence_length FROM anom", *FULL))
 def union_modes(spark, sf, ws):
     found = run(spark, sf, ws)

@@ -15,6 +15,12 @@ from .indexing import percentile_values
 from .windows import sequence_windows, window_error
 
 MODES = ("sequential", "single_log")
+# Share of each path in the blended error.
+HYBRID_WEIGHTS = {"sequential": 0.6, "single_log": 0.4}
+
+
+def hybrid_error(sequential: Column, single: Column) -> Column:
+    return HYBRID_WEIGHTS["sequential"] * sequential + HYBRID_WEIGHTS["single_log"] * single
 
 
 def flag_threshold(errors: DataFrame, error: str, ws: Workspace, percentile: float = FLAG_PERCENTILE) -> float | None:
@@ -91,7 +97,8 @@ def _dominant(types: Column) -> Column:
     return F.array_max(ranked)["type"]
 
 
-def sequential_anomalies(windows: DataFrame, flagged: DataFrame, error: str, model: SeverityModel) -> DataFrame:
+def sequential_anomalies(windows: DataFrame, flagged: DataFrame, error: str, model: SeverityModel,
+                         mode: str = "sequential") -> DataFrame:
     """Flagged windows with at least one log that some rule hits, with all their logs in order."""
     rows = _typed(join_window_logs(windows, flagged, error))
     log = F.struct(*[_text(c) for c in ("content", "event_template", "level", "component", "line_id")],
@@ -106,7 +113,7 @@ def sequential_anomalies(windows: DataFrame, flagged: DataFrame, error: str, mod
         F.col("entries.log").alias("logs"), _dominant(F.col("types")).alias("anomaly_type"),
         model.label(score).alias("severity"), model.confidence(score).alias("confidence"),
         F.get("entries", F.lit(0))["log"]["timestamp"].alias("timestamp"), F.size("entries").alias("sequence_length"),
-        "anomaly_score", F.lit("sequential").alias("processing_mode"), F.size("types").alias("non_normal_count"),
+        "anomaly_score", F.lit(mode).alias("processing_mode"), F.size("types").alias("non_normal_count"),
         F.size("entries").alias("total_logs_in_sequence"), "win_id", F.col("start_idx").alias("position"))
 
 
@@ -121,10 +128,11 @@ class Detection:
     errors: DataFrame
     single: DataFrame | None = None
     sequential: DataFrame | None = None
+    hybrid: DataFrame | None = None
 
     def anomalies(self) -> DataFrame:
-        """Both modes in one table (union all)."""
-        return union_modes(*[a for a in (self.single, self.sequential) if a is not None])
+        """All modes of the run in one table (union all)."""
+        return union_modes(*[a for a in (self.single, self.sequential, self.hybrid) if a is not None])
 
     def summary(self) -> DataFrame:
         """One row: logs, anomalies and thresholds per mode."""
@@ -161,10 +169,12 @@ def detect_windows(rows: DataFrame, n: int, errors: DataFrame, ws: Workspace, mo
                    stride: int = WINDOW_STRIDE) -> Detection:
     """Flag the top errors of the batch, and label what their windows hold.
 
+    Mode ``hybrid`` blends both errors of a window into one and labels its logs as a sequence.
+
     ``rows`` have idx and the log columns; ``errors`` (staged) has win_id, sequential_error and
     single_error. Without a ``model`` the severity thresholds are learned from this batch.
     """
-    if mode not in ("both", "sequential", "single"):
+    if mode not in ("both", "sequential", "single", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
     windows = sequence_windows(with_log_columns(rows), n, seq_len, stride)
     if model is None:
@@ -178,6 +188,10 @@ def detect_windows(rows: DataFrame, n: int, errors: DataFrame, ws: Workspace, mo
         limit = found.thresholds["sequential"] = flag_threshold(errors, "sequential_error", ws)
         found.sequential = sequential_anomalies(windows, flag_windows(errors, "sequential_error", limit),
                                                 "sequential_error", model)
+    if mode == "hybrid":
+        blended = errors.select("win_id", hybrid_error(F.col("sequential_error"), F.col("single_error")).alias("hybrid_error"))
+        limit = found.thresholds["hybrid"] = flag_threshold(blended, "hybrid_error", ws)
+        found.hybrid = sequential_anomalies(windows, flag_windows(blended, "hybrid_error", limit), "hybrid_error", model, "hybrid")
     return found
 
 

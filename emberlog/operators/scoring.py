@@ -21,8 +21,7 @@ from ..workspace import Workspace
 from .indexing import percentile_values
 from .windows import sequence_windows
 
-# Share of each path in the blended error, and the sizes of the ensemble's models.
-HYBRID_WEIGHTS = {"sequential": 0.6, "single_log": 0.4}
+# Sizes of the ensemble's models.
 MODEL_SIZES = (16, 24, 32)
 # Share of the variance that a reconstruction may keep, and what counts as none at all.
 KEPT_VARIANCE, NO_VARIANCE = 0.999, 1e-9
@@ -30,10 +29,6 @@ KEPT_VARIANCE, NO_VARIANCE = 0.999, 1e-9
 KERNEL_FEATURES = 256
 
 
-def hybrid_error(sequential: Column, single: Column) -> Column:
-    return HYBRID_WEIGHTS["sequential"] * sequential + HYBRID_WEIGHTS["single_log"] * single
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
