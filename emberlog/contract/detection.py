@@ -455,10 +455,13 @@ def mode_error_summary(spark, sf, ws):
 
 
 @query("hourly_profile", sql("SELECT hour(ts) AS hour, count(*) AS n, count(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 END) AS weekend, "
-                             "count(CASE WHEN dayofweek(ts) NOT IN (0, 6) THEN 1 END) AS weekday FROM single GROUP BY ALL", *FULL[:-2]))
+                             "count(CASE WHEN dayofweek(ts) NOT IN (0, 6) THEN 1 END) AS weekday FROM anom GROUP BY ALL", *FULL))
 def hourly_profile(spark, sf, ws):
-    single = anomalies(spark, sf).filter("processing_mode = 'single_log'").select(F.col("log.line_id").cast("long").alias("line_id"))
-    return an.hourly_profile(single.join(logs(spark, sf).select("line_id", "ts"), "line_id"))
+    """Anomalies of both modes; a sequence counts at the earliest time of its logs."""
+    lines = F.when(F.col("log").isNotNull(), F.array("log.line_id")).otherwise(F.col("logs.line_id"))
+    rows = anomalies(spark, sf).select("seq", F.explode(lines.cast("array<bigint>")).alias("line_id"))
+    timed = rows.join(logs(spark, sf).select("line_id", "ts"), "line_id").groupBy("seq").agg(F.min("ts").alias("ts"))
+    return an.hourly_profile(timed)
 
 
 # ---- dashboard ----------------------------------------------------------------------------------

@@ -107,14 +107,20 @@ def write_templates(spark, sf, ws):
     return src.read_structured(spark, path)
 
 
-@query("write_reports", sql(f"SELECT {LOG}, {RECORD} FROM anom WHERE processing_mode = 'single_log'", *FULL))
+@query("write_reports", sql(f"SELECT {LOG}, {RECORD}, (SELECT count(*) FROM rws) AS total_logs, (SELECT round(t_seq, 6) FROM thr) AS sequential_threshold, "
+                           "(SELECT count(*) FROM single) AS single_log_count FROM anom", *FULL))
 def write_reports(spark, sf, ws):
+    """All three outputs read back: records of both modes, and the figures of the run beside them."""
     folder = ws.path("reports")
     found = stored(spark, sf)[1]
     sinks.write_reports(found, folder)
-    back = spark.read.schema(found.single.schema).json(f"{folder}/single_log_anomalies")
-    return rounded(back.select("log.*", "anomaly_type", "severity", "confidence", "anomaly_score", "processing_mode", "timestamp"),
-                   "confidence", "anomaly_score")
+    single = spark.read.schema(found.single.schema).json(f"{folder}/single_log_anomalies")
+    sequences = spark.read.schema(found.sequential.schema).json(f"{folder}/sequential_anomalies")
+    records = dt.export_records(dt.union_modes(single, sequences))
+    figures = spark.read.json(f"{folder}/run").select("total_logs", "sequential_threshold", "single_log_count").first()
+    back = records.select("log.*", "anomaly_type", "severity", "confidence", "anomaly_score", "processing_mode", "timestamp",
+                          *[F.lit(v).alias(k) for k, v in figures.asDict().items()])
+    return rounded(back, "confidence", "anomaly_score", "sequential_threshold")
 
 
 NOW = "TIMESTAMP '2024-03-01 10:20:30'"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions import severity
-from emberlog.operators import analytics as an, detect as dt, indexing, lookup, scoring as sc, templates as tm
+from emberlog.operators import analytics as an, detect as dt, lookup, scoring as sc, templates as tm
 from emberlog.operators.features import Tfidf
 from emberlog.operators.indexing import index_rows, percentiles
 from emberlog.operators.lookup import lookup_join
