@@ -236,7 +236,8 @@ def candidate_edges(classes: DataFrame, ws: Workspace) -> DataFrame:
     buckets = ws.stage(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"))
                        .filter(F.col("size") > 1), "buckets", measure=True)
     members = ws.stage(lookup_join(bands, buckets, ["key"], weight="size"), "members", measure=True)
-    signed = ws.stage(_join_nodes(members, filled.select("node", "sig"), "node", ws), "signed")
+    # No class is in more than BANDS buckets.
+    signed = ws.stage(members.join(filled.select("node", "sig"), "node"), "signed")
     columns = [F.col("node.id").alias("id"), F.col("node.set").alias("set")]
     little = signed.filter(F.col("size") <= BLOCK).select("key", *columns, F.lit(0).alias("side"), "sig")
 
@@ -270,11 +271,6 @@ def _small(df: DataFrame, ws: Workspace) -> DataFrame:
     return F.broadcast(held) if fits_broadcast(held) else held
 
 
-def _join_nodes(left: DataFrame, right: DataFrame, on: str, ws: Workspace) -> DataFrame:
-    """Join on a node. Hot nodes are split by adaptive execution; no node is in more than BANDS buckets."""
-    return left.join(right, on)
-
-
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(node, root) of every node of an edge list; the root is the smallest node of its component.
 

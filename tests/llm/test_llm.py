@@ -15,9 +15,9 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from hard import CLASHING, SCHEMA, frame, hard_documents, prose
+from hard import SCHEMA, frame, hard_documents, prose
 
-from emberlog.llm import (chat, encoder, fingerprint, hashing, jaccard, lines, packing, pieces, quality, queries,
+from emberlog.llm import (chat, encoder, fingerprint, hashing, jaccard, lines, packing, pieces, quality,
                           substrings, toxicity, wavelet)
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
