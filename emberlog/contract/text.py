@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import syslog, text
@@ -54,13 +57,33 @@ LAYOUTS = {
     "Spark": "'24/01/01 ' || right(stamp, 8) || ' INFO ' || component || ': ' || content",
     "HDFS": "'240101 ' || replace(right(stamp, 8), ':', '') || ' ' || CAST(pid AS STRING) || ' INFO ' || component || ': blk_-' || CAST(line_id AS STRING) || ' ' || content",
     "Apache": "'[' || stamp || '] [notice] ' || content",
+    "Proxifier": "'[01.01 ' || right(stamp, 8) || '] ' || component || '.exe - ' || content",
+    "Hadoop": "'2024-01-01 ' || right(stamp, 8) || ',001 INFO [main] ' || component || ': ' || content",
+    "Zookeeper": "'2024-01-01 ' || right(stamp, 8) || ' - INFO  [' || host || ':' || component || '@' || CAST(pid AS STRING) || '] - ' || content",
+    "BGL": "'- 1117838570 2024.01.01 R02 2024-01-01-' || right(stamp, 8) || ' R02 RAS ' || component || ' INFO ' || content",
+    "HPC": "CAST(line_id AS STRING) || ' node-1 ' || component || ' state 1084680778 1 ' || content",
+    "Thunderbird": "'- 1131566461 2024.01.01 ' || host || ' Jan 1 ' || right(stamp, 8) || ' ' || host || '/' || host || ' ' || component || '[' || CAST(pid AS STRING) || ']: ' || content",
+    "Windows": "'2024-01-01 ' || right(stamp, 8) || ', Info                  ' || component || '    ' || content",
+    "Android": "'01-01 ' || right(stamp, 8) || '.001  1702  2395 D ' || component || ': ' || content",
+    "HealthApp": "'20240101-' || right(stamp, 8) || '|' || component || '|' || CAST(pid AS STRING) || '|' || content",
+    "OpenSSH": "'Jan 1 ' || right(stamp, 8) || ' ' || component || ' sshd[' || CAST(pid AS STRING) || ']: ' || content",
+    "OpenStack": "'nova.log.1 2024-01-01 ' || right(stamp, 8) || ' 2931 INFO ' || component || ' [req-1] ' || content",
+    "Mac": "'Jul  1 ' || right(stamp, 8) || ' ' || host || ' ' || component || '[' || CAST(pid AS STRING) || ']: ' || content",
 }
 
 
+def _only_group(pattern, number):
+    """The pattern with one group left to capture: DuckDB numbers no more than nine."""
+    groups = itertools.count(1)
+    keep = lambda m: m[0] if m[0] != "(" or next(groups) == number else "(?:"
+    return re.sub(r"\\.|\((?!\?)", keep, pattern)
+
+
 def _preset_sql(name):
     from .mining import norm_sql
     pattern, headers = text.compile_format(PRESETS[name].log_format, atomic=False)
-    content = f"regexp_extract({LAYOUTS[name]}, {quoted(pattern)}, {headers['Content'][0]})"
+    pattern = _only_group(pattern, headers["Content"][0])
+    content = f"regexp_extract({LAYOUTS[name]}, {quoted(pattern)}, 1)"
     return (f"SELECT {quoted(name)} AS preset, line_id, content, {norm_sql(PRESETS[name])} AS normalized FROM "
             f"(SELECT line_id, {content} AS content FROM logs WHERE regexp_matches({LAYOUTS[name]}, {quoted(pattern)})) t")
 
