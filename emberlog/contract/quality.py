@@ -237,10 +237,13 @@ def fit_save_apply(spark, sf, ws):
         "line_id", F.array_join(F.transform(vector_to_array("features"), lambda x: F.round(x, 4)).cast("array<string>"), "|").alias("features"))
 
 
-@query("write_clean", sql("SELECT count(*) AS original, count(CASE WHEN dropped_at IS NULL THEN 1 END) AS clean, count(dropped_at) AS removed, "
-                          "round(100.0::DOUBLE * count(dropped_at) / count(*), 1) AS removed_pct, true AS aggressive FROM staged", PARSED, STAGED))
+@query("write_clean", sql("SELECT line_id, content, (SELECT count(*) FROM staged) AS original, (SELECT count(*) FROM staged WHERE dropped_at IS NULL) AS clean, "
+                          "(SELECT count(dropped_at) FROM staged) AS removed, (SELECT round(100.0::DOUBLE * count(dropped_at) / count(*), 1) FROM staged) AS removed_pct, "
+                          "true AS aggressive FROM staged WHERE dropped_at IS NULL", PARSED, STAGED))
 def write_clean(spark, sf, ws):
+    """Both outputs read back: the cleaned rows, and the report's figures beside them."""
     from ..sources.sinks import write_clean as write
     path = ws.path("clean")
     write(parsed(spark, sf), path, ws)
-    return spark.read.parquet(f"{path}/report")
+    figures = spark.read.parquet(f"{path}/report").first().asDict()
+    return spark.read.parquet(f"{path}/data").select("line_id", "content", *[F.lit(v).alias(k) for k, v in figures.items()])
