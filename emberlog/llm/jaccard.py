@@ -18,7 +18,9 @@ holds more than two blocks, whatever one bucket holds, and no pair is skipped.
 Defined cases: words are runs without white space; a text of fewer than five words has one gram of
 all its words; texts without words are copies of one another; a null text is the empty text; each
 row is a document and counts as a link, also rows that repeat; a null id is never the name of a
-class while another id is there; no rows give no rows.
+class while another id is there; no rows give no rows. Of each group the stage keeps one row, the
+least by id and text, and of rows that repeat any one; documents without an id, and documents of one
+id with unrelated texts, are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.lookup import fits_broadcast, lookup_join
 from ..workspace import Workspace
 from . import hashing
-from .common import free_name
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -98,12 +99,18 @@ def signatures(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keys() -> tuple[Column, Column]:
+    """``_id`` and ``body``: the id of a document (NO_ID for null) and the hash of its text."""
+    return (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+            F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """One row per document: id, 128-bit hash of its set, MinHash values (null for the empty set)."""
+    """One row per document: id, its keys, 128-bit hash of its set, MinHash values (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = hashing.buffers(batch.column(1))
+            data, offsets = hashing.buffers(batch.column(3))
             for first, end, part, at in hashing.pieces(data, offsets):
                 grams, starts = shingles(part, at)
                 size = np.diff(starts)
@@ -114,11 +121,11 @@ def described(docs: DataFrame) -> DataFrame:
                 for i, row in zip(filled.tolist(), held):
                     made[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(one), pa.array(two), pa.array(made, pa.binary())],
-                    names=["doc_id", "set", "set2", "sig"])
+                    [*(batch.column(i).slice(first, end - first) for i in range(3)), pa.array(one), pa.array(two),
+                     pa.array(made, pa.binary())], names=["doc_id", "_id", "body", "set", "set2", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, set long, set2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, _id long, body long, set long, set2 long, sig binary")
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -331,28 +338,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies.
+    """One row per document: doc_id, class_id, n_links, n_copies, and its keys and ``root``.
 
     ``class_id``: the least id of the documents that links connect. ``n_links``: other documents of a
-    likeness of THRESHOLD or more, copies included. ``n_copies``: documents of the same set.
+    likeness of THRESHOLD or more, copies included. ``n_copies``: documents of the same set. ``root``:
+    the node that names the group, which ``class_id`` alone does not (ids may be null or repeat).
     """
-    rows = ws.stage(described(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))), "described")
+    rows = ws.stage(described(docs), "described")
     classes = ws.stage(rows.groupBy("set", "set2").agg(
-        F.min("_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig", True).alias("sig"))
-        .select(F.struct("id", "set").alias("node"), "set", "set2", "copies", "sig"), "classes", measure=True)
+        F.min(F.struct("_id", "body")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig", True).alias("sig"))
+        .select(F.struct(F.col("least._id").alias("id"), "set").alias("node"), F.col("least.body").alias("body"),
+                "set", "set2", "copies", "sig"), "classes", measure=True)
     edges = candidate_edges(classes, ws)
     groups = components(edges, ws)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     # A group's nodes join its size by the root; the count folds in each task first.
     asked = ws.stage(lookup_join(groups, ws.stage(sizes, "sizes", measure=True), ["root"], weight="size")
-                     .join(classes.select("node", "copies"), "node")
-                     .select(F.col("node.id").alias("_id"), F.col("node.set").alias("set"), "node", "root", "size", "copies"),
+                     .join(classes.select("node", "body", "copies"), "node")
+                     .select(F.col("node.id").alias("_id"), "body", "node", "root", "size", "copies"),
                      "asked", measure=True)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
-                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = source.join(F.broadcast(asked) if fits_broadcast(asked) else asked, "_id")
-    mine = _own_text(found)
-    dealt = (_blocks(mine, "root", "size", "node")
+    source = docs.select(*_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = lookup_join(source, asked, ["_id", "body"], weight="copies")
+    dealt = (_blocks(_once(found), "root", "size", "node")
              .select("task", F.col("node.id").alias("id"), F.col("node.set").alias("set"), "copies", "side", "text")
              .repartition("task").sortWithinPartitions("task", "id", "set"))
     verified = ws.stage(dealt.mapInArrow(_verify, f"node {_NODE}, root {_NODE}, links long"), "verified")
@@ -364,46 +371,49 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
         joined = components(ws.stage(tied.distinct(), "tied"), ws)
         links = links.drop("root").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = (classes.join(links.select("node", "links", "root"), "node", "left")
-             .select("set", "set2", "copies", F.coalesce(F.col("root.id"), F.col("node.id")).alias("class_id"),
+             .select("set", "set2", "copies", F.coalesce("root", "node").alias("root"),
                      F.coalesce("links", F.lit(0).cast("long")).alias("links")))
     named = ws.stage(named, "named", measure=True)
-    out = lookup_join(rows.select("doc_id", "set", "set2"), named, ["set", "set2"], weight="copies")
-    class_id = F.when(F.col("class_id") != NO_ID, F.col("class_id"))
-    return out.select("doc_id", "set", class_id.alias("class_id"),
-                      (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    out = lookup_join(rows.select("doc_id", "_id", "body", "set", "set2"), named, ["set", "set2"], weight="copies")
+    class_id = F.when(F.col("root.id") != NO_ID, F.col("root.id"))
+    return out.select("doc_id", class_id.alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"),
+                      F.col("copies").alias("n_copies"), "_id", "body", "root")
 
 
-def _own_text(found: DataFrame) -> DataFrame:
-    """Of rows of one id with several texts only those whose set is the class's."""
+def _once(found: DataFrame) -> DataFrame:
+    """Of rows that repeat an id and a text one of each batch, so that they need not meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = hashing.buffers(batch.column("text"))
-            keep = np.zeros(batch.num_rows, bool)
-            for first, end, part, at in hashing.pieces(data, offsets):
-                grams, starts = shingles(part, at)
-                keep[first:end] = set_hashes(grams, starts) == np.asarray(batch.column("set"))[first:end]
-            yield batch.filter(pa.array(keep))
+            keys = np.stack([np.asarray(batch.column("_id")), np.asarray(batch.column("body"))])
+            _, one = np.unique(keys, axis=1, return_index=True)
+            yield batch.take(pa.array(np.sort(one))) if len(one) < batch.num_rows else batch
 
     return found.mapInArrow(run, found.schema)
 
 
 def query(docs: DataFrame, ws: Workspace) -> DataFrame:
-    return near_duplicates(docs, ws).drop("set")
+    return near_duplicates(docs, ws).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def stage(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs`` with one row of each group: the document whose id names it, of repeated ids the least text."""
-    keep, place = free_name(docs, "_keep"), free_name(docs, "_place")
-    kept = near_duplicates(docs, ws).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    named = ws.stage(kept.groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias("rows")), "kept", measure=True)
-    side = named.select(keep)
-    side = F.broadcast(side) if fits_broadcast(named) else side
-    left = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
-    if named.filter(F.col("rows") > 1).isEmpty():
-        return left
-    first = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.coalesce(F.col("text"), F.lit("")))
-    return left.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
+    """``docs`` with one row of each group: the least by id and text, of rows that repeat any one."""
+    # Texts that may stand for their group: those of its least id. No two groups share an id and a text.
+    least = ws.stage(near_duplicates(docs, ws).filter(F.col("_id") == F.col("root.id")).groupBy("root", "_id", "body")
+                     .agg(F.count(F.lit(1)).alias("rows")), "least", measure=True)
+    several = ws.stage(least.groupBy("root").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("texts"))
+                       .filter(F.col("n") > 1), "several", measure=True)
+    asked = ws.stage(lookup_join(least, several, ["root"], "left", weight="texts")
+                     .select("_id", "body", "rows", F.when(F.col("n").isNotNull(), F.col("root")).alias("group")),
+                     "asked", measure=True)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = lookup_join(docs.select(*_keys(), whole), asked, ["_id", "body"], weight="rows")
+    left = found.filter(F.col("group").isNull()).select("row")
+    if not several.isEmpty():
+        text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+        left = left.unionByName(found.filter(F.col("group").isNotNull()).groupBy("group")
+                                .agg(F.min_by("row", text).alias("row")).select("row"))
+    return left.select("row.*")
 
 
 SQL = rf"""

@@ -404,6 +404,46 @@ def test_near_stage_leaves_one_row_per_group(hard, ws):
     assert kept == sorted({c for _, c, _, _ in brute_links(ROWS) if c is not None})
 
 
+def brute_kept(rows):
+    """(doc_id, text) of the least row, by id and text, of each group of near copies."""
+    def grams(t):
+        w = (t or "").encode().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = [grams(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                group = [group[i] if g == group[j] else g for g in group]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    return sorted((min((r for r, g in zip(rows, group) if g == own), key=order) for own in set(group)), key=repr)
+
+
+def unnamed_documents():
+    """Texts without an id, ids with unrelated texts, and near copies among both."""
+    rng = random.Random(11)
+    base, other = prose(rng, 120, 4000), prose(rng, 120, 4000)
+    rows = [(3, base), (7, prose(rng, 50, 4000)), (7, base + " tail"), (None, base + " end"), (None, other + " z"), (None, other),
+            (None, other + " z"), (9, prose(rng, 40, 4000)), (9, prose(rng, 40, 4000)), (12, prose(rng, 30, 4000)), (12, None)]
+    alone = prose(rng, 80, 4000)
+    rows += [(None, prose(rng, 60, 4000)) for _ in range(6)] + [(5, alone), (5, alone), (5, alone + " more")]
+    return rows + [(None, f"{alone} {i}") for i in range(3)]
+
+
+@pytest.mark.parametrize("make", [unnamed_documents, hard_documents])
+def test_near_stage_keeps_every_document_without_a_near_copy(spark, ws, make):
+    rows = make()
+    got = jaccard.stage(frame(spark, rows), ws).select("doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=repr) == sorted(((i, t or "") for i, t in brute_kept(rows)), key=repr)
+
+
+def test_near_stage_of_unnamed_documents_without_broadcast(spark, ws, monkeypatch, small_limits):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rows = unnamed_documents()
+    assert sorted(map(tuple, jaccard.stage(frame(spark, rows), ws).select("doc_id", "text").collect()), key=repr) == brute_kept(rows)
+    assert sorted((tuple(r) for r in jaccard.query(frame(spark, rows), ws).collect()), key=repr) == brute_links(rows)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
     from emberlog.llm.common import read
