@@ -10,7 +10,7 @@ per possible length, whatever the corpus) reaches the driver:
    raised, those of one round together.
 2. Rounding: a share of each raised configuration is taken whole, the most raised first, as long as
    the demand allows. What is left goes best-fit decreasing. The share that needs the fewest
-   sequences counts (on lengths for which best-fit alone is near the bound, that may be a small one).
+   sequences counts (on lengths for which best-fit alone is near the bound, that may be none).
 
 Each piece then finds its sequence by its rank among the pieces of its length. Ranks come from
 counts per task and length, so no task sees more than its own pieces.
@@ -38,7 +38,8 @@ LENGTH, END = 2048, 0
 # Rounds of the multiplicative weights, how fast weights fall, and how close to the best price counts.
 ROUNDS, RATE, NEAR = 40, 2.0, 0.02
 # Shares of the solution that rounding tries to keep; the one that needs the fewest sequences counts.
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
+# Share 0 is best-fit alone, so the result never needs more sequences than that.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
 _NO_ID = -(1 << 63)
 
 

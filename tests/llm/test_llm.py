@@ -264,6 +264,14 @@ def test_configurations_hold_the_demand(kind):
     assert used <= 1.005 * plain + 1 and used >= -(-int((demand * np.arange(257)).sum()) // 256)
 
 
+@pytest.mark.parametrize("kind", ["mix", "uniform"])
+def test_configurations_need_no_more_than_best_fit(kind):
+    rng = np.random.default_rng(4)
+    mix = np.concatenate([rng.integers(163, 189, 5000), rng.integers(50, 114, 5000)])
+    demand = np.bincount(mix if kind == "mix" else rng.integers(1, 257, 20_000), minlength=257)
+    assert sum(n for _, n in packing.configurations(demand)) <= sum(n for _, n in packing._best_fit(demand.copy()))
+
+
 # ---- SentencePiece ---------------------------------------------------------------------------------------------------
 
 
