@@ -35,17 +35,18 @@ def read_log_text(spark, sf, ws):
 
 @query("combine_rotated_logs", sql("SELECT line AS value, count(*) AS n FROM logs GROUP BY ALL"))
 def combine_rotated_logs(spark, sf, ws):
-    """Every line, written as one plain, one gz and one bz2 file, is read once."""
+    """Every line, written as plain, gz and bz2 files, one per task and codec, is read once."""
     folder, rows = ws.path("rotated"), logs(spark, sf).select("k", "line")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for i, (suffix, codec) in enumerate([("", "none"), (".1.gz", "gzip"), (".2.bz2", "bzip2")]):
+    for i, (suffix, codec) in enumerate([("", "none"), (".gz", "gzip"), (".bz2", "bzip2")]):
         part = ws.path("part")
-        rows.filter(F.col("k") % 3 == i).select("line").coalesce(1).write.option("compression", codec).text(part)
+        rows.filter(F.col("k") % 3 == i).select("line").write.option("compression", codec).text(part)
         found = jvm.org.apache.hadoop.fs.Path(f"{part}/part-*")
         fs = found.getFileSystem(conf)
         fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-        fs.rename(fs.globStatus(found)[0].getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/messages{suffix}"))
+        for number, file in enumerate(fs.globStatus(found)):
+            fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/messages.{i}{number:06}{suffix}"))
     return src.read_rotated(spark, folder).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 

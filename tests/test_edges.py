@@ -152,3 +152,13 @@ def test_count_windows_of_null_keys_and_lost_carry(spark, ws, either_way):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     with pytest.raises(FileNotFoundError):
         window_batch(spark.createDataFrame([("a", 1)], "host string, at long"), 7, "host", ["at"], out, carry, ws)
+
+
+def test_rotated_logs_are_written_by_every_task(spark, ws, monkeypatch):
+    from emberlog.contract import io
+
+    rows = spark.createDataFrame([(i, f"line {i % 50}") for i in range(120)], "k long, line string").repartition(4)
+    monkeypatch.setattr(io, "logs", lambda *_: rows)
+    made = io.combine_rotated_logs(spark, "", ws)
+    assert len(made.inputFiles()) > 3
+    assert {r.value: r.n for r in made.collect()} == {f"line {i}": 3 if i < 20 else 2 for i in range(50)}
