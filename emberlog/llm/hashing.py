@@ -1,17 +1,21 @@
-"""Hashes of all slices of a byte buffer, by one pass of prefix sums.
+"""Hashes of slices of a byte buffer, read eight bytes (a lane) at a time.
 
-``prefix[i]`` is the sum of ``code(byte j) * BASE**j`` for j < i, modulo 2**64. A slice's hash is the
-difference of two prefixes times an inverse power, so equal slices have equal hashes wherever they
-lie, and neighbouring slices of one length differ by one step of a rolling hash.
+A lane that is shorter is filled with zeros. Every lane is mixed over all 64 bits before the next one
+joins it, so a hash is no polynomial in the bytes: texts that are built to collide for such hashes,
+whatever their base, do not collide here. Equal slices have equal hashes wherever they lie. Where an
+answer hangs on equality, callers compare contents besides.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+OTHER = 0xC2B2AE3D27D4EB4F
+# Slices of more bytes are hashed one by one by a library function.
+LONG = 512
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -22,46 +26,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 mixed = _mixed
-# A rule, not a table: the code of a byte is its mixed number.
-_CODES = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of BASE and of its inverse, kept at the largest length asked for."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        made = []
-        for base in (BASE, INVERSE):
-            out = np.empty(size, np.uint64)
-            out[0], done, step = 1, 1, base
-            while done < size:
-                out[done:2 * done] = out[:done] * np.uint64(step)
-                done, step = 2 * done, step * step & _MASK
-            made.append(out)
-        _powers[size] = tuple(made)
-    return _powers[size]
-
-
-def prefixes(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a uint8 array, one more than it has bytes."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * _power(len(data))[0][:len(data)], out=out[1:])
-    return out
+# The bytes of a lane that count, by how many are left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as one integer; zeros follow the last byte."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", held, 0, (1,))
+
 
+def lane(read: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The lanes at some places, cut to the bytes that are left (none: 0)."""
+    return read[at] & _MASKS[np.clip(left, 0, 8)]
 
-def slices(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the slices [start, end); slices of different lengths differ too."""
-    inverse = _power(len(prefix))[1]
-    return _mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    size = end - start
+    out = _mixed(size.astype(np.uint64) + np.uint64(BASE))
+    read = lanes(data)
+    live, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        out[live] = _mixed(out[live] * np.uint64(OTHER) ^ _mixed(lane(read, start[live] + done, size[live] - done) + np.uint64(BASE)))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[start[i]:end[i]], digest_size=8).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
+def windows(data: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all slices of one length (8 at least), by their start: a weighted sum of mixed lanes."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    read = _mixed(lanes(data)[:len(data)] + np.uint64(BASE))
+    out = np.zeros(n, np.uint64)
+    for k, place in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
+        out += read[place:place + n] * _WEIGHTS[k]
+    return _mixed(out)
 
 
-def windows(prefix: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all slices of one length, by their start."""
-    n = max(0, len(prefix) - length)
-    inverse = _power(len(prefix))[1]
-    return _mixed((prefix[length:length + n] - prefix[:n]) * inverse[:n] + np.uint64(length))
+# A rule, not a table: one odd weight for each lane of a window.
+_WEIGHTS = _mixed(np.arange(64, dtype=np.uint64) + np.uint64(11)) | np.uint64(1)
 
 
 _SPACE = np.zeros(256, bool)
@@ -86,7 +96,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20):
+def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 18):
     """Runs of whole rows of about ``size`` bytes: (first row, end row, bytes, offsets)."""
     first = 0
     while first < len(offsets) - 1:

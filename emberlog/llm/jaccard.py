@@ -54,7 +54,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin[1:] &= ~inside[:-1] | border[1:-1]
     stop[:-1] &= ~inside[1:] | border[1:-1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    word = hashing.slices(hashing.prefixes(data), start, end)
+    word = hashing.slices(data, start, end)
     row = np.searchsorted(offsets, start, "right") - 1
     count = np.bincount(row, minlength=rows)
     first = np.cumsum(count) - count
@@ -114,7 +114,7 @@ def described(docs: DataFrame) -> DataFrame:
             for first, end, part, at in hashing.pieces(data, offsets):
                 grams, starts = shingles(part, at)
                 size = np.diff(starts)
-                one, two = set_hashes(grams, starts), set_hashes(hashing.mixed(grams ^ np.uint64(hashing.INVERSE)), starts)
+                one, two = set_hashes(grams, starts), set_hashes(hashing.mixed(grams ^ np.uint64(hashing.OTHER)), starts)
                 filled = np.flatnonzero(size)
                 held = signatures(grams, np.append(starts[filled], len(grams))) if len(filled) else np.zeros((0, HASHES), np.uint16)
                 made: list[bytes | None] = [None] * (end - first)

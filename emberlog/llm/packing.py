@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..workspace import Workspace
 from . import hashing
 from .common import texts
-from .encoder import encoder
+from .encoder import encoder, tidy
 
 LENGTH, END = 2048, 0
 # Rounds of the multiplicative weights, how fast weights fall, and how close to the best price counts.
@@ -79,6 +79,7 @@ def cut(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -
                     pa.array(ids_, mask=ids_ == _NO_ID), pa.array(piece.astype(np.int32)), pa.array(piece * length),
                     pa.array(size), pa.array(sums, pa.int64()), pa.array(np.full(len(size), part, np.int32)), pa.array(rank)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        tidy()
 
     return texts(docs).mapInArrow(
         pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing
-from .encoder import ChunkTable
+from .encoder import ChunkTable, tidy
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -231,6 +231,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                     [batch.column(0).slice(first, end - first),
                      pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32))), pa.array(back, pa.string())],
                     names=["doc_id", "ids", "decoded"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -35,6 +35,7 @@ from ..operators.lookup import fits_broadcast
 from ..workspace import Workspace
 from . import hashing
 from .common import free_name
+from .encoder import tidy
 
 LENGTH, GRAM = 100, 32
 # One document in SAMPLE names hot triggers: those with over HOT_SEEN different phrases in the sample.
@@ -64,8 +65,7 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     rows = np.flatnonzero(size >= LENGTH)
     if not len(rows):
         return none, none, none, none, none
-    prefix = hashing.prefixes(data)
-    grams = hashing.windows(prefix, GRAM)
+    grams = hashing.windows(data, GRAM)
     width = LENGTH - GRAM + 1
     least = _sliding_min(grams, width)
     first, last = offsets[rows], offsets[rows + 1] - LENGTH
@@ -91,7 +91,7 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     close = np.append(row[1:] != row[:-1], True)
     end[close] = offsets[row[close] + 1] - LENGTH + 1
     return (row, start - offsets[row], end - start, grams[trigger].view(np.int64),
-            hashing.slices(prefix, start, end + LENGTH - 1).view(np.int64))
+            hashing.slices(data, start, end + LENGTH - 1).view(np.int64))
 
 
 def _split(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
@@ -155,6 +155,7 @@ def _phrases(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     found, many = [], 0
             if found:
                 yield fold(found)
+        tidy()
 
     return docs.mapInArrow(run, _PHRASE)
 
@@ -235,7 +236,7 @@ def _hashed_windows(data: np.ndarray, edges: np.ndarray, n: np.ndarray) -> tuple
     total = np.cumsum(n)
     of = np.repeat(np.arange(len(n)), n)
     inner = np.arange(int(total[-1]) if len(total) else 0) - (total - n)[of]
-    return of, inner, hashing.windows(hashing.prefixes(data), LENGTH).view(np.int64)[edges[:-1][of] + inner]
+    return of, inner, hashing.windows(data, LENGTH).view(np.int64)[edges[:-1][of] + inner]
 
 
 def _resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    word = hashing.slices(hashing.prefixes(_LOWER[data]), start, end)
+    word = hashing.slices(_LOWER[data], start, end)
     rows, keys = [row], [word]
     for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         if len(word) > gap:

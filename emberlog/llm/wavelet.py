@@ -2,7 +2,7 @@
 
 A shard holds the ids of a run of whole documents. Level by level, from the highest bit, it stores
 one bit per token (a bit-plane) and goes on with the tokens parted by that bit, zeros first. With
-counts of ones per block each plane answers rank, so a token at any place, the count of a token
+counts of ones per block each plane answers rank and select, so a token at any place, the count of a token
 before any place, and all places of a token are found from the planes without decoding the shard.
 
 Documents are range-partitioned by id; each task writes its own shards through Spark's Parquet
@@ -10,7 +10,7 @@ writer into the shared folder, so a lost task is written again and nothing passe
 driver. Where a shard begins in the whole corpus follows from the shards' token counts.
 
 Defined cases: a null text is the empty text; each document ends in END, so an empty one has one
-token; rows of equal ids are ordered by text and each is a document; a document longer than
+token; rows of equal ids are ordered by a hash of the text and each is a document; a document longer than
 SHARD_TOKENS is one longer shard; no rows give no shards. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..workspace import Workspace
 from . import hashing
 from .common import texts
-from .encoder import encoder
+from .encoder import encoder, tidy
 
 END = 2
 SHARD_TOKENS, BLOCK = 2_000_000, 4096
@@ -47,7 +47,7 @@ class WaveletMatrix:
             one = (tokens >> level & 1).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
             ranks.append(cls._blocks(planes[-1]))
-            tokens = np.concatenate([tokens[~one], tokens[one]])
+            tokens = np.concatenate([np.compress(~one, tokens), np.compress(one, tokens)])
         return cls(len(tokens), planes, ranks)
 
     @staticmethod
@@ -91,27 +91,41 @@ class WaveletMatrix:
         low, high = self._range(token, end)
         return high - low
 
+    def _select(self, level: int, bit: int, which: np.ndarray) -> np.ndarray:
+        """Places of the given ones (or zeros) of a plane, counted from 0 and sorted: the directory of
+        counts per block names their blocks, and only those are unpacked."""
+        before = self.ranks[level].astype(np.int64)
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.size) - before
+        block = np.searchsorted(before, which, "right") - 1
+        out = np.empty(len(which), np.int64)
+        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(which) else np.zeros(0, np.int64)
+        for low, high in zip(cuts.tolist(), np.append(cuts[1:], len(which)).tolist()):
+            first = int(block[low]) * BLOCK
+            held = self.planes[level][first // 8:(first + BLOCK) // 8]
+            bits = np.unpackbits(held, count=min(BLOCK, self.size - first), bitorder="little")
+            out[low:high] = first + np.flatnonzero(bits == bit)[which[low:high] - before[block[low]]]
+        return out
+
     def locate(self, token: int) -> np.ndarray:
         """All places of a token, by select through the planes from the last to the first."""
         low, high = self._range(token, self.size)
         places = np.arange(low, high)
         for level in range(len(self.planes) - 1, -1, -1):
-            if not len(places):
-                break
             bit = token >> len(self.planes) - 1 - level & 1
-            bits = np.unpackbits(self.planes[level], count=self.size, bitorder="little")
-            of = np.flatnonzero(bits == bit)
-            places = of[places - (self.zeros[level] if bit else 0)]
+            # Places below one plane are in order, and so are their places in the plane above.
+            places = self._select(level, bit, places - (self.zeros[level] if bit else 0))
         return places
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes from the last to the first, each undoing its parting."""
-        out = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.size, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
             zeros, back = self.zeros[level], np.empty_like(out)
             back[~one] = out[:zeros]
-            back[one] = out[zeros:] | np.uint32(1 << len(self.planes) - 1 - level)
+            back[one] = out[zeros:] | kind(1 << len(self.planes) - 1 - level)
             out = back
         return out
 
@@ -120,48 +134,82 @@ def _open(size: int, planes: list[bytes], ranks: list[bytes]) -> WaveletMatrix:
     return WaveletMatrix(size, [np.frombuffer(p, np.uint8) for p in planes], [np.frombuffer(r, np.uint32) for r in ranks])
 
 
+def _bits(tokenizer: str, end: int) -> int:
+    coder = encoder(tokenizer)
+    return max(coder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end).bit_length()
+
+
+def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+    """doc_id, a hash that orders rows of one id, and the ids with END as integers of two or four bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, kind = encoder(tokenizer), _kind(_bits(tokenizer, end))
+        for batch in batches:
+            data, offsets = hashing.buffers(batch.column(2))
+            for first, stop, some, at in hashing.pieces(data, offsets):
+                ids, counts = coder.encode(some, at)
+                full = np.insert(ids, np.cumsum(counts), end).astype(kind)
+                cuts = np.concatenate([[0], np.cumsum(counts + 1)]) * full.itemsize
+                held = pa.Array.from_buffers(pa.large_binary(), stop - first,
+                                             [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(full)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(first, stop - first) for i in range(2)), held.cast(pa.binary())],
+                    names=["doc_id", "place", "ids"])
+        tidy()
+
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("place"), "text")
+    return rows.mapInArrow(run, "doc_id long, place long, ids binary")
+
+
+def _kind(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write the ids of all documents, in ascending order of documents, as shards in ``folder``."""
+    """Write the ids of all documents, in ascending order of documents, as shards in ``folder``.
+
+    Texts are encoded where they are; only ids, half as many bytes, move to their range.
+    """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        bits = max(coder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end).bit_length()
-        kind = np.uint16 if bits <= 16 else np.uint32
+        part, number = TaskContext.get().partitionId(), 0
+        bits = _bits(tokenizer, end)
+        kind = _kind(bits)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        many = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, number
+            nonlocal held, number, many
             ids, doc_ids, counts = (np.concatenate(x) for x in zip(*held))
             matrix = WaveletMatrix.build(ids, bits)
             row = {"part": part, "shard": number, "n_tokens": matrix.size, "bits": bits, "doc_ids": doc_ids.tobytes(),
                    "doc_tokens": counts.tobytes(), "planes": [p.tobytes() for p in matrix.planes],
                    "ranks": [r.tobytes() for r in matrix.ranks]}
-            held, number = [], number + 1
+            held, many, number = [], 0, number + 1
             return pa.RecordBatch.from_pylist([row], _SHARD_ARROW)
 
         for batch in batches:
-            data, offsets = hashing.buffers(batch.column(1))
+            raw, offsets = hashing.buffers(batch.column(2))
             # A null id is written as the smallest; the reader turns it back.
             doc_ids = np.asarray(batch.column(0).fill_null(_NO_ID))
-            for first, stop, part_data, at in hashing.pieces(data, offsets):
-                ids, counts = coder.encode(part_data, at)
-                ends = np.cumsum(counts)
-                full = np.insert(ids, ends, end).astype(kind)
-                counts = counts + 1
-                held.append((full, doc_ids[first:stop], counts))
-                while sum(len(h[0]) for h in held) >= shard_tokens:
-                    ids, docs_, counts = (np.concatenate(x) for x in zip(*held))
-                    ends = np.cumsum(counts)
-                    cut = int(np.searchsorted(ends, shard_tokens)) + 1
-                    held = [(ids[:ends[cut - 1]], docs_[:cut], counts[:cut])]
+            ends = offsets[1:] // kind().itemsize
+            ids = np.frombuffer(raw.tobytes(), kind)
+            first = 0
+            while first < len(ends):
+                # As many documents as bring the shard to its size.
+                at = int(ends[first - 1]) if first else 0
+                stop = min(int(np.searchsorted(ends, at + shard_tokens - many)) + 1, len(ends))
+                held.append((ids[at:ends[stop - 1]], doc_ids[first:stop], np.diff(ends[first:stop], prepend=at)))
+                many, first = many + int(ends[stop - 1]) - at, stop
+                if many >= shard_tokens:
                     yield flush()
-                    held = [(ids[ends[cut - 1]:], docs_[cut:], counts[cut:])] if cut < len(counts) else []
         if held:
             yield flush()
+        tidy()
 
-    ordered = texts(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = encoded(docs, tokenizer, end).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     ordered.mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(folder)
 
 

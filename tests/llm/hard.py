@@ -12,6 +12,15 @@ def prose(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}{'abcde'[rng.randrange(5)]}" for _ in range(n))
 
 
+def twins(one="a", other="b", doublings=10):
+    """Two texts that collide under every polynomial hash modulo 2**64 with an odd base: a Thue-Morse
+    word of 1,024 letters and its complement."""
+    a, b = one, other
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
 def hard_documents():
     """Copies, near copies, shared passages and lines, nulls, empty and very long texts, repeated rows."""
     rng = random.Random(5)
@@ -28,7 +37,8 @@ def hard_documents():
         near = list(words)
         near[i * 7] = f"new{i}"
         texts.append(" ".join(near))
-    rows = [(i * 3 % 101, t) for i, t in enumerate(texts)]
+    texts += [*twins(), *twins("q", "Z"), *twins("x y ", "y x "), "kelvin \u212a \u0130stanbul \xb5 a\u0301 \x00\x00 \x00"]
+    rows = [(i * 3 % 191, t) for i, t in enumerate(texts)]
     rows += [rows[0], rows[3], (rows[20][0], rows[20][1]), (None, "no id here"), (None, base)]
     return rows
 
