@@ -82,6 +82,15 @@ def _points(texts: list[str], length: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint32).reshape(len(texts), length).astype(np.uint64) + np.uint64(1)
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where no piece lies across: before a run of spaces, before and after a line feed."""
+    space, feed = data == 32, data == 10
+    first = space | feed
+    first[1:] &= ~(space[:-1] & space[1:])
+    first[1:] |= feed[:-1]
+    return first
+
+
 class PieceEncoder(ChunkTable):
     def __init__(self, model: Model):
         super().__init__()
@@ -106,11 +115,7 @@ class PieceEncoder(ChunkTable):
         self.spoken_at = np.cumsum(self.spoken_size) - self.spoken_size
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
-        space, feed = data == 32, data == 10
-        first = space | feed
-        first[1:] &= ~(space[:-1] & space[1:])
-        first[1:] |= feed[:-1]
-        return first
+        return cuts(data)
 
     def encode_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [t.replace(" ", SPACE) for t in texts]

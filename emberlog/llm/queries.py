@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from ..workspace import Workspace
-from . import chat, fingerprint, jaccard, lines, packing, pieces, quality, substrings, toxicity, wavelet
+from . import alignment, chat, fingerprint, jaccard, lines, packing, pieces, quality, substrings, toxicity, wavelet
 from .common import read
 
 def vocabulary(name: str) -> str:
@@ -62,10 +62,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(read(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, byte_bpe: str | None = None, piece_bpe: str | None = None) -> DataFrame:
+    return alignment.query(read(spark, sf_dir, "documents"), byte_bpe or vocabulary("byte_bpe_50k.json"),
+                           piece_bpe or vocabulary("piece_bpe_32k.model"), Workspace(spark))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_token_id_output,
     op6_best_fit_packing, op7_toxicity, op8_chat_formatting,
-    op9_suffix_array_dedup, op10_ngram_jaccard_join)}
+    op9_suffix_array_dedup, op10_ngram_jaccard_join,
+    op13_cross_tokenizer_alignment)}
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
     "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL,
