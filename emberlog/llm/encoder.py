@@ -179,8 +179,7 @@ class Encoder(ChunkTable):
         """With ``plain``, the strings of control tokens inside a text are text like any other."""
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.lone = Tokenizer.from_file(path) if plain else self.tokenizer
-        self.lone.encode_special_tokens = plain
+        self.plain = plain
         self.mark, token = max(self.tokenizer.get_added_tokens_decoder().items())
         self.mark_text = token.content
         # Byte-level tokens have one letter for each byte, and some a mark for the end of a word.
@@ -252,4 +251,7 @@ class Encoder(ChunkTable):
         return rows
 
     def encode_whole(self, text: str) -> np.ndarray:
-        return np.array(self.lone.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.tokenizer.encode_special_tokens = self.plain
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.tokenizer.encode_special_tokens = False
+        return ids
