@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from ..workspace import Workspace
-from . import alignment, chat, fingerprint, jaccard, lines, packing, periods, pieces, quality, substrings, toxicity, wavelet
+from . import alignment, chat, credentials, fingerprint, jaccard, lines, packing, periods, pieces, quality, substrings, toxicity, wavelet
 from .common import read
 
 def vocabulary(name: str) -> str:
@@ -62,6 +62,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(read(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.query(read(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return periods.query(read(spark, sf_dir, "documents"))
@@ -76,7 +80,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_document_fingerprints, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_token_id_output,
     op6_best_fit_packing, op7_toxicity, op8_chat_formatting,
     op9_suffix_array_dedup, op10_ngram_jaccard_join,
-    op12_periodic_run_detection, op13_cross_tokenizer_alignment)}
+    op11_secret_scans, op12_periodic_run_detection, op13_cross_tokenizer_alignment)}
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": fingerprint.SQL, "op2_line_dedup": lines.SQL,
     "op3_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL,
