@@ -12,7 +12,7 @@ from ..functions.severity import severity, severity_confidence
 from ..operators import analytics as an, dashboard as db, detect as dt
 from ..operators.classify import with_log_type
 from ..operators.indexing import index_rows, percentiles
-from ..operators.windows import sequence_windows, window_error
+from ..operators.windows import keyed_windows, place_rows, sequence_windows, window_error
 from ..plans.rulebook import RULES, SEVERITY_LABELS, THREAT_TYPES, WEIGHTS
 from ..workspace import Workspace
 from .base import logs, query, quoted, sql, table
@@ -97,6 +97,9 @@ def anomalies(spark, sf):
     return stored(spark, sf)[0]
 
 
+LIMITS = ("sequential_threshold", "single_log_threshold", "hybrid_threshold")
+
+
 # ---- windows ------------------------------------------------------------------------------------
 
 @query("sequence_windows", sql(
@@ -108,6 +111,27 @@ def sequence_windows_query(spark, sf, ws):
     return sequence_windows(rows.select("line_id", "idx"), n, 8, 4).select("line_id", "win_id", "start_idx", "offset")
 
 
+KEYED = ("placed AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY line_id) - 1 AS kidx, count(*) OVER (PARTITION BY level) AS kn, "
+         "row_number() OVER (ORDER BY level, line_id) - 1 AS place FROM rws)")
+
+
+@query("sequence_windows_by_key", sql(
+    "SELECT level AS host, line_id, s AS win_id, s * 8 AS start_idx, kidx - s * 8 AS \"offset\" FROM (SELECT *, kidx // 8 AS s FROM placed) t WHERE (s + 1) * 8 <= kn", *BASE, KEYED))
+def sequence_windows_by_key(spark, sf, ws):
+    """The complete windows of each host, as a stream of the same lines has them."""
+    rows = logs(spark, sf).select("line_id", "host")
+    return keyed_windows(rows, "host", ["line_id"], ws).select("host", "line_id", "win_id", "start_idx", "offset")
+
+
+@query("sequence_windows_by_key_overlapping", sql(
+    "SELECT level AS host, line_id, s AS win_id, s * 4 AS start_idx, kidx - s * 4 AS \"offset\" FROM (SELECT *, unnest(range(greatest(0, (kidx - 4) // 4), kidx // 4 + 1)) AS s FROM placed) t "
+    "WHERE kidx >= s * 4 AND kidx < s * 4 + 8 AND s * 4 + 8 <= kn", *BASE, KEYED))
+def sequence_windows_by_key_overlapping(spark, sf, ws):
+    """Windows of eight lines of a host, every four."""
+    rows = logs(spark, sf).select("line_id", "host")
+    return keyed_windows(rows, "host", ["line_id"], ws, 8, 4).select("host", "line_id", "win_id", "start_idx", "offset")
+
+
 @query("window_error", sql(f"SELECT win_id, start_idx, {r6('sequential_error', 'single_error')} FROM wins", *W))
 def window_error_query(spark, sf, ws):
     rows, n = scored(spark, sf, ws)
@@ -249,6 +273,26 @@ def hybrid_anomalies(spark, sf, ws):
                                 "anomaly_score", "processing_mode", "non_normal_count"), "confidence", "anomaly_score")
 
 
+# Windows per host: the first row's place among all hosts' rows names a window.
+KWINS = ("wins AS MATERIALIZED (SELECT level AS key, kidx // 8 AS w, min(place) AS win_id, (kidx // 8) * 8 AS start_idx, avg(sequential_error) AS sequential_error, "
+         "avg(single_error) AS single_error FROM placed WHERE (kidx // 8) * 8 < kn - 8 GROUP BY ALL)")
+KRWS = ("krws AS (SELECT p.* EXCLUDE (idx), kidx AS idx, w.win_id, w.start_idx, w.sequential_error AS w_seq, w.single_error AS w_single FROM placed p "
+        "JOIN wins w ON w.key = p.level AND w.w = p.kidx // 8)")
+KSINGLE = SINGLE.replace("r.*, w.win_id, w.single_error AS e", "r.*, w_single AS e").replace(
+    "FROM rws r JOIN wins w ON r.idx // 8 = w.win_id, thr, sev WHERE w.single_error", "FROM krws r, thr, sev WHERE w_single")
+KSEQ = SEQ.replace("r.*, w.win_id, w.start_idx, w.sequential_error AS e, r.idx - w.start_idx AS off", "r.*, w_seq AS e, r.idx - r.start_idx AS off").replace(
+    "FROM rws r JOIN wins w ON r.idx // 8 = w.win_id, thr WHERE w.sequential_error", "FROM krws r, thr WHERE w_seq")
+
+
+@query("detect_modes_by_key", sql(f"SELECT level AS host, {RECORD}, win_id, position FROM anom", *BASE, KEYED, KWINS, KRWS, THR, SEV, KSINGLE, KSEQ, ANOM))
+def detect_modes_by_key(spark, sf, ws):
+    """Both modes over windows that hold lines of one host only."""
+    placed = place_rows(scored(spark, sf, ws)[0].drop("idx"), ["line_id"], ws, "level")
+    found = dt.detect(placed.rows, placed.n, ws, key="level").anomalies()
+    return rounded(found.select(F.col("level").alias("host"), "anomaly_type", "severity", "confidence", "anomaly_score", "processing_mode",
+                                "timestamp", "win_id", "position"), "confidence", "anomaly_score")
+
+
 @query("union_modes", sql("SELECT processing_mode, anomaly_type, position, CASE WHEN processing_mode = 'sequential' THEN 8 END AS sequence_length FROM anom", *FULL))
 def union_modes(spark, sf, ws):
     found = run(spark, sf, ws)
@@ -256,9 +300,23 @@ def union_modes(spark, sf, ws):
 
 
 @query("run_summary", sql("SELECT (SELECT count(*) FROM rws) AS total_logs, 'both' AS mode, (SELECT count(*) FROM seq) AS sequential_count, "
-                          "(SELECT count(*) FROM single) AS single_log_count, round(t_seq, 6) AS sequential_threshold, round(t_single, 6) AS single_log_threshold FROM thr", *FULL))
+                          "(SELECT count(*) FROM single) AS single_log_count, CAST(0 AS BIGINT) AS hybrid_count, round(t_seq, 6) AS sequential_threshold, "
+                          "round(t_single, 6) AS single_log_threshold, CAST(NULL AS DOUBLE) AS hybrid_threshold FROM thr", *FULL))
 def run_summary(spark, sf, ws):
-    return rounded(run(spark, sf, ws).summary(), "sequential_threshold", "single_log_threshold")
+    return rounded(run(spark, sf, ws).summary(), *LIMITS)
+
+
+@query("run_summary_hybrid", sql("SELECT (SELECT count(*) FROM rws) AS total_logs, 'hybrid' AS mode, CAST(0 AS BIGINT) AS sequential_count, "
+                                 "CAST(0 AS BIGINT) AS single_log_count, (SELECT count(*) FROM seq) AS hybrid_count, CAST(NULL AS DOUBLE) AS sequential_threshold, "
+                                 "CAST(NULL AS DOUBLE) AS single_log_threshold, round(t_hyb, 6) AS hybrid_threshold FROM thr", *W, HYBRID_THR, SEV, *HYBRID))
+def run_summary_hybrid(spark, sf, ws):
+    """What a run in mode ``hybrid`` reports, read back from the written report."""
+    from ..sources.sinks import write_reports
+    folder, found = ws.path("reports"), run(spark, sf, ws, "hybrid")
+    write_reports(found, folder)
+    summary = spark.read.schema(found.summary().schema).json(f"{folder}/run")
+    records = spark.read.schema(found.hybrid.schema).json(f"{folder}/hybrid_anomalies").agg(F.count(F.lit(1)).alias("hybrid_count"))
+    return rounded(summary.drop("hybrid_count").crossJoin(F.broadcast(records)), *LIMITS)
 
 
 @query("export_shape", sql(f"SELECT {LOG}, {RECORD} FROM anom", *FULL))

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.severity import severity, severity_confidence
 from ..plans.rulebook import (ALERT_LIMITS, FLAG_PERCENTILE, NORMAL_TYPE, SEVERITY_PERCENTILES, WINDOW_LENGTH,
                               WINDOW_STRIDE)
-from ..workspace import Workspace
+from ..workspace import Workspace, sized_like
 from .classify import with_log_type
 from .indexing import percentile_values
-from .windows import sequence_windows, window_error
+from .prune import join_few
+from .windows import PLACE, sequence_windows, window_error
 
 MODES = ("sequential", "single_log")
+ALL_MODES = (*MODES, "hybrid")
 # Share of each path in the blended error.
 HYBRID_WEIGHTS = {"sequential": 0.6, "single_log": 0.4}
 
@@ -66,8 +68,8 @@ class SeverityModel:
 
 
 def join_window_logs(windows: DataFrame, flagged: DataFrame, error: str) -> DataFrame:
-    """The logs of flagged windows with the window's error: an equi-join on the window number."""
-    return windows.join(flagged.select("win_id", F.col(error).alias("anomaly_score")), "win_id")
+    """The logs of flagged windows with the window's error; logs of other windows go before any shuffle."""
+    return join_few(windows, sized_like(flagged.select("win_id", F.col(error).alias("anomaly_score")), flagged), "win_id")
 
 
 def _text(name: str) -> Column:
@@ -81,10 +83,14 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 def single_log_anomalies(windows: DataFrame, flagged: DataFrame, error: str, model: SeverityModel) -> DataFrame:
     """Logs of flagged windows that some rule hits, with their window's error and severity."""
-    rows = _typed(join_window_logs(windows, flagged, error)).filter(F.col("anomaly_type") != NORMAL_TYPE)
+    return _single(_typed(join_window_logs(windows, flagged, error)), model)
+
+
+def _single(rows: DataFrame, model: SeverityModel, key: str | None = None) -> DataFrame:
+    rows = rows.filter(F.col("anomaly_type") != NORMAL_TYPE)
     score = F.col("anomaly_score")
     log = F.struct(*[_text(c) for c in ("content", "event_template", "level", "component", "line_id")])
-    return rows.select(log.alias("log"), "anomaly_type", model.label(score).alias("severity"),
+    return rows.select(*([key] if key else []), log.alias("log"), "anomaly_type", model.label(score).alias("severity"),
                        model.confidence(score).alias("confidence"), _text("time").alias("timestamp"), "anomaly_score",
                        F.lit("single_log").alias("processing_mode"), "win_id", F.col("idx").alias("position"))
 
@@ -100,17 +106,21 @@ def _dominant(types: Column) -> Column:
 def sequential_anomalies(windows: DataFrame, flagged: DataFrame, error: str, model: SeverityModel,
                          mode: str = "sequential") -> DataFrame:
     """Flagged windows with at least one log that some rule hits, with all their logs in order."""
-    rows = _typed(join_window_logs(windows, flagged, error))
+    return _sequences(_typed(join_window_logs(windows, flagged, error)), model, mode)
+
+
+def _sequences(rows: DataFrame, model: SeverityModel, mode: str, key: str | None = None) -> DataFrame:
+    keys = [key] if key else []
     log = F.struct(*[_text(c) for c in ("content", "event_template", "level", "component", "line_id")],
                    _text("time").alias("timestamp"))
     entry = F.struct("offset", log.alias("log"), F.col("anomaly_type").alias("type"))
     grouped = (rows.groupBy("win_id", "start_idx", "anomaly_score")
-               .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+               .agg(F.sort_array(F.collect_list(entry)).alias("entries"), *[F.first(c).alias(c) for c in keys])
                .withColumn("types", F.filter("entries.type", lambda t: t != NORMAL_TYPE))
                .filter(F.size("types") > 0))
     score = F.col("anomaly_score")
     return grouped.select(
-        F.col("entries.log").alias("logs"), _dominant(F.col("types")).alias("anomaly_type"),
+        *keys, F.col("entries.log").alias("logs"), _dominant(F.col("types")).alias("anomaly_type"),
         model.label(score).alias("severity"), model.confidence(score).alias("confidence"),
         F.get("entries", F.lit(0))["log"]["timestamp"].alias("timestamp"), F.size("entries").alias("sequence_length"),
         "anomaly_score", F.lit(mode).alias("processing_mode"), F.size("types").alias("non_normal_count"),
@@ -138,9 +148,8 @@ class Detection:
         """One row: logs, anomalies and thresholds per mode."""
         counts = self.anomalies().agg(
             F.lit(self.total_logs).cast("long").alias("total_logs"), F.lit(self.mode).alias("mode"),
-            F.count_if(F.col("processing_mode") == "sequential").alias("sequential_count"),
-            F.count_if(F.col("processing_mode") == "single_log").alias("single_log_count"))
-        limits = [F.lit(self.thresholds.get(m)).cast("double").alias(f"{m}_threshold") for m in MODES]
+            *[F.count_if(F.col("processing_mode") == m).alias(f"{m}_count") for m in ALL_MODES])
+        limits = [F.lit(self.thresholds.get(m)).cast("double").alias(f"{m}_threshold") for m in ALL_MODES]
         return counts.select("*", *limits)
 
 
@@ -153,48 +162,62 @@ def with_log_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast("string") for c in LOG_COLUMNS if c not in have})
 
 
-def detect(rows: DataFrame, n: int, ws: Workspace, mode: str = "both", sequential_error: str = "sequential_error",
+def detect(rows: DataFrame, n: int | Column, ws: Workspace, mode: str = "both", sequential_error: str = "sequential_error",
            single_error: str = "single_error", model: SeverityModel | None = None,
-           seq_len: int = WINDOW_LENGTH, stride: int = WINDOW_STRIDE) -> Detection:
-    """Detect from one error per row and mode: a window's error is the mean of its rows."""
-    windows = sequence_windows(rows, n, seq_len, stride)
+           seq_len: int = WINDOW_LENGTH, stride: int = WINDOW_STRIDE, key: str | None = None) -> Detection:
+    """Detect from one error per row and mode: a window's error is the mean of its rows.
+
+    With ``key``, rows are those of ``place_rows`` with that key, and no window mixes keys.
+    """
+    windows = sequence_windows(rows, n, seq_len, stride, place=PLACE if key else None)
     errors = ws.stage(window_error(windows, sequential_error, single_error)
                       .select("win_id", F.col(sequential_error).alias("sequential_error"),
                               F.col(single_error).alias("single_error")), "window_errors")
-    return detect_windows(rows, n, errors, ws, mode, model, seq_len, stride)
+    return detect_windows(rows, n, errors, ws, mode, model, seq_len, stride, key)
 
 
-def detect_windows(rows: DataFrame, n: int, errors: DataFrame, ws: Workspace, mode: str = "both",
+def detect_windows(rows: DataFrame, n: int | Column, errors: DataFrame, ws: Workspace, mode: str = "both",
                    model: SeverityModel | None = None, seq_len: int = WINDOW_LENGTH,
-                   stride: int = WINDOW_STRIDE) -> Detection:
+                   stride: int = WINDOW_STRIDE, key: str | None = None) -> Detection:
     """Flag the top errors of the batch, and label what their windows hold.
 
     Mode ``hybrid`` blends both errors of a window into one and labels its logs as a sequence.
 
-    ``rows`` have idx and the log columns; ``errors`` (staged) has win_id, sequential_error and
-    single_error. Without a ``model`` the severity thresholds are learned from this batch.
+    ``rows`` have idx and the log columns, with ``key`` also those of ``place_rows``; ``errors`` (staged)
+    has win_id, sequential_error and single_error. Without a ``model`` the severity thresholds are
+    learned from this batch. The flags of all modes are one table: the logs are read once, those of
+    windows without a flag go before any shuffle, and rules look at what is left once.
     """
     if mode not in ("both", "sequential", "single", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
-    windows = sequence_windows(with_log_columns(rows), n, seq_len, stride)
+    windows = sequence_windows(with_log_columns(rows), n, seq_len, stride, place=PLACE if key else None)
     if model is None:
         both = errors.select(F.explode(F.array("sequential_error", "single_error")).alias("error"))
         model = SeverityModel.fit(both, "error", ws)
-    found = Detection(n, mode, {}, model, errors)
-    if mode in ("both", "single"):
-        limit = found.thresholds["single_log"] = flag_threshold(errors, "single_error", ws)
-        found.single = single_log_anomalies(windows, flag_windows(errors, "single_error", limit), "single_error", model)
-    if mode in ("both", "sequential"):
-        limit = found.thresholds["sequential"] = flag_threshold(errors, "sequential_error", ws)
-        found.sequential = sequential_anomalies(windows, flag_windows(errors, "sequential_error", limit),
-                                                "sequential_error", model)
+    scores = {"single_log": F.col("single_error"), "sequential": F.col("sequential_error")}
     if mode == "hybrid":
-        blended = errors.select("win_id", hybrid_error(F.col("sequential_error"), F.col("single_error")).alias("hybrid_error"))
-        limit = found.thresholds["hybrid"] = flag_threshold(blended, "hybrid_error", ws)
-        found.hybrid = sequential_anomalies(windows, flag_windows(blended, "hybrid_error", limit), "hybrid_error", model, "hybrid")
+        scores = {"hybrid": hybrid_error(F.col("sequential_error"), F.col("single_error"))}
+    elif mode != "both":
+        scores = {m: e for m, e in scores.items() if m.startswith(mode)}
+    scored = errors.select("win_id", *[e.alias(m) for m, e in scores.items()])
+    found = Detection(total_rows(rows, n), mode, {m: flag_threshold(scored, m, ws) for m in scores}, model, errors)
+    over = {m: F.when(F.lit(False) if limit is None else F.col(m) > limit, F.col(m)).alias(m) for m, limit in found.thresholds.items()}
+    flags = scored.select("win_id", *over.values()).filter(F.coalesce(*scores).isNotNull())
+    held = ws.stage(_typed(join_few(windows, ws.stage(flags, "flags", measure=True), "win_id")), "flagged_logs")
+    part = lambda m: held.filter(F.col(m).isNotNull()).withColumnRenamed(m, "anomaly_score")
+    if "single_log" in scores:
+        found.single = _single(part("single_log"), model, key)
+    if "sequential" in scores:
+        found.sequential = _sequences(part("sequential"), model, "sequential", key)
+    if "hybrid" in scores:
+        found.hybrid = _sequences(part("hybrid"), model, "hybrid", key)
     return found
 
 
+def total_rows(rows: DataFrame, n: int | Column) -> int:
+    return n if isinstance(n, int) else rows.count()
+
+
 def union_modes(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

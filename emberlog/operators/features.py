@@ -160,10 +160,11 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
-def chrono_split(df: DataFrame, n: int, train: float = 0.7, validation: float = 0.15, idx: str = "idx") -> DataFrame:
+def chrono_split(df: DataFrame, n: int | Column, train: float = 0.7, validation: float = 0.15, idx: str = "idx") -> DataFrame:
     """Add ``split`` by position: first train, next validation, the rest test; sizes are truncated."""
-    first = int(train * n)
-    second = first + int(validation * n)
+    part = lambda share: int(share * n) if isinstance(n, int) else F.floor(F.lit(share) * n)
+    first = part(train)
+    second = first + part(validation)
     return df.withColumn("split", F.when(F.col(idx) < first, "train").when(F.col(idx) < second, "validation").otherwise("test"))
 
 

@@ -34,9 +34,12 @@ def _range_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def index_rows(df: DataFrame, order: Sequence[str], ws: Workspace, name: str = "idx",
-               by: Sequence[str] = ()) -> DataFrame:
+               by: Sequence[str] = (), whole: str | None = None, count: str | None = None) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order`` (within each ``by`` key).
 
+    With keys, ``whole`` names a column for the position among all rows, in the order of the keys, and
+    ``count`` one for the number of rows of the row's key.
+
     One range shuffle sorts the rows and is staged with each row's partition and position; the
     position in the whole table is that position plus the rows of all partitions before. A key
     that holds a third of the rows is spread over many range partitions like any other rows.
@@ -45,7 +48,10 @@ def index_rows(df: DataFrame, order: Sequence[str], ws: Workspace, name: str = "
     size = getattr(df, "_emberlog_size", None)
     if size is not None and size[0] <= SMALL_ROWS:
         window = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
+        out = df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
+        if whole:
+            out = out.withColumn(whole, (F.row_number().over(Window.orderBy(*by, *order)) - 1).cast("long"))
+        return out.withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*by))) if count else out
     staged = ws.stage(_range_sorted(df, [*by, *order]), "indexed")
     out = (staged.join(F.broadcast(_offsets(staged, F.count(F.lit(1)))), "_pid")
            .withColumn(name, F.col("_offset") + F.col("_pos")).drop("_pid", "_pos", "_offset"))
@@ -53,8 +59,12 @@ def index_rows(df: DataFrame, order: Sequence[str], ws: Workspace, name: str = "
         return out
     starts = ws.stage(out.groupBy(*by).agg(F.min(name).alias("_start"), F.count(F.lit(1)).alias("_rows")),
                       "key_starts", measure=True)
-    return (lookup_join(out, starts, list(by), weight="_rows", nulls=True)
-            .withColumn(name, F.col(name) - F.col("_start")).drop("_start", "_rows"))
+    out = lookup_join(out, starts, list(by), weight="_rows", nulls=True)
+    if whole:
+        out = out.withColumn(whole, F.col(name))
+    if count:
+        out = out.withColumn(count, F.col("_rows"))
+    return out.withColumn(name, F.col(name) - F.col("_start")).drop("_start", "_rows")
 
 
 def percentiles(df: DataFrame, value: str, points: Sequence[float], ws: Workspace,

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.rulebook import WINDOW_LENGTH, WINDOW_STRIDE
 from ..workspace import Workspace
 from .indexing import percentile_values
-from .windows import sequence_windows
+from .windows import KEY_ROWS, PLACE, sequence_windows
 
 # Sizes of the ensemble's models.
 MODEL_SIZES = (16, 24, 32)
@@ -73,10 +73,25 @@ class Reconstruction:
 
         If fewer directions than ``largest`` were kept, ``k`` is the same share of those.
         """
+        return Reconstruction(self.mean, self.directions[:, :self._size(k, largest)], self.floor)
+
+    def _size(self, k: int, largest: int | None) -> int:
         have = self.directions.shape[1]
-        if largest is not None and have < largest:
-            k = -(-k * have // largest)
-        return Reconstruction(self.mean, self.directions[:, :k], self.floor)
+        return -(-k * have // largest) if largest is not None and have < largest else min(k, have)
+
+    def errors(self, features: Column, sizes: Sequence[int], largest: int | None = None) -> Column:
+        """The errors of the smaller models of some sizes, in their order: squared projections add up."""
+        mean, directions, floor = self.mean, self.directions, self.floor
+        kept = [self._size(k, largest) for k in sizes]
+
+        @F.pandas_udf("array<double>")
+        def all_mse(column: pd.Series) -> pd.Series:
+            x = _matrix(column) - mean
+            found = np.concatenate([np.zeros((len(x), 1)), np.cumsum((x @ directions) ** 2, axis=1)], axis=1)
+            left = ((x ** 2).sum(axis=1)[:, None] - found[:, kept]) / max(len(mean), 1)
+            return pd.Series(list(np.where(left <= floor, 0.0, left)))
+
+        return all_mse(features)
 
     def error(self, features: Column) -> Column:
         """Mean squared error of encoding and decoding a row."""
@@ -101,18 +116,27 @@ class Reconstruction:
         return length(features)
 
 
-def flat_windows(rows: DataFrame, n: int, features: str, seq_len: int = WINDOW_LENGTH,
+def _places(rows: DataFrame) -> tuple[list[str], str | None]:
+    """Columns of rows that were placed per key, and the one that numbers them all."""
+    helpers = [c for c in (PLACE, KEY_ROWS) if c in rows.columns]
+    return helpers, PLACE if PLACE in helpers else None
+
+
+def flat_windows(rows: DataFrame, n: int | Column, features: str, seq_len: int = WINDOW_LENGTH,
                  stride: int = WINDOW_STRIDE) -> DataFrame:
     """(win_id, window): the features of a window's rows in order, as one array. A group is one window."""
-    windows = sequence_windows(rows.select("idx", F.col(features).cast("array<double>").alias("x")), n, seq_len, stride)
+    helpers, place = _places(rows)
+    windows = sequence_windows(rows.select("idx", *helpers, F.col(features).cast("array<double>").alias("x")), n, seq_len, stride,
+                               place=place)
     return (windows.groupBy("win_id").agg(F.sort_array(F.collect_list(F.struct("offset", "x"))).alias("rows"))
             .select("win_id", F.flatten("rows.x").alias("window")))
 
 
-def single_errors(rows: DataFrame, n: int, features: str, model: Reconstruction, **window) -> DataFrame:
+def single_errors(rows: DataFrame, n: int | Column, features: str, model: Reconstruction, **window) -> DataFrame:
     """(win_id, err): mean error of the window's rows, each on its own."""
-    scored = rows.select("idx", model.error(F.col(features)).alias("err"))
-    return sequence_windows(scored, n, **window).groupBy("win_id").agg(F.avg("err").alias("err"))
+    helpers, place = _places(rows)
+    scored = rows.select("idx", *helpers, model.error(F.col(features)).alias("err"))
+    return sequence_windows(scored, n, place=place, **window).groupBy("win_id").agg(F.avg("err").alias("err"))
 
 
 def sequential_errors(windows: DataFrame, model: Reconstruction) -> DataFrame:
@@ -120,9 +144,9 @@ def sequential_errors(windows: DataFrame, model: Reconstruction) -> DataFrame:
     return windows.select("win_id", model.error(F.col("window")).alias("err"))
 
 
-def staged_windows(rows: DataFrame, n: int, features: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def staged_windows(rows: DataFrame, n: int | Column, features: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Rows (idx, x) and their flat windows, both staged, since every scorer reads them."""
-    rows = ws.stage(rows.select("idx", F.col(features).cast("array<double>").alias("x")), "vectors")
+    rows = ws.stage(rows.select("idx", *_places(rows)[0], F.col(features).cast("array<double>").alias("x")), "vectors")
     return rows, ws.stage(flat_windows(rows, n, "x"), "flat_windows")
 
 
@@ -132,20 +156,21 @@ def fit_models(rows: DataFrame, windows: DataFrame, sizes: Sequence[int] = MODEL
             "sequential": Reconstruction.fit(windows, "window", max(sizes), KEPT_VARIANCE)}
 
 
-def ensemble_errors(rows: DataFrame, n: int, features: str, ws: Workspace, sizes: Sequence[int] = MODEL_SIZES,
+def ensemble_errors(rows: DataFrame, n: int | Column, features: str, ws: Workspace, sizes: Sequence[int] = MODEL_SIZES,
                     models: dict[str, Reconstruction] | None = None) -> DataFrame:
     """(win_id, model_id, mode, err) for models of several sizes in both modes, fitted here unless given."""
     rows, windows = staged_windows(rows, n, features, ws)
     models = models or fit_models(rows, windows, sizes)
-    parts = []
-    for k in sizes:
-        named = lambda errs, mode: errs.select("win_id", F.lit(k).alias("model_id"), F.lit(mode).alias("mode"), "err")
-        parts.append(named(single_errors(rows, n, "x", models["single_log"].truncated(k, max(sizes))), "single_log"))
-        parts.append(named(sequential_errors(windows, models["sequential"].truncated(k, max(sizes))), "sequential"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    helpers, place = _places(rows)
+    largest, single, whole = max(sizes), models["single_log"], models["sequential"]
+    scored = rows.select("idx", *helpers, single.errors(F.col("x"), sizes, largest).alias("errs"))
+    means = F.array(*[F.avg(F.get("errs", F.lit(i))) for i in range(len(sizes))]).alias("errs")
+    by_mode = {"single_log": sequence_windows(scored, n, place=place).groupBy("win_id").agg(means),
+               "sequential": windows.select("win_id", whole.errors(F.col("window"), sizes, largest).alias("errs"))}
+    named = lambda errs, mode: errs.select("win_id", F.lit(mode).alias("mode"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("model_id"), F.get("errs", F.lit(i)).alias("err")) for i, k in enumerate(sizes)])))
+    return (named(by_mode["single_log"], "single_log").unionByName(named(by_mode["sequential"], "sequential"))
+            .select("win_id", "model_id", "mode", "err"))
 
 
 def custom_errors(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import detect as dt, scoring as sc
-from ..operators.features import Preprocessor, chrono_split
+from ..operators.features import Preprocessor
 from ..operators.parsing import parse_preset
 from ..operators.templates import Mined, mine
+from ..operators.windows import Placed, place_rows
 from ..sources.text import SPLIT, number_lines
 from ..workspace import Workspace
 from .presets import PRESETS, Preset
+from .trained import Trained
 
 
 @dataclass
@@ -23,6 +24,7 @@ class Run:
     events: Mined
     preprocessor: Preprocessor
     detection: dt.Detection
+    trained: Trained
 
 
 def structure(lines: DataFrame, preset: Preset, ws: Workspace) -> tuple[DataFrame, Mined]:
@@ -32,43 +34,23 @@ def structure(lines: DataFrame, preset: Preset, ws: Workspace) -> tuple[DataFram
     return ws.stage(events.events(parsed), "structured"), events
 
 
-def model_weights(errors: DataFrame, n: int) -> dict[str, dict[int, float]]:
-    """Per mode the models' weights by 1/loss on the validation windows; equal ones if there are none."""
-    split = chrono_split(errors.withColumn("idx", F.col("win_id") * sc.WINDOW_STRIDE), n)
-    out = {}
-    for mode in dt.MODES:
-        mine = split.filter(F.col("mode") == mode)
-        losses = mine.filter(F.col("split") == "validation").groupBy("model_id").agg(F.avg("err").alias("loss"))
-        found = {r.model_id: r.w for r in dt.ensemble_weights(losses).collect()}
-        out[mode] = found or {r.model_id: 1.0 for r in mine.select("model_id").distinct().collect()}
-    return out
-
-
-def weighted_errors(errors: DataFrame, weights: dict[str, dict[int, float]], ws: Workspace) -> DataFrame:
-    """(win_id, sequential_error, single_error): the weighted mean of the models, one aggregate for both modes."""
-    table = errors.sparkSession.createDataFrame(
-        [(mode, int(k), float(w)) for mode, of in weights.items() for k, w in of.items()] or [("", 0, 0.0)],
-        "mode string, model_id int, w double")
-    joined = errors.join(F.broadcast(table), ["mode", "model_id"])
-    mean = lambda mode: (F.sum(F.when(F.col("mode") == mode, F.col("w") * F.col("err")))
-                         / F.sum(F.when(F.col("mode") == mode, F.col("w"))))
-    return ws.stage(joined.groupBy("win_id").agg(mean("sequential").alias("sequential_error"),
-                                                 mean("single_log").alias("single_error")), "window_errors")
-
-
 def analyze_logs(lines: DataFrame, preset: Preset | str, ws: Workspace, mode: str = "both",
                  preprocessor: Preprocessor | None = None, model: dt.SeverityModel | None = None,
-                 sizes: Sequence[int] = sc.MODEL_SIZES) -> Run:
-    """Parse, mine, build features, score windows in both modes, flag and label.
+                 sizes: Sequence[int] = sc.MODEL_SIZES, key: str | None = None) -> Run:
+    """Parse, mine, build features, train, score windows in both modes, flag and label.
 
-    A saved preprocessor and severity model may be given; else both are learned from these lines.
+    Features and scorers learn from the first 70 % of the lines, the models' weights from the next
+    15 %. A saved preprocessor and severity model may be given. With ``key`` (a column of the layout)
+    each of its values has lines, windows and shares of its own, and no window mixes them.
     """
     preset = PRESETS[preset] if isinstance(preset, str) else preset
     rows, events = structure(lines, preset, ws)
-    n = rows.count()
-    preprocessor = preprocessor or Preprocessor.fit(rows, ws)
-    vectors = preprocessor.transform(rows, ws).select((F.col("line_id") - 1).alias("idx"), vector_to_array("features").alias("x"))
-    errors = ws.stage(sc.ensemble_errors(vectors, n, "x", ws, sizes), "model_errors")
-    errors = weighted_errors(errors, model_weights(errors, n), ws)
-    found = dt.detect_windows(rows.withColumn("idx", F.col("line_id") - 1), n, errors, ws, mode, model)
-    return Run(rows, events, preprocessor, found)
+    if key is None:
+        # Lines are numbered already.
+        n = rows.count()
+        placed = Placed(rows.withColumn("idx", F.col("line_id") - 1), n, n)
+    else:
+        placed = place_rows(rows, ["line_id"], ws, key)
+    trained, errors = Trained.fit_placed(placed, ws, sizes, preprocessor)
+    found = dt.detect_windows(placed.rows, placed.n, errors, ws, mode, model or trained.severity, key=key)
+    return Run(rows, events, trained.preprocessor, found, trained)

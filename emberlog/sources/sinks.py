@@ -32,9 +32,10 @@ def _write(df: DataFrame, path: str, fmt: str) -> None:
 
 
 def write_reports(found: "detect.Detection", folder: str) -> None:
-    """Run summary (one row) and one folder of nested JSON records per mode."""
+    """Run summary (one row) and one folder of nested JSON records per mode of the run."""
     found.summary().write.mode("overwrite").json(f"{folder}/run")
-    for name, rows in (("single_log_anomalies", found.single), ("sequential_anomalies", found.sequential)):
+    for name, rows in (("single_log_anomalies", found.single), ("sequential_anomalies", found.sequential),
+                       ("hybrid_anomalies", found.hybrid)):
         if rows is not None:
             rows.write.mode("overwrite").json(f"{folder}/{name}")
 
