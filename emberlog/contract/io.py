@@ -10,7 +10,7 @@ from ..operators.indexing import index_rows, percentiles
 from ..operators.parsing import parse_preset
 from ..sources import payloads as pl, sinks, streams, text as src
 from ..streaming import jobs
-from ..streaming.count_windows import stream_count_windows
+from ..streaming.count_windows import state_count_windows, stream_count_windows
 from .base import LOGS_SQL, LINE_SQL, logs, query, sql, table
 from .detection import FULL, LOG, RECORD, anomalies, rounded, run, stored
 from .mining import CHAIN, LINUX
@@ -265,8 +265,11 @@ def stream_alert(spark, sf, ws):
     return rounded(spark.read.parquet(out).select("line_id", "component", "value", "threshold"), "value", "threshold")
 
 
-@query("stream_count_windows", sql("SELECT host, win_id, \"offset\", line_id FROM (SELECT host, line_id, (rn // 8) AS win_id, rn % 8 AS \"offset\", n FROM (SELECT host, line_id, row_number() OVER (PARTITION BY host ORDER BY line_id) - 1 AS rn, "
-                                   "count(*) OVER (PARTITION BY host) AS n FROM logs) a) b WHERE (win_id + 1) * 8 <= n"))
+COUNT_WINDOWS = sql("SELECT host, win_id, \"offset\", line_id FROM (SELECT host, line_id, (rn // 8) AS win_id, rn % 8 AS \"offset\", n FROM (SELECT host, line_id, row_number() OVER (PARTITION BY host ORDER BY line_id) - 1 AS rn, "
+                                   "count(*) OVER (PARTITION BY host) AS n FROM logs) a) b WHERE (win_id + 1) * 8 <= n")
+
+
+@query("stream_count_windows", COUNT_WINDOWS)
 def stream_count_windows_query(spark, sf, ws):
     """Complete windows of eight consecutive lines per host."""
     out = ws.path("windows")
@@ -275,6 +278,15 @@ def stream_count_windows_query(spark, sf, ws):
     return spark.read.parquet(out).select("host", "win_id", "offset", "line_id")
 
 
+@query("stream_count_windows_state", COUNT_WINDOWS)
+def stream_count_windows_state(spark, sf, ws):
+    """The same windows from Spark's state store."""
+    out = ws.path("windows")
+    windows = state_count_windows(event_stream(spark, sf).select("line_id", "host"), "host", ["line_id"])
+    finish(jobs.each_batch(windows, lambda df, b: jobs.write_batch(df, out, b), ws.path("checkpoint")))
+    return spark.read.parquet(out).select("host", "win_id", "offset", "line_id")
+
+
 @query("stream_fanout", sql("SELECT 'store' AS viewer, line_id, log_type AS anomaly_type, '10:20:30' AS timestamp FROM verdict WHERE log_type <> 'normal' UNION ALL "
                             "SELECT 'panel', line_id, log_type, '10:20:30' FROM verdict WHERE log_type <> 'normal'", LABELED_CTE, VERDICT_CTE))
 def stream_fanout(spark, sf, ws):
@@ -290,7 +302,7 @@ def stream_fanout(spark, sf, ws):
 def stream_threat_counts(spark, sf, ws):
     out = ws.path("totals")
     finish(jobs.stream_threat_counts(typed_stream(spark, sf), out, ws.path("checkpoint")))
-    return jobs.latest_counts(spark.read.parquet(out), ["anomaly_type"])
+    return jobs.latest_counts(spark, out, ["anomaly_type"])
 
 
 @query("stream_windowed_counts", sql("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, log_type AS anomaly_type, count(*) AS n FROM verdict GROUP BY ALL", LABELED_CTE, VERDICT_CTE))
@@ -298,7 +310,7 @@ def stream_windowed_counts(spark, sf, ws):
     out = ws.path("panel")
     stream = typed_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     finish(jobs.stream_windowed_counts(stream, out, ws.path("checkpoint")))
-    counts = jobs.latest_counts(spark.read.parquet(out), ["start", "anomaly_type"])
+    counts = jobs.latest_counts(spark, out, ["start", "anomaly_type"])
     return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -6,15 +6,16 @@ overwrites its own folder, so each record is kept exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import collect
 from ..operators.dashboard import threat_type_counts
 from ..operators.lookup import lookup_join
 from ..sources.sinks import export_batch, store_entries
+from .levels import BATCH, Levels
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -69,9 +70,21 @@ def stream_fanout(stream: DataFrame, sinks: Mapping[str, Callable[[DataFrame, in
     return each_batch(stream, run, checkpoint)
 
 
+def live_totals(changed: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataStreamWriter:
+    """A table of totals: each batch writes those it changed, and earlier batches are merged by levels."""
+
+    def run(df: DataFrame, number: int) -> None:
+        totals = Levels(df.sparkSession, path, keys)
+        if number:
+            totals.compact(number - 1)
+        totals.write(df, number)
+
+    return each_batch(changed, run, checkpoint, "update")
+
+
 def stream_threat_counts(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Live totals per threat type; each batch writes the totals it changed."""
-    return each_batch(threat_type_counts(stream), lambda df, number: write_batch(df, path, number), checkpoint, "update")
+    """Live totals per threat type."""
+    return live_totals(threat_type_counts(stream), ["anomaly_type"], path, checkpoint)
 
 
 def stream_windowed_counts(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", late: str = "10 minutes",
@@ -79,9 +92,9 @@ def stream_windowed_counts(stream: DataFrame, path: str, checkpoint: str, ts: st
     """Tumbling counts per type, with state bounded by a watermark."""
     counts = (stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), "anomaly_type")
               .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "anomaly_type", "n"))
-    return each_batch(counts, lambda df, number: write_batch(df, path, number), checkpoint, "update")
+    return live_totals(counts, ["start", "anomaly_type"], path, checkpoint)
 
 
-def latest_counts(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The current totals from the written updates."""
-    return updates.groupBy(*keys).agg(F.max_by("n", "batch_id").alias("n"))
+def latest_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The current totals; the number of folders read follows the logarithm of the number of batches."""
+    return Levels(spark, path, keys).read().drop(BATCH)
