@@ -11,6 +11,7 @@ ids are always the library's own.
 from __future__ import annotations
 
 import ctypes
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from tokenizers import Tokenizer
 from . import hashing
 from .common import SPACES
 
+# Spark runs one worker per core; threads of the library beside them would only wait for work.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 SLOT_BITS, POOL_IDS, POOL_STEP = 20, 6_000_000, 1 << 18
 KEPT_BYTES, KEPT_CHUNKS = 256, 50_000
 _loaded: dict[tuple[str, bool], Encoder] = {}

@@ -165,7 +165,7 @@ def _kind(bits: int) -> type:
     return np.uint16 if bits <= 16 else np.uint32
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, ws: Workspace, end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the ids of all documents, in ascending order of documents, as shards in ``folder``.
 
     Texts are encoded where they are; only ids, half as many bytes, move to their range.
@@ -209,7 +209,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, s
             yield flush()
         tidy()
 
-    ordered = encoded(docs, tokenizer, end).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    # Staged, as the range shuffle reads its input twice, first for a sample.
+    ordered = ws.stage(encoded(docs, tokenizer, end), "ids").repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     ordered.mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(folder)
 
 
@@ -267,5 +268,5 @@ def occurrences(files: DataFrame, token: int) -> DataFrame:
 
 def query(docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
     folder = ws.path("tokens")
-    write_tokens(docs, tokenizer, folder)
+    write_tokens(docs, tokenizer, folder, ws)
     return read_documents(docs.sparkSession.read.parquet(folder))

@@ -197,7 +197,7 @@ def crc(ids):
 @pytest.mark.parametrize("shard", [wavelet.SHARD_TOKENS, 300])
 def test_wavelet_files_against_the_library(spark, hard, ws, shard):
     folder = ws.path("tokens")
-    wavelet.write_tokens(hard, BYTE, folder, shard_tokens=shard)
+    wavelet.write_tokens(hard, BYTE, folder, ws, shard_tokens=shard)
     files = spark.read.parquet(folder)
     got = [tuple(r) for r in wavelet.read_documents(files).orderBy("start").collect()]
     coder, start, want, stream = Tokenizer.from_file(BYTE), 0, [], []
