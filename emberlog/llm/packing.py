@@ -8,9 +8,10 @@ per possible length, whatever the corpus) reaches the driver:
    the lengths by their weights, and an unbounded knapsack by dynamic programming over the capacity
    finds for every length the best configuration that holds it. Those near the best price are
    raised, those of one round together.
-2. Rounding: a share of each raised configuration is taken whole, the most raised first, as long as
-   the demand allows. What is left goes best-fit decreasing. The share that needs the fewest
-   sequences counts (on lengths for which best-fit alone is near the bound, that may be none).
+2. Rounding: the whole part of each raised configuration is taken, the most raised first, as long as
+   the demand allows, and the program is solved again for what is left, until the sequences are within
+   TOLERANCE of the dual bound or nothing whole is left to take. The rest goes best-fit decreasing. The
+   result never needs more sequences than best-fit alone.
 
 Each piece then finds its sequence by its rank among the pieces of its length. Ranks come from
 counts per task and length, so no task sees more than its own pieces.
@@ -35,11 +36,8 @@ from .common import texts
 from .encoder import encoder, tidy
 
 LENGTH, END = 2048, 0
-# Rounds of the multiplicative weights, how fast weights fall, and how close to the best price counts.
-ROUNDS, RATE, NEAR = 40, 2.0, 0.02
-# Shares of the solution that rounding tries to keep; the one that needs the fewest sequences counts.
-# Share 0 is best-fit alone, so the result never needs more sequences than that.
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+# Rounds of one solution, how fast weights fall, how close to the best price counts; how near the bound is enough.
+ROUNDS, RATE, NEAR, TOLERANCE = 40, 2.0, 0.005, 0.001
 _NO_ID = -(1 << 63)
 
 
@@ -109,40 +107,59 @@ def _content(first: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def configurations(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+def configurations(demand: np.ndarray, tolerance: float = TOLERANCE) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (lengths in descending order) and how often each is used; together they hold
-    every length exactly as often as ``demand[length]`` says."""
+    every length exactly as often as ``demand[length]`` says.
+
+    Solved anew for what rounding left over until the whole is within ``tolerance`` of the program's
+    dual bound, or a solution has no configuration that is used once or more.
+    """
     length = len(demand) - 1
     demand = demand.astype(np.int64).copy()
     taken: list[tuple[tuple[int, ...], int]] = []
     if demand[length]:
         taken.append(((length,), int(demand[length])))
         demand[length] = 0
-    raised = _raised(demand, rounds)
-    tried = [_rounded(demand, raised, share) for share in SHARES]
-    return taken + min(tried, key=lambda made: sum(n for _, n in made))
-
-
-def _rounded(demand: np.ndarray, raised: list[tuple[tuple[int, ...], float]], share: float) -> list[tuple[tuple[int, ...], int]]:
-    """A share of the program's solution taken whole as far as demand allows, the rest best-fit."""
+    least = -(-int(demand @ np.arange(length + 1)) // length)
+    left, kept, best, many = demand, [], _best_fit(demand), None
+    while True:
+        raised, bound = _raised(left)
+        if many is None:
+            many, least = 0, max(least, int(np.ceil(bound - 1e-6)))
+        used, left = _rounded(left, raised)
+        kept += used
+        many += sum(n for _, n in used)
+        rest = _best_fit(left)
+        if many + sum(n for _, n in rest) < sum(n for _, n in best):
+            best = kept + rest
+        if not used or sum(n for _, n in best) <= (1 + tolerance) * least:
+            return taken + best
+
+
+def _rounded(demand: np.ndarray, raised: list[tuple[tuple[int, ...], float]]) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """The whole part of a solution as far as demand allows, and the demand that is left."""
     left, taken = demand.copy(), []
     for config, times in raised:
         need = np.bincount(config, minlength=len(demand))
         held = np.flatnonzero(need)
-        whole = min(int(np.ceil(times * share)), int((left[held] // need[held]).min()))
+        whole = min(int(times + 1e-9), int((left[held] // need[held]).min()))
         if whole > 0:
             left -= need * whole
             taken.append((config, whole))
-    return taken + _best_fit(left)
+    return taken, left
+
 
+def _raised(demand: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+    """A solution of the covering program in fractions, the most raised configurations first, and its dual bound.
 
-def _raised(demand: np.ndarray, rounds: int) -> list[tuple[tuple[int, ...], float]]:
-    """The solution of the covering program in fractions, the most raised configurations first."""
+    Configurations not near the best price, which only cover a length for the first time, are left
+    out: what they held is solved again.
+    """
     length = len(demand) - 1
     wanted = np.flatnonzero(demand)
     if not len(wanted):
-        return []
-    covered = np.zeros(length + 1)
+        return [], 0.0
+    covered, bound = np.zeros(length + 1), 0.0
     raised: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         if (open_ := wanted[covered[wanted] < demand[wanted]]).size == 0:
@@ -152,20 +169,24 @@ def _raised(demand: np.ndarray, rounds: int) -> list[tuple[tuple[int, ...], floa
         # At equal weights the price of a length is its share of a sequence.
         price[wanted] = wanted / length * np.exp(-RATE * (share - share.min())) * (covered[wanted] < demand[wanted])
         best, first = _knapsack(price, length)
+        # Prices by which no configuration is worth more than one are a lower bound of the program.
+        bound = max(bound, float(demand @ price) / best[length])
         value = price[open_] + best[length - open_]
-        for item in open_[np.argsort(-price[open_], kind="stable")]:
-            if price[item] + best[length - item] < (1 - NEAR) * value.max() and covered[item] > 0:
+        near = (1 - NEAR) * value.max()
+        for item, worth in sorted(zip(open_.tolist(), value.tolist()), key=lambda iv: (-price[iv[0]], iv[0])):
+            if worth < near and covered[item] > 0:
                 continue
-            config = tuple(sorted([int(item), *_content(first, length - int(item))], reverse=True))
+            config = tuple(sorted([item, *_content(first, length - item)], reverse=True))
             need = np.bincount(config, minlength=length + 1)
             held = np.flatnonzero(need)
-            step = ((demand[held] - covered[held]) / need[held]).min() / 2
-            step = max(step, min(1.0, ((demand[held] - covered[held]) / need[held]).min()))
+            room = ((demand[held] - covered[held]) / need[held]).min()
+            step = max(room / 2, min(1.0, room))
             if step <= 0:
                 continue
             covered[held] += need[held] * step
-            raised[config] = raised.get(config, 0.0) + step
-    return [(c, x) for c, x in sorted(raised.items(), key=lambda kv: (-kv[1], kv[0]))]
+            if worth >= near:
+                raised[config] = raised.get(config, 0.0) + step
+    return sorted(raised.items(), key=lambda kv: (-kv[1], kv[0])), bound
 
 
 def _best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -222,7 +243,7 @@ def pack(pieces: DataFrame, ws: Workspace, length: int = LENGTH) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to staged pieces (columns length, part, rank).
 
     The look-up that every task gets has a row for each item of each configuration: its size
-    follows the sequence length and ROUNDS, not the corpus.
+    follows the sequence length, not the corpus.
     """
     spark = pieces.sparkSession
     counts = ws.stage(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths", measure=True)

@@ -473,3 +473,17 @@ def test_pipeline_on_the_smallest_tables(spark):
     packed = corpus_pipeline.run(spark, data).collect()
     assert {r.doc_id for r in packed} == set(rows)
     assert rest.columns == docs.columns and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("many", [2000, 20_000])
+def test_packing_of_triples_that_fill_a_sequence(many):
+    """Three pieces of a quarter to a half each fill a sequence without a gap: the optimum is known."""
+    rng = np.random.default_rng(many)
+    a, b = rng.integers(513, 1024, (2, 20 * many))
+    c = 2048 - a - b
+    good = np.flatnonzero((c > 512) & (c < 1024))[:many]
+    demand = np.bincount(np.concatenate([a[good], b[good], c[good]]), minlength=2049)
+    made = packing.configurations(demand)
+    assert all(sum(config) <= 2048 for config, _ in made)
+    assert (sum(np.bincount(config, minlength=2049) * n for config, n in made) == demand).all()
+    assert sum(n for _, n in made) <= 1.01 * many
