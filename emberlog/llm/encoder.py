@@ -23,17 +23,19 @@ from .common import SPACES
 # Spark runs one worker per core; threads of the library beside them would only wait for work.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SLOT_BITS, POOL_IDS, POOL_STEP = 20, 6_000_000, 1 << 18
+# Slots of a worker's table (23 bytes each), and ids in its pool per slot (4 bytes each) before both begin anew.
+SLOT_BITS, POOL_PER_SLOT, POOL_STEP = 20, 6, 1 << 18
 KEPT_BYTES, KEPT_CHUNKS = 256, 50_000
-_loaded: dict[tuple[str, bool], Encoder] = {}
+_loaded: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, slot_bits: int = SLOT_BITS) -> Encoder:
     """One encoder per file and Python worker, so that the table outlives a task."""
-    if (path, plain) not in _loaded:
+    key = path, plain, slot_bits
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[path, plain] = Encoder(path, plain)
-    return _loaded[path, plain]
+        _loaded[key] = Encoder(path, plain, slot_bits)
+    return _loaded[key]
 
 
 def tidy() -> None:
@@ -48,7 +50,8 @@ def tidy() -> None:
 class ChunkTable:
     """Ids of chunks of text, looked up by content; subclasses cut texts and encode new chunks."""
 
-    def __init__(self) -> None:
+    def __init__(self, slot_bits: int = SLOT_BITS) -> None:
+        self.bits = slot_bits
         self._clear()
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -67,10 +70,10 @@ class ChunkTable:
         raise NotImplementedError
 
     def _clear(self) -> None:
-        self.low, self.high = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
+        self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
         # An empty slot has the size 0, which no chunk has.
-        self.sizes = np.zeros(1 << SLOT_BITS, np.uint8)
-        self.starts, self.lengths = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.uint16)
+        self.sizes = np.zeros(1 << self.bits, np.uint8)
+        self.starts, self.lengths = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.uint16)
         self.long: dict[bytes, tuple[int, int]] = {}
         self.pool = np.zeros(POOL_STEP, np.uint32)
         self.used = 0
@@ -96,7 +99,7 @@ class ChunkTable:
                 np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
     def _encode_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.used > POOL_IDS or len(self.long) > KEPT_CHUNKS:
+        if self.used > POOL_PER_SLOT << self.bits or len(self.long) > KEPT_CHUNKS:
             self._clear()
         rows = len(offsets) - 1
         first = self.cuts(data)
@@ -134,7 +137,7 @@ class ChunkTable:
         slot = low * np.uint64(hashing.BASE)
         slot ^= (high + n.astype(np.uint64)) * np.uint64(hashing.OTHER)
         slot ^= slot >> np.uint64(29)
-        slot = (slot * np.uint64(hashing.BASE) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (slot * np.uint64(hashing.BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
         where[of], count[of] = self.starts[slot], self.lengths[slot]
         miss = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high) | (self.sizes[slot] != n))
         if not len(miss):
@@ -179,9 +182,9 @@ class ChunkTable:
 class Encoder(ChunkTable):
     """Ids of the tokenizers library."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, slot_bits: int = SLOT_BITS):
         """With ``plain``, the strings of control tokens inside a text are text like any other."""
-        super().__init__()
+        super().__init__(slot_bits)
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = plain
         self.mark, token = max(self.tokenizer.get_added_tokens_decoder().items())

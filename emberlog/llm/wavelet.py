@@ -30,6 +30,8 @@ from .encoder import encoder, tidy
 
 END = 2
 SHARD_TOKENS, BLOCK = 2_000_000, 4096
+# This stage does little else, so its workers may keep more chunks.
+SLOT_BITS = 22
 SHARD = "part int, shard int, n_tokens long, bits int, doc_ids binary, doc_tokens binary, planes array<binary>, ranks array<binary>"
 
 
@@ -135,7 +137,7 @@ def _open(size: int, planes: list[bytes], ranks: list[bytes]) -> WaveletMatrix:
 
 
 def _bits(tokenizer: str, end: int) -> int:
-    coder = encoder(tokenizer)
+    coder = encoder(tokenizer, slot_bits=SLOT_BITS)
     return max(coder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end).bit_length()
 
 
@@ -143,7 +145,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, a hash that orders rows of one id, and the ids with END as integers of two or four bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, kind = encoder(tokenizer), _kind(_bits(tokenizer, end))
+        coder, kind = encoder(tokenizer, slot_bits=SLOT_BITS), _kind(_bits(tokenizer, end))
         for batch in batches:
             data, offsets = hashing.buffers(batch.column(2))
             for first, stop, some, at in hashing.pieces(data, offsets):
