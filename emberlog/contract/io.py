@@ -179,13 +179,58 @@ def score_baseline(spark, sf, ws):
     return rounded(sc.single_errors(rows, n, "x", sc.Reconstruction.fit(rows, "x", 0)), "err")
 
 
-@query("score_single")
+# Squarings of a matrix that leave the direction of its largest value alone.
+SQUARINGS = 18
+
+
+def leading_sql(k: int) -> str:
+    """CTE ``lead``: the sum of the projections on the k leading directions of the matrix ``a`` of ``cov``, and what is left
+    of it, by repeated multiplication."""
+    trace = lambda m: f"list_sum(list_transform({m}, lambda q, i: q[i]))"
+    less = lambda m, other, factor: (f"list_transform({m}, lambda q, i: list_transform(q, lambda e, j: e {factor} * ({other}[i][j])))")
+    value = "list_sum(list_transform(a, lambda q, i: list_dot_product(q, m[i])))"
+    return (f"lead AS (WITH RECURSIVE p AS (SELECT 0 AS step, a, list_transform(a, lambda q: list_transform(q, lambda e: e / {trace('a')})) AS m, "
+            "list_transform(a, lambda q: list_transform(q, lambda e: 0::DOUBLE)) AS held FROM cov "
+            "UNION ALL SELECT step + 1, a2, CASE WHEN done THEN list_transform(a2, lambda q: list_transform(q, lambda e: e / t)) "
+            "ELSE list_transform(m2, lambda q: list_transform(q, lambda e: e / t)) END, held2 FROM ("
+            f"SELECT *, {trace('CASE WHEN done THEN a2 ELSE m2 END')} AS t FROM (SELECT step, done, m2, "
+            f"CASE WHEN done THEN {less('a', 'm', '- lam')} ELSE a END AS a2, CASE WHEN done THEN {less('held', 'm', '+ 1')} ELSE held END AS held2 "
+            f"FROM (SELECT *, step % {SQUARINGS + 1} = {SQUARINGS} AS done, {value} AS lam, "
+            "list_transform(m, lambda q: list_transform(m, lambda e: list_dot_product(q, e))) AS m2 FROM p "
+            f"WHERE step < {k * (SQUARINGS + 1)}))) ) SELECT a, held FROM p WHERE step = {k * (SQUARINGS + 1)})")
+
+
+# Rows less their mean, and their covariance as a list of lists.
+CENTRED = ("v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings), "
+           "m AS (SELECT d, avg(x) AS mu FROM v GROUP BY d), "
+           "z AS (SELECT vec_id, list(x - mu ORDER BY d) AS z FROM v JOIN m USING (d) GROUP BY vec_id), "
+           "w AS (SELECT d, list(x - mu ORDER BY vec_id) AS w FROM v JOIN m USING (d) GROUP BY d), "
+           "cov AS (SELECT list(r ORDER BY d) AS a FROM (SELECT a.d, list(list_dot_product(a.w, b.w) / len(a.w) ORDER BY b.d) AS r "
+           "FROM w a, w b GROUP BY a.d))")
+INSIDE = "list_dot_product(z, list_transform(held, lambda q: list_dot_product(q, z)))"
+SINGLE = (f"WITH {CENTRED}, {leading_sql(16)}, r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, "
+          f"(list_dot_product(z, z) - {INSIDE}) / len(z) AS err FROM z, lead) "
+          "SELECT idx // 8 AS win_id, round(avg(err), 6) AS err FROM r WHERE (idx // 8) * 8 < (SELECT count(*) FROM r) - 8 GROUP BY ALL")
+# Products of whole windows instead of the covariance: what the leading directions leave of them is the error.
+SEQUENTIAL = (
+    "WITH i AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n, embedding FROM embeddings), "
+    "v AS (SELECT idx // 8 AS win_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) + (idx % 8) * len(embedding) AS d "
+    "FROM i WHERE (idx // 8) * 8 < n - 8), m AS (SELECT d, avg(x) AS mu FROM v GROUP BY d), "
+    "z AS (SELECT win_id, list(x - mu ORDER BY d) AS z FROM v JOIN m USING (d) GROUP BY win_id), "
+    "cov AS (SELECT list(r ORDER BY win_id) AS a FROM (SELECT a.win_id, list(list_dot_product(a.z, b.z) ORDER BY b.win_id) AS r "
+    f"FROM z a, z b GROUP BY a.win_id)), {leading_sql(16)} "
+    "SELECT win_id, round(a[row_number() OVER (ORDER BY win_id)][row_number() OVER (ORDER BY win_id)] / len(z), 6) AS err FROM z, lead")
+PCA_NORM = (f"WITH {CENTRED}, {leading_sql(2)}, r AS (SELECT vec_id, sqrt({INSIDE}) AS score FROM z, lead) "
+            "SELECT vec_id, round(score, 6) AS score, CASE WHEN score > (SELECT quantile_cont(score, 0.95) FROM r) THEN -1 ELSE 1 END AS prediction FROM r")
+
+
+@query("score_single", SINGLE)
 def score_single(spark, sf, ws):
     rows, n = vectors(spark, sf, ws)
     return rounded(sc.single_errors(rows, n, "x", sc.Reconstruction.fit(rows, "x", 16)), "err")
 
 
-@query("score_sequential")
+@query("score_sequential", SEQUENTIAL)
 def score_sequential(spark, sf, ws):
     rows, n = vectors(spark, sf, ws)
     windows = ws.stage(sc.flat_windows(rows, n, "x"), "windows")
@@ -202,7 +247,7 @@ def rbf_novelty(spark, sf, ws):
     return rounded(sc.rbf_novelty(vectors(spark, sf, ws)[0], "vec_id", "x", ws), "score")
 
 
-@query("pca_norm")
+@query("pca_norm", PCA_NORM)
 def pca_norm(spark, sf, ws):
     return rounded(sc.pca_norm(vectors(spark, sf, ws)[0], "vec_id", "x", ws), "score")
 

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +24,9 @@ from .windows import KEY_ROWS, PLACE, sequence_windows
 MODEL_SIZES = (16, 24, 32)
 # Share of the variance that a reconstruction may keep, and what counts as none at all.
 KEPT_VARIANCE, NO_VARIANCE = 0.999, 1e-9
+# Directions that one pass over the rows works on, blocks kept before they are condensed, the residual
+# (as a share of the largest variance) at which a direction counts as found, and the most passes.
+BLOCK, BLOCKS, RESIDUAL, PASSES = 64, 8, 1e-10, 300
 # Random Fourier features that stand for the kernel.
 KERNEL_FEATURES = 256
 
@@ -41,6 +43,62 @@ def vector_stats(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray,
     return np.array(row["mean"]), np.array(row["variance"]) * (n - 1) / max(n, 1), n
 
 
+def covariance_times(df: DataFrame, features: str, mean: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """The covariance of the rows times a block of columns, in one pass and without the covariance itself.
+
+    Every task sums (x - mean) (x - mean)' block over its rows; the sums meet by dimension.
+    """
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(block.shape)
+        for batch in batches:
+            x = _matrix(batch["x"]) - mean if len(batch) else np.zeros((0, len(mean)))
+            total += x.T @ (x @ block)
+        yield pd.DataFrame({"at": np.arange(len(total)), "part": list(total)})
+
+    parts = (df.select(F.col(features).cast("array<double>").alias("x")).mapInPandas(partial, "at long, part array<double>")
+             .groupBy("at").agg(Summarizer.metrics("sum").summary(array_to_vector("part")).alias("s")).select("at", "s.sum"))
+    out = np.zeros(block.shape)
+    for row in parts.collect():
+        out[row["at"]] = row["sum"]
+    return out / max(n, 1)
+
+
+def leading_directions(df: DataFrame, features: str, mean: np.ndarray, n: int, k: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The k directions of most variance and their variances, largest first.
+
+    Rows of at most ``BLOCK`` dimensions take one pass, since the block is then the whole space. Wider ones
+    take block power steps: what a block of directions is mapped to widens the space in which the best
+    directions are sought, until the residuals of the k best vanish. The driver holds at most
+    ``BLOCKS`` blocks, d x (BLOCKS * block) numbers, never d x d.
+    """
+    d = len(mean)
+    width = min(d, max(BLOCK, 2 * k))
+    basis = np.eye(d) if width == d else np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    image = covariance_times(df, features, mean, basis, n)
+    for _ in range(PASSES):
+        inner = basis.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        basis, image = basis @ turn, image @ turn
+        left = image - basis * values
+        if basis.shape[1] == d or np.linalg.norm(left[:, :k], axis=0).max() <= RESIDUAL * max(values[0], 0.0):
+            break
+        if basis.shape[1] + width > BLOCKS * width:
+            # The rows' images turn with the basis, so condensing needs no pass.
+            basis, image = basis[:, :2 * width], image[:, :2 * width]
+        new = left[:, :width] / np.maximum(np.linalg.norm(left[:, :width], axis=0), np.finfo(float).tiny)
+        for _ in range(2):
+            new = new - basis @ (basis.T @ new)
+            new, size = np.linalg.qr(new)
+            new = new[:, np.abs(np.diag(size)) > 1e-8][:, :d - basis.shape[1]]
+        if not new.shape[1]:
+            break
+        basis, image = np.hstack([basis, new]), np.hstack([image, covariance_times(df, features, mean, new, n)])
+    found = basis[:, :k]
+    signs = np.sign(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])])
+    return found * np.where(signs == 0, 1.0, signs), np.maximum(values[:k], 0.0)
+
+
 @dataclass
 class Reconstruction:
     """A linear encoder: the mean and the k directions that keep most of the variance."""
@@ -56,17 +114,16 @@ class Reconstruction:
         With as many directions as the rows span, every error would be rounding noise. Errors below
         ``floor``, a billionth of the variance, count as none.
         """
-        mean, variance, _ = vector_stats(df, features)
+        mean, variance, n = vector_stats(df, features)
         total = float(np.nansum(variance))
         floor = NO_VARIANCE * total / max(len(mean), 1)
         k = min(k, len(mean))
         if k == 0 or total <= 0:
             return cls(mean, np.zeros((len(mean), 0)), floor)
-        vectors = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
-        found = PCA(k=min(k + 1, len(mean)), inputCol="v", outputCol="p").fit(vectors)
+        found, values = leading_directions(df, features, mean, n, min(k + 1, len(mean)))
         if kept is not None:
-            k = min(k, int((np.cumsum(np.array(found.explainedVariance)) < kept).sum()))
-        return cls(mean, found.pc.toArray()[:, :k], floor)
+            k = min(k, int((np.cumsum(values / total) < kept).sum()))
+        return cls(mean, found[:, :k], floor)
 
     def truncated(self, k: int, largest: int | None = None) -> "Reconstruction":
         """The smaller model: directions are ordered by the variance they keep.
