@@ -147,8 +147,7 @@ x AS (SELECT rid, doc_id, t, coalesce(lead(t) OVER (ORDER BY rid), first_value(t
   coalesce(lead(rid) OVER (ORDER BY rid), 1) AS nrid, length(t) // 3 AS m FROM d),
 y AS (SELECT *, left(t, length(t) - m) || left(nt, m) AS e FROM x),
 s AS (SELECT rid, 0 AS k, t FROM y UNION ALL SELECT rid, 1, e FROM y),
-w AS (SELECT rid, k, regexp_extract_all(t, '[^ 	-
-]+') AS w FROM s),
+w AS (SELECT rid, k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM s),
 p AS (SELECT rid, k, len(w) AS n, generate_subscripts(w, 1) AS i,
   unnest(list_transform(w, lambda a: CAST('0x' || substr(md5(a), 1, {CODE_DIGITS}) AS BIGINT))) AS c FROM w),
 q AS (SELECT *, lead(c) OVER v AS c2, lead(c, 2) OVER v AS c3, lead(c, 3) OVER v AS c4, lead(c, 4) OVER v AS c5

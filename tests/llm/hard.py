@@ -37,7 +37,7 @@ def hard_documents():
         near = list(words)
         near[i * 7] = f"new{i}"
         texts.append(" ".join(near))
-    texts += [*twins(), *twins("q", "Z"), *twins("x y ", "y x "), "kelvin \u212a \u0130stanbul \xb5 a\u0301 \x00\x00 \x00"]
+    texts += [*twins(), *twins("q", "Z"), *twins("x y ", "y x "), "cr\rvt\x0bff\x0c" + " ".join(f"a{i}\rb\x0bc\x0cd{i}" for i in range(40)), "kelvin \u212a \u0130stanbul \xb5 a\u0301 \x00\x00 \x00"]
     rows = [(i * 3 % 191, t) for i, t in enumerate(texts)]
     rows += [rows[0], rows[3], (rows[20][0], rows[20][1]), (None, "no id here"), (None, base)]
     return rows

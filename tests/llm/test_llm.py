@@ -452,7 +452,47 @@ def test_near_stage_of_unnamed_documents_without_broadcast(spark, ws, monkeypatc
     assert sorted((tuple(r) for r in jaccard.query(frame(spark, rows), ws).collect()), key=repr) == brute_links(rows)
 
 
-def test_pipeline_on_the_smallest_tables(spark):
+def brute_quality(rows):
+    """Texts that the quality rules keep, judged by the SQL of the query."""
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    found = con.execute(quality.SQL)
+    at = {d[0]: i for i, d in enumerate(found.description)}
+    kept = {r[at["doc_id"]] for r in found.fetchall() if r[at["kept"]]}
+    return {i: t or "" for i, t in rows if i in kept}
+
+
+def brute_lines(docs):
+    """Texts without the lines that at least five documents share, but in the largest id holding them."""
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for i, t in docs.items():
+        for k in {key(line) for line in t.split("\n")}:
+            if len(k) >= 40:
+                held.setdefault(k, []).append(i)
+    goes = {k: max(ids) for k, ids in held.items() if len(ids) >= 5}
+    return {i: "\n".join(line for line in t.split("\n") if goes.get(key(line), i) == i) for i, t in docs.items()}
+
+
+def brute_pieces(docs, vocabulary):
+    """(doc_id, piece) with start, length and checksum of the ids."""
+    tokens, out = Tokenizer.from_file(vocabulary), {}
+    for i, t in docs.items():
+        ids = [*tokens.encode(t, add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), 2048):
+            piece = np.array(ids[at:at + 2048], "<u4")
+            out[i, at // 2048] = (at, len(piece), zlib.crc32(piece.tobytes()))
+    return out
+
+
+def by_id(df):
+    rows = df.select("doc_id", "text", "n_chars").collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: r.text or "" for r in rows}
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Every stage against brute force on its own input, and the whole run against the last of them."""
     import corpus_pipeline
     from emberlog.llm.common import read
 
@@ -460,21 +500,53 @@ def test_pipeline_on_the_smallest_tables(spark):
     if not os.path.isdir(data):
         pytest.skip("no test tables")
     docs = read(spark, data, "documents")
+    raw = [(r.doc_id, r.text) for r in docs.collect()]
     kept = corpus_pipeline.quality_rules(spark, docs, data)
+    assert by_id(kept) == brute_quality(raw)
     thin = corpus_pipeline.line_dedup(spark, kept, data)
+    texts = by_id(thin)
+    assert texts == brute_lines(brute_quality(raw))
     near = corpus_pipeline.near_dedup(spark, thin, data)
+    left = by_id(near)
+    assert sorted(left.items(), key=repr) == brute_kept(list(texts.items()))
     rest = corpus_pipeline.substring_dedup(spark, near, data)
-    rows = {r.doc_id: r for r in near.collect()}
-    want = brute_links([(r.doc_id, r.text) for r in thin.collect()])
-    assert sorted(rows) == sorted({c for _, c, _, _ in want})
-    cut = brute_repeats([(i, r.text) for i, r in rows.items()])
-    for r in rest.collect():
-        assert r.n_chars == len(r.text) and len(r.text.encode()) <= cut[r.doc_id, rows[r.doc_id].text][0]
+    cut = brute_repeats(list(left.items()))
+    rows = rest.collect()
+    assert len(rows) == len(left) and all(r.n_chars == len(r.text) for r in rows)
+    for r in rows:
+        assert hashlib.sha256(r.text.encode()).hexdigest() == cut[r.doc_id, left[r.doc_id]][3], r.doc_id
     packed = corpus_pipeline.run(spark, data).collect()
-    assert {r.doc_id for r in packed} == set(rows)
+    want = brute_pieces({r.doc_id: r.text for r in rows}, WORD)
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packed} == want and len(packed) == len(want)
+    filled = {}
+    for r in packed:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in filled.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(places)])
+        assert [at for at, _ in sorted(places)] == ends[:-1].tolist() and ends[-1] <= 2048
     assert rest.columns == docs.columns and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_on_an_empty_table_and_on_hard_documents(spark, tmp_path):
+    """Nulls, repeated rows, clashing names and control characters go through; no rows give no rows."""
+    import corpus_pipeline
+
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    # The rules reject all of these documents, so the stages behind them are given the documents themselves.
+    docs = frame(spark, ROWS)
+    assert corpus_pipeline.quality_rules(spark, docs, "").columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        kept.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    last = [(r.doc_id, r.text or "") for r in docs.collect()]
+    packed = corpus_pipeline.best_fit_packing(spark, docs, "").collect()
+    want = sorted(((i, *piece) for i, t in last for (_, _), piece in brute_pieces({i: t}, WORD).items()), key=repr)
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed), key=repr) == want and len(last) > 20
+
+
 @pytest.mark.parametrize("many", [2000, 20_000])
 def test_packing_of_triples_that_fill_a_sequence(many):
     """Three pieces of a quarter to a half each fill a sequence without a gap: the optimum is known."""
