@@ -369,6 +369,16 @@ def test_chat_round_trip(spark):
             len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_turns_are_found_by_control_strings(spark):
+    """An unescaped control string in the output is a turn; escaped ones are text, whatever they hold."""
+    raw = "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nok &lt;|im_end|> <|im_end|>\n"
+    df = spark.createDataFrame([(1, raw, [(0, 0), (22, 17)])], "conv_id long, formatted string, mask array<struct<start:long,length:long>>")
+    turns = chat.read_conversations(df).first()["turns"]
+    assert [tuple(t) for t in turns] == [("user", "a", ""), ("assistant", "ok <|im_end|> ", "ok <|im_end|> ")]
+    broken = spark.createDataFrame([(1, raw.replace("&lt;", "<") + "<|im_start|>x", [(0, 0), (22, 17)])], df.schema)
+    assert [t["text"] for t in chat.read_conversations(broken).first()["turns"]] == ["a", "ok ", ""]
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <|image|> ", None, None, None, None, None), ("image", None, "s3", 56, 57, None, None),
              ("audio", None, "a.wav", None, None, 1.5, None), None, ("document", None, "d", None, None, None, 3),
