@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import detect as dt, scoring as sc, templates as tm
@@ -237,7 +238,37 @@ def score_sequential(spark, sf, ws):
     return rounded(sc.sequential_errors(windows, sc.Reconstruction.fit(windows, "window", 16)), "err")
 
 
-@query("isolation_forest")
+def forest_sql(trees: int = 100, sample: int = 256, seed: int = 42, depth: int = 8) -> str:
+    """The whole forest in SQL: the draws of each tree, its nodes level by level, and every row's walk through all trees."""
+    span = sc.SPAN
+    digits = lambda at: f"CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), {at}, {sc.HASH_DIGITS}) AS BIGINT)"
+    part = lambda which: f"CAST('0x' || substr(md5('{seed}:' || t || ':' || node || ':{which}'), 1, 12) AS BIGINT)"
+    mean = lambda n: f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + {np.euler_gamma!r}) - 2 * ({n} - 1) / {n}::DOUBLE END"
+    steps = [f"v AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS k, embedding::DOUBLE[] AS x, {digits(1)} AS h1, {digits(1 + sc.HASH_DIGITS)} AS h2 FROM embeddings)",
+             f"d(t, a, b, c) AS (VALUES {', '.join(map(str, sc.tree_draws(trees, seed)))})",
+             f"y AS (SELECT t, k, x, (a * h1 + b * h2 + c) % {span} AS drawn, (SELECT count(*) FROM v) AS n FROM v, d)",
+             f"z AS (SELECT * FROM y WHERE drawn < CASE WHEN n <= {4 * sample} THEN {span} ELSE ceil({span} * ({4.0 * sample} / n)) END "
+             f"QUALIFY row_number() OVER (PARTITION BY t ORDER BY drawn, k) <= {sample})",
+             "p0 AS (SELECT t, 0 AS node, x, CAST(ceil(log2(greatest(count(*) OVER (PARTITION BY t), 2))) AS INT) AS most FROM z)"]
+    for at in range(depth + 1):
+        steps += [f"u{at} AS (SELECT t, node, most, unnest(x) AS e, unnest(range(len(x))) AS f FROM p{at})",
+                  f"r{at} AS (SELECT t, node, any_value(most) AS most, f, min(e) AS lo, max(e) AS hi, count(*) AS n FROM u{at} GROUP BY t, node, f)",
+                  f"o{at} AS (SELECT t, node, any_value(most) AS most, any_value(n) AS n, "
+                  f"coalesce(list({{'f': f, 'lo': lo, 'hi': hi}} ORDER BY f) FILTER (hi > lo), []) AS o FROM r{at} GROUP BY t, node)",
+                  f"q{at} AS (SELECT t, node, n, CASE WHEN {at} < most AND len(o) > 0 THEN o[1 + {part('f')} % len(o)] END AS q FROM o{at})",
+                  f"n{at} AS MATERIALIZED (SELECT t, node, q.f AS f, q.lo + (q.hi - q.lo) * ({part('c')} / {2.0 ** 48!r}) AS cut, "
+                  f"{at} + {mean('n')} AS path FROM q{at})",
+                  f"p{at + 1} AS MATERIALIZED (SELECT t, 2 * node + CASE WHEN x[f + 1] <= cut THEN 1 ELSE 2 END AS node, x, most FROM p{at} JOIN n{at} USING (t, node) WHERE f IS NOT NULL)"]
+    nodes = " UNION ALL ".join(f"SELECT * FROM n{at}" for at in range(depth + 1))
+    return (f"WITH RECURSIVE {', '.join(steps)}, nodes AS MATERIALIZED ({nodes}), "
+            "walk AS (SELECT vec_id, t, 0 AS node FROM v, d UNION ALL SELECT w.vec_id, w.t, 2 * w.node + CASE WHEN v.x[g.f + 1] <= g.cut THEN 1 ELSE 2 END "
+            "FROM walk w JOIN nodes g ON g.t = w.t AND g.node = w.node JOIN v ON v.vec_id = w.vec_id WHERE g.f IS NOT NULL), "
+            "s AS (SELECT vec_id, sum(path ORDER BY t) AS total FROM walk JOIN nodes USING (t, node) WHERE f IS NULL GROUP BY vec_id), "
+            f"r AS (SELECT vec_id, -pow(2.0, -(total / {trees}) / (SELECT {mean(f'least({sample}, count(*))')} FROM v)) AS score FROM s) "
+            "SELECT vec_id, round(score, 6) AS score, CASE WHEN score < (SELECT quantile_cont(score, 0.05) FROM r) THEN -1 ELSE 1 END AS prediction FROM r")
+
+
+@query("isolation_forest", forest_sql())
 def isolation_forest(spark, sf, ws):
     return rounded(sc.isolation_forest(vectors(spark, sf, ws)[0], "vec_id", "x", ws), "score")
 

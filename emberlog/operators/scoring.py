@@ -6,6 +6,7 @@ scored in Arrow batches where they are.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.rulebook import WINDOW_LENGTH, WINDOW_STRIDE
 from ..workspace import Workspace
+from .bind import bind
 from .indexing import percentile_values
 from .windows import KEY_ROWS, PLACE, sequence_windows
 
@@ -29,6 +31,8 @@ KEPT_VARIANCE, NO_VARIANCE = 0.999, 1e-9
 BLOCK, BLOCKS, RESIDUAL, PASSES = 64, 8, 1e-10, 300
 # Random Fourier features that stand for the kernel.
 KERNEL_FEATURES = 256
+# Hashes of a row's key: two of so many hexadecimal digits; mixed with factors below a prime they fit in 63 bits.
+HASH_DIGITS, SPAN = 7, (1 << 31) - 1
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -255,54 +259,86 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, mean))
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, np.ndarray]:
-    """One tree as arrays: feature (-1 for a leaf), split value, children, path length of a leaf."""
-    nodes: list[list[float]] = []
+def hashed(text: str) -> int:
+    """The first 48 bits of a text's MD5, which any engine can form."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
 
-    def add(x: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, depth + float(_average_path(len(x)))])
-        low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(0), np.zeros(0))
-        open_features = np.flatnonzero(high > low)
-        if depth < limit and len(x) > 1 and len(open_features):
-            f = int(rng.choice(open_features))
-            cut = rng.uniform(low[f], high[f])
+
+def tree_draws(trees: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(tree, a, b, c): a row with hashes h1, h2 is drawn by tree at (a h1 + b h2 + c) modulo ``SPAN``."""
+    return [(t, *(1 + hashed(f"{seed}:{t}:{part}") % (SPAN - 1) for part in "abc")) for t in range(trees)]
+
+
+def _grow(points: np.ndarray, name: str, limit: int) -> dict[str, np.ndarray]:
+    """One tree, level by level: node i has the children 2 i + 1 and 2 i + 2.
+
+    A node's hash picks one of the features that differ among its points, and the place of the cut between
+    the least and the largest value. Nodes of one point, of equal points or at the limit are leaves; their path is
+    their depth and the mean path among their points.
+    """
+    nodes: dict[int, tuple[int, float, float]] = {}
+    level = {0: points}
+    for depth in range(limit + 1):
+        below = {}
+        for at, x in level.items():
+            low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(0), np.zeros(0))
+            open_features = np.flatnonzero(high > low)
+            if depth == limit or not len(open_features):
+                nodes[at] = (-1, 0.0, depth + float(_average_path(len(x))))
+                continue
+            f = int(open_features[hashed(f"{name}:{at}:f") % len(open_features)])
+            cut = float(low[f] + (high[f] - low[f]) * (hashed(f"{name}:{at}:c") / 2.0 ** 48))
+            nodes[at] = (f, cut, 0.0)
             left = x[:, f] <= cut
-            nodes[at][:4] = [f, cut, add(x[left], depth + 1), add(x[~left], depth + 1)]
-        return at
+            below[2 * at + 1], below[2 * at + 2] = x[left], x[~left]
+        level = below
+    at = np.array(sorted(nodes))
+    table = np.array([nodes[i] for i in at])
+    return {"node": at, "feature": table[:, 0].astype(int), "cut": table[:, 1], "path": table[:, 2]}
 
-    add(points, 0)
-    table = np.array(nodes)
-    return {"feature": table[:, 0].astype(int), "cut": table[:, 1], "left": table[:, 2].astype(int),
-            "right": table[:, 3].astype(int), "path": table[:, 4]}
 
+def _walkable(tree) -> dict[str, np.ndarray]:
+    """A grown tree with the places of the children instead of their numbers."""
+    node, feature = np.array(tree["node"]), np.array(tree["feature"])
+    left = np.where(feature >= 0, np.searchsorted(node, 2 * node + 1), 0)
+    return {"feature": feature, "cut": np.array(tree["cut"]), "path": np.array(tree["path"]), "left": left,
+            "right": np.where(feature >= 0, np.searchsorted(node, 2 * node + 2), 0)}
 
-def isolation_forest(df: DataFrame, key: str, features: str, ws: Workspace, trees: int = 100, sample: int = 256,
-                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """(key, score, prediction): low scores are easy to isolate; the lowest share is -1.
 
-    Every tree draws its points from all rows: a hash of key and tree keeps some four times as many
-    as it needs, and the lowest hashes among those are grown in one bounded group per tree.
+def grow_forest(df: DataFrame, key: str, features: str, n: int, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """(tree, node, feature, cut, path), one row per tree with its nodes as arrays.
+
+    Every tree draws its points from all rows: the MD5 of the key, mixed by the tree's numbers, keeps some four times
+    as many rows as the tree needs, and the lowest (then the least keys) are grown in one bounded group per tree.
+    A null key counts as the empty text.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"))
-    n = rows.count()
-    span = 1 << 40
-    limit = span if n <= 4 * sample else int(span * (4.0 * sample / n))
-    draw = lambda t: F.pmod(F.xxhash64("key", t, F.lit(seed)), F.lit(span))
-    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("at"))),
-                     lambda d: d["at"] < limit)
+    rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(features).cast("array<double>").alias("x"))
+    limit = SPAN if n <= 4 * sample else int(np.ceil(SPAN * (4.0 * sample / n)))
+    digit = lambda at: F.conv(F.substring("md5", at, HASH_DIGITS), 16, 10).cast("long")
+    made = bind(rows, {"md5": F.md5(F.col("key").cast("binary"))}).select("key", "x", digit(1).alias("h1"), digit(1 + HASH_DIGITS).alias("h2"))
+    draws = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(draw, "tabc")]) for draw in tree_draws(trees, seed)])
+    place = lambda d: F.pmod(d["a"] * F.col("h1") + d["b"] * F.col("h2") + d["c"], F.lit(SPAN))
+    drawn = F.filter(F.transform(draws, lambda d: F.struct(d["t"].alias("tree"), place(d).alias("at"))), lambda d: d["at"] < limit)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        points = _matrix(group.sort_values(["at", "key"])["x"].head(sample))
-        grown = _grow(points, np.random.default_rng([seed, tree]), int(np.ceil(np.log2(max(len(points), 2)))))
+        points = _matrix(group.assign(values=group["x"].map(tuple)).sort_values(["at", "key", "values"])["x"].head(sample))
+        grown = _grow(points, f"{seed}:{tree}", int(np.ceil(np.log2(max(len(points), 2)))))
         return pd.DataFrame({"tree": [tree], **{k: [v.tolist()] for k, v in grown.items()}})
 
-    schema = "tree long, feature array<long>, cut array<double>, left array<long>, right array<long>, path array<double>"
-    grown = (rows.select("key", "x", F.inline(drawn)).groupBy("tree").applyInPandas(grow, schema).collect())
-    forest = spark.sparkContext.broadcast([{k: np.array(r[k]) for k in ("feature", "cut", "left", "right", "path")}
-                                           for r in sorted(grown, key=lambda r: r.tree)])
+    schema = "tree long, node array<long>, feature array<long>, cut array<double>, path array<double>"
+    return made.select("key", "x", F.inline(drawn)).groupBy("tree").applyInPandas(grow, schema)
+
+
+def isolation_forest(df: DataFrame, key: str, features: str, ws: Workspace, trees: int = 100, sample: int = 256,
+                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """(key, score, prediction): low scores are easy to isolate; the lowest share is -1.
+
+    The forest is data of bounded size (``trees`` trees of at most ``sample`` points), the same whichever engine grows it.
+    """
+    n = df.count()
+    grown = grow_forest(df, key, features, n, trees, sample, seed).collect()
+    forest = df.sparkSession.sparkContext.broadcast([_walkable(r) for r in sorted(grown, key=lambda r: r.tree)])
     norm = float(_average_path(min(sample, n))) or 1.0
 
     @F.pandas_udf("double")

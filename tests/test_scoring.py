@@ -47,3 +47,20 @@ def test_directions_of_equal_rows_and_of_one_row(spark):
         df = frame(spark, x)
         assert sc.Reconstruction.fit(df, "x", 2).directions.shape == (4, 0)
         assert {r[0] for r in df.select(sc.Reconstruction.fit(df, "x", 2).error(sc.F.col("x"))).collect()} == {0.0}
+
+
+def test_trees_do_not_depend_on_where_rows_are(spark):
+    """Null keys, equal rows and one row included; a leaf's path is its depth and the mean path of its points."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 3)).round(1)
+    rows = [(None if i < 3 else i // 2, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, x array<double>")
+    grown = [{r.tree: tuple(map(tuple, r[1:])) for r in sc.grow_forest(d, "k", "x", 700, 5, 64).collect()}
+             for d in (df.repartition(2), df.repartition(9))]
+    assert grown[0].keys() == set(range(5)) and [t[0] for t in grown[0].values()] == [t[0] for t in grown[1].values()]
+    for node, feature, cut, path in grown[0].values():
+        held = set(node)
+        assert all((2 * i + 1 in held and 2 * i + 2 in held) == (f >= 0) for i, f in zip(node, feature))
+        assert max(node) < 2 ** 7 and all((p > 0) == (f < 0) for f, p in zip(feature, path))
+    equal = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(10)], "k long, x array<double>")
+    assert [list(r.feature) for r in sc.grow_forest(equal, "k", "x", 10, 2, 64).collect()] == [[-1], [-1]]
