@@ -273,7 +273,23 @@ def isolation_forest(spark, sf, ws):
     return rounded(sc.isolation_forest(vectors(spark, sf, ws)[0], "vec_id", "x", ws), "score")
 
 
-@query("rbf_novelty")
+def kernel_sql(d: int) -> str:
+    """The frequencies as literals; angles, mean waves and every row's product with them in SQL."""
+    waves = ", ".join(map(str, sc.kernel_frequencies(d).tolist()))
+    return (f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), f AS (SELECT unnest([{waves}]) AS w), "
+            "g AS (SELECT sqrt(2 / (any_value(d) * var_pop(e))) AS scale FROM (SELECT len(x) AS d, unnest(x) AS e FROM v)), "
+            "j AS (SELECT row_number() OVER () AS j, w FROM f), "
+            "a AS MATERIALIZED (SELECT vec_id, j, list_dot_product(x, w) * scale AS a FROM v, j, g), "
+            "c AS (SELECT j, avg(cos(a)) AS c, avg(sin(a)) AS s FROM a GROUP BY j), "
+            "r AS (SELECT vec_id, avg(cos(a) * c + sin(a) * s) AS score FROM a JOIN c USING (j) GROUP BY vec_id) "
+            "SELECT vec_id, round(score, 6) AS score, CASE WHEN score < (SELECT quantile_cont(score, 0.05) FROM r) THEN -1 ELSE 1 END AS prediction FROM r")
+
+
+# Dimensions of the embeddings.
+DIMENSIONS = 64
+
+
+@query("rbf_novelty", kernel_sql(DIMENSIONS))
 def rbf_novelty(spark, sf, ws):
     return rounded(sc.rbf_novelty(vectors(spark, sf, ws)[0], "vec_id", "x", ws), "score")
 

@@ -29,8 +29,10 @@ KEPT_VARIANCE, NO_VARIANCE = 0.999, 1e-9
 # Directions that one pass over the rows works on, blocks kept before they are condensed, the residual
 # (as a share of the largest variance) at which a direction counts as found, and the most passes.
 BLOCK, BLOCKS, RESIDUAL, PASSES = 64, 8, 1e-10, 300
-# Random Fourier features that stand for the kernel.
-KERNEL_FEATURES = 256
+# Root mean square error that the kernel's estimate may have in a row; its frequencies are counted from it.
+KERNEL_ERROR = 0.02
+# Rows whose features a task holds at a time.
+SLICE = 1024
 # Hashes of a row's key: two of so many hexadecimal digits; mixed with factors below a prime they fit in 63 bits.
 HASH_DIGITS, SPAN = 7, (1 << 31) - 1
 
@@ -40,9 +42,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def vector_stats(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and population variance per dimension, and the number of rows."""
+    """Mean and population variance per dimension, and the number of rows; no rows have no dimensions."""
     vector = array_to_vector(F.col(features).cast("array<double>"))
-    row = df.select(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s")).select("s.*").first()
+    # A group, unlike the whole table, is not there without rows, of which the summary would fail.
+    row = df.groupBy(F.lit(0)).agg(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s")).select("s.*").first()
+    if row is None:
+        return np.zeros(0), np.zeros(0), 0
     n = row["count"]
     return np.array(row["mean"]), np.array(row["variance"]) * (n - 1) / max(n, 1), n
 
@@ -365,32 +370,51 @@ def isolation_forest(df: DataFrame, key: str, features: str, ws: Workspace, tree
 
 # ---- kernel novelty and PCA distance ------------------------------------------------------------
 
-def rbf_novelty(df: DataFrame, key: str, features: str, ws: Workspace, share: float = 0.05, seed: int = 42) -> DataFrame:
+def kernel_frequencies(d: int, error: float = KERNEL_ERROR, seed: int = 42) -> np.ndarray:
+    """One row per frequency of a Gaussian kernel of width one over d dimensions.
+
+    A frequency's estimate of a similarity is a cosine whose variance is at most 1/2, and so is that of a mean of
+    similarities. 1 / (2 error^2) independent ones hence miss the mean by ``error`` at most (root mean square). They are drawn
+    in blocks of d that are orthogonal to one another and as long as normal vectors are, which spreads them more evenly.
+    """
+    rng = np.random.default_rng(seed)
+    wanted = int(np.ceil(1.0 / (2.0 * error ** 2)))
+    blocks = [np.linalg.qr(rng.normal(size=(d, d)))[0] * np.sqrt(rng.chisquare(d, size=(d, 1))) for _ in range(-(-wanted // max(d, 1)))]
+    return np.vstack(blocks)[:wanted] if d else np.zeros((wanted, 0))
+
+
+def rbf_novelty(df: DataFrame, key: str, features: str, ws: Workspace, share: float = 0.05, seed: int = 42,
+                error: float = KERNEL_ERROR) -> DataFrame:
     """(key, score, prediction): mean RBF similarity to all rows; the least similar share is -1.
 
-    The kernel is a product of random Fourier features (KERNEL_FEATURES cosines with a fixed seed), so
-    the mean similarity to all rows is the product with the rows' mean feature vector, one pass.
+    The kernel is a product of Fourier features (cosines and sines of ``kernel_frequencies``), so the mean similarity to all
+    rows is the product with the rows' mean feature vector: one pass for the mean, one for the scores. Rows
+    are mapped in slices of a batch, so that a task holds ``SLICE`` rows' features at most.
     """
-    mean, variance, _ = vector_stats(df, features)
+    mean, variance, n = vector_stats(df, features)
     # One over the number of dimensions times the variance of all entries.
     spread = float(variance.mean() + mean.var()) if len(mean) else 0.0
     gamma = 1.0 / (max(len(mean), 1) * spread) if spread else 1.0
-    rng = np.random.default_rng(seed)
-    frequencies = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(mean), KERNEL_FEATURES))
-    phases = rng.uniform(0.0, 2.0 * np.pi, KERNEL_FEATURES)
+    frequencies = df.sparkSession.sparkContext.broadcast(kernel_frequencies(len(mean), error, seed).T * np.sqrt(2.0 * gamma))
 
-    def cosines(column: pd.Series) -> np.ndarray:
-        return np.sqrt(2.0 / KERNEL_FEATURES) * np.cos(_matrix(column) @ frequencies + phases)
+    def waves(column: pd.Series) -> Iterator[np.ndarray]:
+        for at in range(0, len(column), SLICE):
+            angles = _matrix(column.iloc[at:at + SLICE]) @ frequencies.value
+            yield np.hstack([np.cos(angles), np.sin(angles)])
 
-    @F.pandas_udf("array<double>")
-    def mapped(column: pd.Series) -> pd.Series:
-        return pd.Series(list(cosines(column)))
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * frequencies.value.shape[1])
+        for batch in batches:
+            total += sum(part.sum(axis=0) for part in waves(batch["x"]))
+        yield pd.DataFrame({"total": [total]})
 
-    centre, _, _ = vector_stats(df.select(mapped(F.col(features)).alias("z")), "z")
+    sums = df.select(F.col(features).cast("array<double>").alias("x")).mapInPandas(partial, "total array<double>")
+    row = sums.groupBy(F.lit(0)).agg(Summarizer.metrics("sum").summary(array_to_vector("total")).alias("s")).select("s.sum").first()
+    centre = (np.array(row["sum"]) if row else 0.0) / (max(n, 1) * frequencies.value.shape[1])
 
     @F.pandas_udf("double")
     def similarity(column: pd.Series) -> pd.Series:
-        return pd.Series(cosines(column) @ centre)
+        return pd.Series(np.concatenate([np.zeros(0), *[part @ centre for part in waves(column)]]))
 
     scored = ws.stage(df.select(key, similarity(F.col(features)).alias("score")), "kernel_scores")
     limit = percentile_values(scored, "score", [share], ws)

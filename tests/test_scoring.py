@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from conftest import DATA
 from emberlog.operators import scoring as sc
 
 
@@ -64,3 +65,42 @@ def test_trees_do_not_depend_on_where_rows_are(spark):
         assert max(node) < 2 ** 7 and all((p > 0) == (f < 0) for f, p in zip(feature, path))
     equal = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(10)], "k long, x array<double>")
     assert [list(r.feature) for r in sc.grow_forest(equal, "k", "x", 10, 2, 64).collect()] == [[-1], [-1]]
+
+
+def exact_similarity(x):
+    """Mean of exp(-gamma |a - b|^2) over all rows b, for every row a."""
+    gamma = 1.0 / (x.shape[1] * x.var()) if x.var() else 1.0
+    squares = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    return np.exp(-gamma * squares).mean(axis=1)
+
+
+@pytest.mark.parametrize("error", [0.1, 0.05, 0.02])
+def test_kernel_keeps_its_error(spark, ws, error):
+    """The root mean square error against the exact mean is below the one asked for, near and far rows included."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(300, 6)), rng.normal(size=(20, 6)) * 4 + 3, np.zeros((5, 6))])
+    rows = sc.rbf_novelty(frame(spark, x), "id", "x", ws, error=error).orderBy("id").collect()
+    missed = np.array([r.score for r in rows]) - exact_similarity(x)
+    assert np.sqrt((missed ** 2).mean()) < error
+    assert sum(r.prediction == -1 for r in rows) == 17
+
+
+def test_kernel_on_the_embeddings(spark, ws):
+    df = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet").select(sc.F.col("vec_id").alias("id"), sc.F.col("embedding").cast("array<double>").alias("x"))
+    x = np.array([r.x for r in df.orderBy("id").collect()])
+    got = np.array([r.score for r in sc.rbf_novelty(df, "id", "x", ws).orderBy("id").collect()])
+    assert np.abs(got - exact_similarity(x)).max() < sc.KERNEL_ERROR
+
+
+def test_kernel_of_equal_rows_and_of_no_rows(spark, ws):
+    assert {round(r.score, 12) for r in sc.rbf_novelty(frame(spark, np.ones((9, 4))), "id", "x", ws).collect()} == {1.0}
+    assert sc.rbf_novelty(frame(spark, np.ones((1, 4))).filter("id < 0"), "id", "x", ws).collect() == []
+
+
+def test_frequencies_are_counted_from_the_error():
+    for d, error in [(1, 0.1), (64, 0.02), (200, 0.1)]:
+        w = sc.kernel_frequencies(d, error)
+        assert w.shape == (int(np.ceil(1 / (2 * error ** 2))), d)
+        whole = w[:d] if len(w) >= d else w
+        turned = whole @ whole.T
+        assert np.allclose(turned - np.diag(np.diag(turned)), 0, atol=1e-8)
