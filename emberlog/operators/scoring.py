@@ -45,7 +45,7 @@ def vector_stats(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray,
     """Mean and population variance per dimension, and the number of rows; no rows have no dimensions."""
     vector = array_to_vector(F.col(features).cast("array<double>"))
     # A group, unlike the whole table, is not there without rows, of which the summary would fail.
-    row = df.groupBy(F.lit(0)).agg(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s")).select("s.*").first()
+    row = df.groupBy(F.lit("all")).agg(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s")).select("s.*").first()
     if row is None:
         return np.zeros(0), np.zeros(0), 0
     n = row["count"]
@@ -379,8 +379,10 @@ def kernel_frequencies(d: int, error: float = KERNEL_ERROR, seed: int = 42) -> n
     """
     rng = np.random.default_rng(seed)
     wanted = int(np.ceil(1.0 / (2.0 * error ** 2)))
-    blocks = [np.linalg.qr(rng.normal(size=(d, d)))[0] * np.sqrt(rng.chisquare(d, size=(d, 1))) for _ in range(-(-wanted // max(d, 1)))]
-    return np.vstack(blocks)[:wanted] if d else np.zeros((wanted, 0))
+    if not d:
+        return np.zeros((wanted, 0))
+    blocks = [np.linalg.qr(rng.normal(size=(d, d)))[0] * np.sqrt(rng.chisquare(d, size=(d, 1))) for _ in range(-(-wanted // d))]
+    return np.vstack(blocks)[:wanted]
 
 
 def rbf_novelty(df: DataFrame, key: str, features: str, ws: Workspace, share: float = 0.05, seed: int = 42,
@@ -409,7 +411,7 @@ def rbf_novelty(df: DataFrame, key: str, features: str, ws: Workspace, share: fl
         yield pd.DataFrame({"total": [total]})
 
     sums = df.select(F.col(features).cast("array<double>").alias("x")).mapInPandas(partial, "total array<double>")
-    row = sums.groupBy(F.lit(0)).agg(Summarizer.metrics("sum").summary(array_to_vector("total")).alias("s")).select("s.sum").first()
+    row = sums.groupBy(F.lit("all")).agg(Summarizer.metrics("sum").summary(array_to_vector("total")).alias("s")).select("s.sum").first()
     centre = (np.array(row["sum"]) if row else 0.0) / (max(n, 1) * frequencies.value.shape[1])
 
     @F.pandas_udf("double")
