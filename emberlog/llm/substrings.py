@@ -14,8 +14,11 @@ as LENGTH bytes, which is what the question needs.
 
 Balance. Each task first folds the phrases that it meets more than once, so a passage in a third
 of all documents is one row per batch. A trigger with very many different surroundings (the edge
-of such a passage) is dealt by its windows instead; a sample of documents names those triggers, and
-only where rows go depends on the sample, never the result.
+of such a passage) is dealt by its windows instead. A sample of documents names the hottest beforehand, so
+that their phrases are spread from the start; any other trigger is counted while its sorted phrases, of all
+documents, stream through their task, and is dealt by windows beyond MOST of them. No task holds more
+than MOST phrases of one trigger, nor more than MOST copies of one window, and a batch. Only where
+rows go depends on the sample and the count, never the result.
 
 Defined cases: a null text is the empty text; texts of less than LENGTH bytes keep all bytes; rows of
 equal id and text are one document and get the same result; rows of equal id with different texts
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,8 @@ LENGTH, GRAM = 100, 32
 # One document in SAMPLE names hot triggers: those with over HOT_SEEN different phrases in the sample.
 SAMPLE, HOT_SEEN, HOT_MOST = 64, 30, 20_000
 NO_ID = -(1 << 63)
-# Rows that a task folds at a time.
-FOLD_ROWS = 1 << 18
+# Rows that a task folds at a time, and rows of one key that it holds at a time.
+FOLD_ROWS, MOST = 1 << 18, 1 << 13
 # Kinds of rows: resolve by trigger; dealt by window; known to repeat.
 BY_TRIGGER, BY_WINDOW, REPEATS = 0, 1, 2
 _PHRASE = "key long, hash long, doc long, body long, start long, windows int, kind int"
@@ -109,22 +113,59 @@ def _split(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
             yield np.array([first]), some, np.array([0, len(some)]), np.array([a])
 
 
-def _first(key, hash_, doc, body, start) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by all five columns: first of their (key, hash), and the same place once more.
+def _first(key, hash_, doc, body, start, before=None) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """Of rows sorted by all five columns: first of their (key, hash), the same place once more, and the last first row.
 
-    Rows of one id and text are one document, so its second row is the same place and no repeat.
+    Rows of one id and text are one document, so its second row is the same place and no repeat. ``before``
+    is the last first row of the rows that came before these.
     """
+    columns = (key, hash_, doc, body, start)
+    if before is not None:
+        columns = tuple(np.concatenate([np.array([v], c.dtype), c]) for v, c in zip(before, columns))
+    key, hash_, doc, body, start = columns
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])
     of = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-    return first, ~first & (doc == doc[of]) & (body == body[of]) & (start == start[of])
+    again = ~first & (doc == doc[of]) & (body == body[of]) & (start == start[of])
+    skip = 0 if before is None else 1
+    return first[skip:], again[skip:], tuple(c[of[-1]] for c in columns) if len(of) else None
+
+
+def _key_parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """A partition sorted by its first column as tables of whole keys; a key of more than ``most`` rows that goes
+    beyond a batch comes in parts, which are marked."""
+    held: list[pa.RecordBatch] = []
+    parted = None
+    whole = lambda: pa.Table.from_batches(held).combine_chunks()
+    for batch in batches:
+        key = np.asarray(batch.column(0))
+        if parted is not None:
+            end = int(np.searchsorted(key, parted, "right"))
+            if end:
+                yield pa.Table.from_batches([batch.slice(0, end)]), True
+            batch, key = batch.slice(end), key[end:]
+        if not len(key):
+            continue
+        parted = None
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held and (cut or held[-1].column(0)[-1].as_py() != key[0]):
+            yield whole(), False
+            held = []
+        held.append(batch.slice(cut))
+        if sum(b.num_rows for b in held) > most:
+            yield whole(), True
+            held, parted = [], key[-1]
+    if held:
+        yield whole(), False
 
 
 def _dealt(key, hash_, doc, body, start, windows, kind) -> pa.RecordBatch:
     """A batch of rows; those that repeat inside it are marked and dealt at random."""
     order = np.lexsort((start, body, doc, hash_, key))
     key, hash_, doc, body, start, windows, kind = (x[order] for x in (key, hash_, doc, body, start, windows, kind))
-    first, again = _first(key, hash_, doc, body, start)
+    first, again, _ = _first(key, hash_, doc, body, start)
     mixed = hashing.mixed((doc ^ start).view(np.uint64)).view(np.int64)
     columns = (np.where(first, key, mixed), hash_, doc, body, start, windows.astype(np.int32),
                np.where(first, kind, REPEATS).astype(np.int32))
@@ -170,17 +211,19 @@ def _found(doc, body, start, windows, key, kind) -> pa.RecordBatch:
          pa.array(kind.astype(np.int32))], names=["doc", "body", "start", "windows", "key", "kind"])
 
 
-def _resolve_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve_phrases(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Repeated phrases, and first occurrences whose trigger other phrases share."""
-    for table in hashing.whole_keys(batches):
+    before = None
+    for table, part in _key_parts(batches, most):
         key, hash_, doc, body, start, windows, kind = (np.asarray(c) for c in table.columns)
         known = kind == REPEATS
-        first, again = _first(key, hash_, doc, body, start)
+        first, again, before = _first(key, hash_, doc, body, start, before)
         first &= ~known
-        # Different phrases per trigger.
-        name = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.zeros(0, np.int64)
-        shared = np.bincount(name, weights=first)[name] > 1 if len(key) else first
-        check = first & (shared | (kind == BY_WINDOW))
+        # Rows and different phrases per trigger.
+        name = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        many = part | (np.bincount(name)[name] > most)
+        kind = np.where(many & (kind == BY_TRIGGER), BY_WINDOW, kind)
+        check = first & ((np.bincount(name, weights=first)[name] > 1) | (kind == BY_WINDOW))
         keep = check | (~first & (known | ~again))
         yield _found(doc[keep], body[keep], start[keep], windows[keep], key[keep],
                      np.where(check, kind, REPEATS)[keep])
@@ -239,9 +282,13 @@ def _hashed_windows(data: np.ndarray, edges: np.ndarray, n: np.ndarray) -> tuple
     return of, inner, hashing.windows(data, LENGTH).view(np.int64)[edges[:-1][of] + inner]
 
 
-def _resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that are not the first of their content, as runs of neighbouring windows."""
-    for table in hashing.whole_keys(batches):
+def _resolve_windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Windows that are not the first of their content, as runs of neighbouring windows.
+
+    A trigger that is compared by its phrases has ``most`` of them at most, so only windows dealt by themselves come in parts.
+    """
+    before = None
+    for table, _ in _key_parts(batches, most):
         key, hash_, doc, body, start, windows, kind = (np.asarray(c) for c in table.columns[:7])
         phrases = np.flatnonzero(kind == BY_TRIGGER)
         lone = np.flatnonzero(kind != BY_TRIGGER)
@@ -253,7 +300,7 @@ def _resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         doc, body, start = both(doc[lone], doc[of]), both(body[lone], body[of]), both(start[lone], start[of] + inner)
         order = np.lexsort((start, body, doc, hash_, key))
         key, hash_, doc, body, start, kind = (x[order] for x in (key, hash_, doc, body, start, kind))
-        first, again = _first(key, hash_, doc, body, start)
+        first, again, before = _first(key, hash_, doc, body, start, before)
         keep = (~first & ~again) | (kind == REPEATS)
         doc, body, start = doc[keep], body[keep], start[keep]
         order = np.lexsort((start, body, doc))
@@ -294,7 +341,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def hot_triggers(keyed: DataFrame) -> np.ndarray:
-    """Triggers with many different phrases in a sample; at most HOT_MOST, so the driver may hold them."""
+    """Triggers with many different phrases in a sample, to be spread from the start; at most HOT_MOST, so the driver may hold them."""
     sample = _phrases(keyed.filter(F.pmod(F.xxhash64("doc", "body"), F.lit(SAMPLE)) == 0), np.zeros(0, np.int64))
     counts = (sample.filter(F.col("kind") == BY_TRIGGER).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") > HOT_SEEN).orderBy(F.col("n").desc()).limit(HOT_MOST))
@@ -305,12 +352,12 @@ def repeated(docs: DataFrame, ws: Workspace) -> DataFrame:
     """One row per document that has repeats: doc, body, spans (sorted, disjoint [from, to) of bytes)."""
     keyed = _keyed(docs)
     phrases = _phrases(keyed, hot_triggers(keyed)).repartition("key").sortWithinPartitions(*_ORDER)
-    found = ws.stage(phrases.mapInArrow(_resolve_phrases, _FOUND), "phrases")
+    found = ws.stage(phrases.mapInArrow(partial(_resolve_phrases, most=MOST), _FOUND), "phrases")
     asked = ws.stage(found.filter(F.col("kind") != REPEATS).groupBy("doc", "body").agg(
         F.sort_array(F.collect_list(F.struct("start", "windows", "key", "kind"))).alias("asked")), "asked", measure=True)
     texts_ = keyed.join(F.broadcast(asked) if fits_broadcast(asked) else asked, ["doc", "body"])
     windows = (texts_.select("doc", "body", "text", "asked").mapInArrow(_windows, _ASKED)
-               .repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(_resolve_windows, _FOUND))
+               .repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(partial(_resolve_windows, most=MOST), _FOUND))
     spans = (found.filter(F.col("kind") == REPEATS).unionByName(windows)
              .select("doc", "body", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("b")).alias("s")))
     lists = spans.groupBy("doc", "body").agg(F.collect_list("s").alias("spans"))

@@ -147,6 +147,48 @@ def unique_ids(rows):
     return [(i, t) for i, t in rows if i is not None] + [(None, "no id here")]
 
 
+def passages(n):
+    """Documents with one passage between texts of their own, so that triggers at its edges have many phrases; and copies."""
+    rng = random.Random(9)
+    shared = prose(rng, 40)
+    rows = [(i, prose(rng, 3 + i % 20) + shared[:200 + i % 30] + prose(rng, 5 + i % 9)) for i in range(n)]
+    return rows + [(n + i, rows[i % 5][1]) for i in range(40)]
+
+
+@pytest.mark.parametrize("most, batch", [(0, 3), (2, 5), (7, 10_000), (8192, 4)])
+def test_substrings_of_triggers_beyond_the_bound(spark, ws, monkeypatch, most, batch):
+    """Triggers that no sample names are counted where they are resolved, also when they span batches."""
+    monkeypatch.setattr(substrings, "HOT_SEEN", 1 << 30)
+    monkeypatch.setattr(substrings, "MOST", most)
+    rows = passages(150)
+    want = brute_repeats(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = substrings.remove(frame(spark, rows), ws, "cut").select("doc_id", "text", "cut").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.cut.n_bytes, r.cut.n_removed, r.cut.n_spans, r.cut.kept_sha256) == want[r.doc_id, r.text]
+
+
+@pytest.mark.parametrize("most", [0, 1, 4, 100])
+def test_parts_of_keys(most):
+    """Every row once and in order; unmarked tables hold whole keys, and marked ones a single key of more rows than the bound."""
+    rng = random.Random(most)
+    keys = sorted(rng.choice([-5, 0, 1, 1, 1, 1, 2, 9]) for _ in range(200))
+    for size in (1, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i:i + size], pa.int64())], names=["k"]) for i in range(0, 200, size)]
+        parts = [(t.column(0).to_pylist(), part) for t, part in substrings._key_parts(iter([batches[0].slice(0, 0), *batches]), most)]
+        assert [k for part, _ in parts for k in part] == keys
+        for held, part in parts:
+            assert held and (not part or (len(set(held)) == 1 and keys.count(held[0]) > most))
+            if not part:
+                assert all(held.count(k) == keys.count(k) for k in set(held))
+        assert max(len(held) for held, _ in parts) <= most + 2 * size
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_substrings_against_all_windows(spark, ws, monkeypatch, hot):
     if hot:
