@@ -9,7 +9,9 @@ Hoeffding's bound, and whose children are so too as far as there is evidence, ar
 hangs below them. What is left is a probabilistic automaton
 that knows a format's fixed letters, alphabets and lengths.
 
-Scoring. Every token of the texts that no rule's span touches is a candidate, whatever its length. It is
+Scoring. Every token of at least LEAST_TOKEN symbols (no rule's value has less) that no rule's span touches is a
+candidate, however long it is, and is scored to its end; a state without further ones follows itself, so what is
+left of a token there counts at once, by how often it has each symbol. It is
 reported under the kind whose automaton makes it ODDS times as likely as the one of ordinary text, if it is
 also accepted by the automaton and as typical of the format as the examples are: the sum over its symbols of
 surprise minus expected surprise stays within what all but TAIL of held-out examples show, and SLACK.
@@ -17,9 +19,11 @@ surprise minus expected surprise stays within what all but TAIL of held-out exam
 Texts may hold credentials that no rule finds, so ordinary examples typical of a format are left out before the
 automaton of ordinary text is learned; unless they are a share of MIXED, as ordinary words then have that format.
 
-Learning takes at most MAX_ROWS different examples of a label, of at most MAX_CHARS characters, those of
-the lowest hashes; every task passes on its lowest ones only. The bounds are parameters; rules and scoring see
-every text whole. Automata have at most a few thousand states and go to all tasks.
+Learning takes at most MAX_ROWS different examples of a label, those of the lowest hashes; every task passes
+on its lowest ones only. They may be of any length: the tree is MAX_CHARS levels deep, and its deepest nodes count
+all symbols that are left, so that alphabets hold to the end of a longer format and its lengths on average. The
+bounds are parameters; rules and scoring see every text whole. Automata have at most a few thousand states and
+go to all tasks.
 
 Defined cases: a null or empty text has no spans; matches never cross texts; places are code points, ends
 not included; kinds without examples get no further spans; rows of equal ids are scored each; no
@@ -48,6 +52,8 @@ ORDINARY = "ordinary"
 MAX_ROWS, MAX_CHARS = 4_000, 128
 ALPHA, ODDS, TAIL, SLACK, MIXED = 0.05, 1e6, 0.01, 3.0, 0.1
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_TOKEN = 8, 16, 32, 8
+# Tokens tallied at once, and bytes beyond which one is tallied by itself.
+BLOCK, LONG = 512, 4096
 # Below so many strings two states always fit one another.
 FEW = 8
 # Weight of a symbol's class against the symbol, in strings; share of all that was never seen.
@@ -137,11 +143,25 @@ class Automaton:
     depth: int
     limit: float = math.inf
 
-    def score(self, data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihood of each token, and how much more surprising it is than expected (without bound if not accepted)."""
+    def score(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each token, and how much more surprising it is than expected (without bound if not accepted).
+
+        ``tails`` tells how often each symbol follows the token's end, if only its first MAX_CHARS are given.
+        """
         state, total, excess = np.zeros(len(low), np.int64), np.zeros(len(low)), np.zeros(len(low))
+        last = (self.next == np.arange(len(self.next))[:, None]).all(1)
         live, step = np.arange(len(low)), 0
         while len(live):
+            stays = last[state[live]]
+            for some in _blocks(live[stays]):
+                at, left = state[some], _tallied(data, low[some] + step, high[some])
+                if tails is not None:
+                    left += tails[some]
+                chance = (left * self.chance[at]).sum(1) + self.ends[at]
+                total[some] += chance
+                excess[some] -= chance + (left.sum(1) + 1) * self.expected[at]
+                excess[some[((left > 0) & self.never[at]).any(1) | self.never_ends[at]]] = np.inf
+            live = live[~stays]
             over = low[live] + step >= high[live]
             done = live[over]
             total[done] += self.ends[state[done]]
@@ -158,6 +178,22 @@ class Automaton:
         return total, excess
 
 
+def _blocks(some: np.ndarray) -> Iterator[np.ndarray]:
+    return (some[i:i + BLOCK] for i in range(0, len(some), BLOCK))
+
+
+def _tallied(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How often each symbol is in each of some tokens."""
+    size, symbols = high - low, len(_SYMBOLS)
+    short = np.where(size > LONG, 0, size)
+    at = np.arange(short.sum()) + np.repeat(low - np.cumsum(short) + short, short)
+    row = np.repeat(np.arange(len(low)), short)
+    out = np.bincount(row * symbols + _NUMBER[data[at]], minlength=len(low) * symbols).reshape(-1, symbols)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.bincount(_NUMBER[data[low[i]:high[i]]], minlength=symbols)
+    return out
+
+
 def _bound(n: int, m: int) -> float:
     """How far two frequencies of one chance may lie apart (Hoeffding)."""
     return math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -168,12 +204,14 @@ class _Tree:
 
     A node knows how many strings reach it, end there, and go on with each symbol; which node is next
     depends on the class of the symbol, so alphabets need few examples and fixed letters are still seen.
+    What follows a string (``tails``: how often each symbol) counts where the string leads, and it ends there.
     """
 
-    def __init__(self, examples: list[bytes]):
+    def __init__(self, examples: list[bytes], tails: np.ndarray):
         self.kids: list[dict[int, int]] = [{}]
         steps = []
         ends = [0]
+        deepest = []
         for text in examples:
             node = 0
             for symbol in _NUMBER[list(text)].tolist():
@@ -186,18 +224,20 @@ class _Tree:
                     ends.append(0)
                 node = child
             ends[node] += 1
+            deepest.append(node)
         self.ends = np.array(ends)
-        self.symbols = np.bincount(steps, minlength=len(ends) * len(_SYMBOLS)).astype(np.int32).reshape(len(ends), -1)
+        self.symbols = np.bincount(steps, minlength=len(ends) * len(_SYMBOLS)).reshape(len(ends), -1)
         self.count = self.ends + self.symbols.sum(1)
+        np.add.at(self.symbols, deepest, tails)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether two states may be one: endings, symbols and classes alike, and so on for what follows."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            n, m = int(self.count[a]), int(self.count[b])
-            if min(n, m) < FEW:
+            if min(self.count[a], self.count[b]) < FEW:
                 continue
+            n, m = int(self.ends[a] + self.symbols[a].sum()), int(self.ends[b] + self.symbols[b].sum())
             bound = _bound(n, m)
             apart = self.symbols[a] / n - self.symbols[b] / m
             if (abs(self.ends[a] / n - self.ends[b] / m) > bound or np.abs(apart).max() > bound
@@ -247,20 +287,22 @@ class _Tree:
         return levels[:-1]
 
 
-def infer(examples: list[bytes]) -> Automaton:
+def infer(examples: list[bytes], tails: np.ndarray | None = None) -> Automaton:
     """The automaton of some strings, and how surprising a string of its format may be: as all but TAIL of
     every fifth example are to an automaton of the others, and SLACK more."""
-    made, fifth = _inferred(examples), examples[::5]
-    rest = [e for i, e in enumerate(examples) if i % 5]
-    excess = (_inferred(rest) if rest else made).score(*_laid(fifth))[1]
+    if tails is None:
+        tails = np.zeros((len(examples), len(_SYMBOLS)), np.int64)
+    made, fifth, others = _inferred(examples, tails), examples[::5], np.arange(len(examples)) % 5 > 0
+    rest = [e for e, other in zip(examples, others) if other]
+    excess = (_inferred(rest, tails[others]) if rest else made).score(*_laid(fifth), tails[::5])[1]
     excess = np.sort(excess[np.isfinite(excess)])
     made.limit = (float(excess[min(len(excess) - 1, int(len(excess) * (1 - TAIL)))]) if len(excess) else 0.0) + SLACK
     return made
 
 
-def _inferred(examples: list[bytes]) -> Automaton:
+def _inferred(examples: list[bytes], tails: np.ndarray) -> Automaton:
     """A symbol not seen in a state shares the chance of its class there; a class not seen goes where most go."""
-    tree = _Tree(examples)
+    tree = _Tree(examples, tails)
     levels = tree.merge()
     states = [s for level in levels for s in level]
     number = {s: i for i, s in enumerate(states)}
@@ -279,8 +321,9 @@ def _inferred(examples: list[bytes]) -> Automaton:
         for group, child in tree.kids[s].items():
             following[i, group] = number[child]
     expected = -(chance * np.log(chance)).sum(1) - end * np.log(end)
-    never = ((by_class == 0) & (total >= FEW)[:, None])[:, _CLASS_OF]
-    return Automaton(following[:, _CLASS_OF], np.log(chance), np.log(end), expected, never, (ends == 0) & (total >= FEW), len(levels))
+    many = tree.count[states] >= FEW
+    never = ((by_class == 0) & many[:, None])[:, _CLASS_OF]
+    return Automaton(following[:, _CLASS_OF], np.log(chance), np.log(end), expected, never, (ends == 0) & many, len(levels))
 
 
 def _buffers_scanned(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, int, int, Scanned]]:
@@ -291,39 +334,49 @@ def _buffers_scanned(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[t
 
 
 def examples(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Examples of each label that may be among its ``max_rows`` lowest hashes: label, hash, value."""
+    """Examples of each label that may be among its ``max_rows`` lowest hashes: label, hash, value.
+
+    Of a longer one ``value`` has the first ``max_chars`` symbols, and ``tail`` how often each symbol follows them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[int, bytes]] = {label: {} for label in (*KINDS, ORDINARY)}
+        held: dict[str, dict[int, tuple[bytes, bytes]]] = {label: {} for label in (*KINDS, ORDINARY)}
         most = {label: (1 << 64) for label in held}
         for _, _, _, found in _buffers_scanned(batches, 0):
             for k, label in enumerate(KINDS):
                 of = found.kind == k
                 _lowest(held, most, label, found.data, *found.trimmed(found.value[of], found.end[of]), max_rows, max_chars)
             _lowest(held, most, ORDINARY, found.data, found.low, found.high, max_rows, max_chars)
-        rows = [(label, key, value) for label, by in held.items() for key, value in by.items()]
+        rows = [(label, key, *value) for label, by in held.items() for key, value in by.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)),
-             pa.array([r[2] for r in rows], pa.binary())], names=["label", "hash", "value"])
+             pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
+            names=["label", "hash", "value", "tail"])
         tidy()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "label string, hash long, value binary").distinct()
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "label string, hash long, value binary, tail binary").distinct()
 
 
 def _lowest(held, most, label, data, low, high, max_rows, max_chars) -> None:
     """Keep the different strings of the lowest hashes, ``max_rows`` of them."""
-    some = np.flatnonzero(high - low <= max_chars)
-    low, high = low[some], high[some]
     keys = hashing.slices(data, low, high)
     some = np.flatnonzero(keys < most[label]) if most[label] < 1 << 64 else np.arange(len(keys))
     by = held[label]
     for key, a, b in zip(keys[some].tolist(), low[some].tolist(), high[some].tolist()):
-        by[key] = data[a:b].tobytes()
+        if key not in by:
+            cut = min(b, a + max_chars)
+            by[key] = data[a:cut].tobytes(), np.bincount(_NUMBER[data[cut:b]], minlength=len(_SYMBOLS)).tobytes() if cut < b else b""
     if len(by) > 2 * max_rows:
         held[label] = dict(sorted(by.items())[:max_rows])
         most[label] = max(held[label])
 
 
+def _tails(rows: list[bytes]) -> np.ndarray:
+    """Numbers of symbols that follow each example; nothing: none do."""
+    return np.frombuffer(b"".join(r or bytes(8 * len(_SYMBOLS)) for r in rows), np.int64).reshape(-1, len(_SYMBOLS))
+
+
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strings behind one another, and where each begins and ends."""
     size = np.array([len(t) for t in texts], np.int64)
@@ -331,28 +384,29 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), high - size, high
 
 
-def unlike(texts: list[bytes], models: dict[str, Automaton], mixed: float = MIXED) -> list[bytes]:
-    """Ordinary examples without those typical of a format, unless these are so many that ordinary words have it too."""
-    data, low, high = _laid(texts)
+def unlike(texts: list[bytes], tails: np.ndarray, models: dict[str, Automaton], mixed: float = MIXED) -> np.ndarray:
+    """Which ordinary examples are not typical of a format, or of one that so many have that ordinary words have it too."""
     keep = np.ones(len(texts), bool)
     for model in models.values():
-        some = np.flatnonzero(high - low <= model.depth + 8)
-        typical = some[model.score(data, low[some], high[some])[1] <= model.limit]
-        if len(typical) < mixed * len(texts):
-            keep[typical] = False
-    return [t for t, k in zip(texts, keep.tolist()) if k]
+        typical = model.score(*_laid(texts), tails)[1] <= model.limit
+        if typical.sum() < mixed * len(texts):
+            keep &= ~typical
+    return keep
 
 
 def learn(docs: DataFrame, ws: Workspace, max_rows: int = MAX_ROWS) -> dict[str, Automaton]:
     """An automaton for each label that has examples. One task learns one label from at most ``max_rows`` strings."""
     staged = ws.stage(examples(docs, max_rows), "examples")
-    order = (F.col("hash").bitwiseXOR(F.lit(-1 << 63)), "value")
+    order = (F.col("hash").bitwiseXOR(F.lit(-1 << 63)), "value", "tail")
     lowest = {label: staged.filter(F.col("label") == label).orderBy(*order).limit(max_rows) for label in (*KINDS, ORDINARY)}
 
     def fitted(rows: DataFrame, known: dict[str, Automaton]) -> dict[str, Automaton]:
         def fit(table: pa.Table) -> pa.Table:
-            texts = sorted(table.column("value").to_pylist())
-            made = infer(unlike(texts, known) or texts)
+            texts, tails = zip(*sorted(zip(table.column("value").to_pylist(), table.column("tail").to_pylist())))
+            tails = _tails(tails)
+            keep = unlike(texts, tails, known)
+            some = np.flatnonzero(keep if keep.any() else ~keep)
+            made = infer([texts[i] for i in some], tails[some])
             return pa.table({"label": [table.column("label")[0].as_py()], "model": pa.array([pickle.dumps(made)], pa.binary())})
 
         return {r.label: pickle.loads(r.model) for r in rows.groupBy("label").applyInArrow(fit, "label string, model binary").collect()}
@@ -371,10 +425,9 @@ def matches(found: Scanned, models: dict[str, Automaton]) -> tuple[np.ndarray, .
     for k, name in enumerate(KINDS):
         if (model := models.get(name)) is None:
             continue
-        # Each symbol beyond the deepest state is more surprising than any format is ordinarily.
-        some = np.flatnonzero(high - low <= model.depth + 8)
-        likely, excess = model.score(found.data, low[some], high[some])
-        some, likely = some[excess <= model.limit], likely[excess <= model.limit]
+        likely, excess = model.score(found.data, low, high)
+        some = np.flatnonzero(excess <= model.limit)
+        likely = likely[some]
         if ORDINARY in models:
             usual = models[ORDINARY].score(found.data, low[some], high[some])[0]
         else:

@@ -124,3 +124,68 @@ def test_examples_are_the_lowest_hashes(spark, monkeypatch):
         lowest = sorted((h % (1 << 64), v) for l, h, v in every if l == label)[:5]
         assert {v for _, v in lowest} <= {v for l, _, v in some if l == label}
     assert b"ghx_" in {v[:4] for l, _, v in every if l == "assign"}
+
+
+def scored(model, text):
+    """A token's log likelihood and excess, symbol by symbol."""
+    state, total, excess = 0, 0.0, 0.0
+    for byte in text:
+        symbol = credentials._NUMBER[byte]
+        total += model.chance[state, symbol]
+        excess += math.inf if model.never[state, symbol] else -model.chance[state, symbol] - model.expected[state]
+        state = model.next[state, symbol]
+    excess += math.inf if model.never_ends[state] else -model.ends[state] - model.expected[state]
+    return total + model.ends[state], excess
+
+
+def test_tokens_beyond_the_deepest_state_are_candidates():
+    rng = random.Random(0)
+    letters = string.ascii_letters + string.digits
+    words = sorted({drawn(rng, string.ascii_lowercase, rng.randrange(8, 16)).encode() for _ in range(2000)})
+    made = sorted(drawn(rng, letters, rng.randrange(30, 60)).encode() for _ in range(3))
+    models = {"assign": credentials.infer(made), credentials.ORDINARY: credentials.infer(words)}
+    # In a state that follows itself the rest counts at once: many tokens, and one beyond what is tallied with others.
+    tokens = [e + drawn(rng, letters, n).encode() for e in made for n in range(40)] + [w + b"x" * n for w in words[:5] for n in (0, 30, 300)]
+    tokens += [b"abcdefgh" * n for n in (1, 90, 900)] + [drawn(rng, letters, 200).encode() for _ in range(700)]
+    found = credentials.Scanned(np.frombuffer(b" ".join(tokens), np.uint8), np.array([0, len(b" ".join(tokens))]))
+    low = np.cumsum([0] + [len(t) + 1 for t in tokens[:-1]])
+    assert found.low.tolist() == low.tolist()
+    want = []
+    for at, token in zip(low.tolist(), tokens):
+        (likely, excess), (usual, _) = (scored(models[k], token) for k in ("assign", credentials.ORDINARY))
+        got = [m.score(found.data, np.array([at]), np.array([at + len(token)])) for m in models.values()]
+        assert np.allclose([x[0] for x in got[0]] + list(got[1][0]), [likely, excess, usual])
+        if excess <= models["assign"].limit and likely - usual >= math.log(credentials.ODDS):
+            want.append((0, at, at + len(token)))
+    assert list(zip(*(x.tolist() for x in credentials.matches(found, models)))) == want
+    assert any(b - a > models["assign"].depth + 8 for _, a, b in want)
+
+
+def test_formats_of_any_length_are_learned(spark, ws):
+    rng = random.Random(5)
+    rows, bare = [], {}
+    for i in range(400):
+        value = "tk." + drawn(rng, string.ascii_letters + string.digits, rng.randrange(150, 6000 if i % 50 == 0 else 400))
+        text = f"{prose(rng, 20)} internationalisation_{i % 30} mail{i}@host{i}.example.org {rng.randrange(10**16)}"
+        if i < 300:
+            text += f' token = "{value}"'
+        elif i < 350:
+            bare[i] = value
+            text += f" é ({value})."
+        else:
+            # Of equal length, but for one sign.
+            text += " " + value.replace("tk.", "tk-")
+        rows.append((i, text))
+    text = dict(rows)
+    more = {r.doc_id: set(filter(None, r.spans.split(","))) - set(brute(text[r.doc_id])) for r in credentials.query(frame(spark, rows), ws).collect()}
+    caught = sum(more[i] == {f"assign:{text[i].index(v)}:{text[i].index(v) + len(v)}"} for i, v in bare.items())
+    assert caught >= 0.95 * len(bare), caught
+    assert not any(found for i, found in more.items() if i not in bare)
+
+
+def test_long_examples_keep_all_their_symbols(spark):
+    rng = random.Random(6)
+    values = [drawn(rng, string.ascii_uppercase, n) for n in (100, 128, 129, 700, 20_000)]
+    got = [r for r in credentials.examples(frame(spark, [(i, f"token={v}") for i, v in enumerate(values)])).collect() if r.label == "assign"]
+    tails = {bytes(r.value): t for r, t in zip(got, credentials._tails([bytes(r.tail) for r in got]).tolist())}
+    assert tails == {v[:128].encode(): [v[128:].count(chr(s)) for s in credentials._SYMBOLS] for v in values}
